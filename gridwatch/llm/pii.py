@@ -1,0 +1,179 @@
+"""Personal data by weak supervision, with DataFrame functions only.
+
+Candidate spans come from strict formats (which always stand) and from looser patterns. Four labelers
+vote for or against each candidate, or abstain: format (regex), gazetteer, context words, and shape.
+Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is and
+how likely each pattern is real; those likelihoods train a logistic classifier over kind, votes and
+length, and it decides on the loose candidates. What reaches the driver is a count per pattern, of
+which there are at most len(KINDS) * 3**4 * LENGTHS.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import id_and_text, written
+from .spans import SPAN, joined, matches, outside
+
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
+BASE = ("email", "ip", "card", "phone")
+_CAP = r"[A-Z][a-z]{1,30}"
+#: Looser candidates, which the classifier decides on.
+LOOSE = {
+    "phone_local": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(](?i:dot)[\])]\x20?[A-Za-z0-9-]{1,64}){1,4}",
+    "name": rf"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20{_CAP}(?:\x20{_CAP})?|(?:James|Mary|John|Linda|Robert|Susan|Michael|Sarah|David|Karen|Thomas|Nancy|Maria|Anna|Peter|Laura)\x20{_CAP})(?![A-Za-z])",
+}
+KINDS = (*BASE, *LOOSE)
+LABELERS = ("format", "gazetteer", "context", "shape")
+LENGTHS = 8
+CANDIDATES = f"array<struct<s: {SPAN}, format: int, gazetteer: int, context: int, shape: int, len: int>>"
+#: Characters of text before a span that the context labeler reads.
+BEFORE = 40
+CONTEXT_FOR = r"(?i)(?:e-?mail|mail|contact|reach|phone|tel|call|mobile|fax|card|visa|credit|ssn|social security|address|\bip\b|host|name|signed|regards|dear|born)"
+CONTEXT_AGAINST = r"(?i)(?:invoice|order|version|isbn|part no|serial|ticket|page|section|build|release|figure|table)"
+GAZETTEER = {
+    "email": (r"(?i)@(?:gmail|yahoo|hotmail|outlook|icloud|mail[0-9]*)\.|\.(?:com|org|net|edu|de|fr|es|uk)$", r"(?i)\.(?:png|jpg|gif|js|css|html)$"),
+    "ip": (r"^(?:[1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])\.", r"^(?:0|127|255)\."),
+    "card": (r"^(?:4|5[1-5]|3[47]|6011|65|2[2-7])", r"^0"),
+    "phone": (r"^\+(?:1|7|2[07]|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+0"),
+    "phone_local": (r"^\(?[2-9]", r"^\(?[01]"),
+    "national_id": (r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", r"^(?:000|666|9)|-00-|-0000$"),
+    "email_spelled": (r"(?i)(?:com|org|net|edu|de|fr|es|uk)$", r"(?i)[\[(]dot[\])]\x20?(?:png|jpg|gif)$"),
+    "name": (r"(?:James|Mary|John|Linda|Robert|Susan|Michael|Sarah|David|Karen|Thomas|Nancy|Maria|Anna|Peter|Laura|Smith|Johnson|Brown|Miller|Davis|Garcia|Wilson|Martin|Lee|Meyer|Schmidt|Dubois|Moreau|Lopez)", r"(?:Street|Road|Avenue|River|Company|Institute|University)$"),
+}
+
+
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def luhn(digits: Column) -> Column:
+    """Whether a string of digits passes the Luhn check."""
+    d = F.transform(F.split(F.reverse(digits), ""), lambda c: c.cast("int"))
+    d = F.transform(d, lambda x, i: F.when(i % 2 == 0, x).when(x > 4, 2 * x - 9).otherwise(2 * x))
+    return F.aggregate(d, F.lit(0), lambda a, x: a + x) % 10 == 0
+
+
+def base_spans(text: Column) -> Column:
+    """The strict spans: e-mail, IPv4 with parts up to 255, cards passing Luhn, international phone numbers."""
+    none = F.array().cast(f"array<{SPAN}>")
+    email = F.when(F.contains(text, F.lit("@")), matches(text, EMAIL, "email", 0)).otherwise(none)
+    ip = F.filter(matches(text, IP, "ip", 1), lambda x: F.forall(F.split(x["m"], r"\."), lambda p: p.rlike(OCTET)))
+    card = F.filter(matches(text, CARD, "card", 2), lambda x: F.when(F.length(_digits(x["m"])).between(13, 19), luhn(_digits(x["m"]))).otherwise(False))
+    phone = F.filter(matches(text, PHONE, "phone", 3), lambda x: F.length(_digits(x["m"])).between(9, 15))
+    return F.concat(email, ip, card, F.when(F.contains(text, F.lit("+")), phone).otherwise(none))
+
+
+def _by_kind(s: Column, of) -> Column:
+    out = F.lit(0)
+    for kind in KINDS:
+        out = F.when(s["kind"] == kind, of(kind)).otherwise(out)
+    return out
+
+
+def _vote(yes: Column, no: Column) -> Column:
+    return F.when(yes, 1).when(no, -1).otherwise(0)
+
+
+def voted(text: Column, spans: Column) -> Column:
+    """Each span with the four labelers' votes (1, -1, or 0 to abstain) and a length class."""
+
+    def one(s: Column) -> Column:
+        m, digits = s["m"], _digits(s["m"])
+        before = F.substring(text, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
+        fmt = F.when(s["place"] < len(BASE), 1).when(s["kind"].isin("national_id", "email_spelled"), 1).otherwise(0)
+        gaz = _by_kind(s, lambda k: _vote(m.rlike(GAZETTEER[k][0]) & ~m.rlike(GAZETTEER[k][1]), m.rlike(GAZETTEER[k][1])))
+        shape = F.when(F.length(digits) >= 7, _vote(~digits.rlike(r"^([0-9])\1*+$|01234567|12345678"), digits.rlike(r"^([0-9])\1*+$"))).otherwise(0)
+        return F.struct(s.alias("s"), fmt.alias("format"), gaz.alias("gazetteer"), _vote(before.rlike(CONTEXT_FOR), before.rlike(CONTEXT_AGAINST)).alias("context"), shape.alias("shape"), F.least(F.floor(F.length(m) / 5), F.lit(LENGTHS - 1)).cast("int").alias("len"))
+
+    return F.transform(spans, one).cast(CANDIDATES)
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and all candidate spans with their votes; strict ones first, and loose ones that touch no strict one."""
+    d = id_and_text(docs, id_col, text_col)
+    text = F.col("text")
+    d = d.withColumn("base", base_spans(text))
+    loose = F.concat(*[matches(text, p, k, len(BASE) + i) for i, (k, p) in enumerate(LOOSE.items())])
+    return d.select("doc_id", voted(text, F.concat("base", outside(loose, F.col("base")))).alias("found"))
+
+
+def pattern_counts(found: DataFrame) -> list:
+    """(kind place, votes..., length class, rows) for each pattern: bounded by len(KINDS) * 3**4 * LENGTHS rows."""
+    rows = found.select(F.explode("found").alias("c")).groupBy(F.col("c.s.place").alias("place"), *[F.col(f"c.{x}").alias(x) for x in LABELERS], F.col("c.len").alias("len")).count()
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def estimate(patterns: list, rounds: int = 50) -> list[float]:
+    """EM over vote patterns: the likelihood that each pattern is real.
+
+    A labeler has one distribution of votes for real and one for false candidates, shared by all kinds;
+    each kind has its own share of real ones. Starts from the mean vote; add-one smoothing."""
+    real = [min(0.95, max(0.05, 0.5 + 0.45 * sum(p[1:5]) / 2)) for p in patterns]
+    for _ in range(rounds):
+        vote = [[[1.0] * 3 for _ in (0, 1)] for _ in LABELERS]
+        share: dict[int, list[float]] = {}
+        for p, q in zip(patterns, real, strict=True):
+            n = p[-1]
+            s = share.setdefault(p[0], [1.0, 1.0])
+            s[0], s[1] = s[0] + n * (1 - q), s[1] + n * q
+            for i, v in enumerate(p[1:5]):
+                vote[i][0][v + 1] += n * (1 - q)
+                vote[i][1][v + 1] += n * q
+        odds = [[math.log(vote[i][1][v] / sum(vote[i][1])) - math.log(vote[i][0][v] / sum(vote[i][0])) for v in range(3)] for i in range(len(LABELERS))]
+        logit = [math.log(share[p[0]][1] / share[p[0]][0]) + sum(odds[i][v + 1] for i, v in enumerate(p[1:5])) for p in patterns]
+        real = [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in logit]
+    return real
+
+
+def fit_classifier(patterns: list, real: list[float], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> list[list[float]]:
+    """Logistic regression on soft labels: weights by kind, by each labeler's vote, and by length class."""
+    w = [[0.0] * len(KINDS), *[[0.0] * 3 for _ in LABELERS], [0.0] * LENGTHS]
+    total = sum(p[-1] for p in patterns) or 1
+    feats = [(p[0], *[v + 1 for v in p[1:5]], p[5]) for p in patterns]
+    for _ in range(steps):
+        grad = [[decay * x for x in row] for row in w]
+        for f, p, q in zip(feats, patterns, real, strict=True):
+            z = sum(w[i][x] for i, x in enumerate(f))
+            g = (1 / (1 + math.exp(-z)) - q) * p[-1] / total
+            for i, x in enumerate(f):
+                grad[i][x] += g
+        w = [[x - rate * g for x, g in zip(a, b, strict=True)] for a, b in zip(w, grad, strict=True)]
+    return w
+
+
+def score(c: Column, w: list[list[float]]) -> Column:
+    """The classifier's log-odds for one candidate."""
+    arrays = [F.array(*map(F.lit, row)) for row in w]
+    total = F.get(arrays[0], c["s"]["place"]) + F.get(arrays[-1], c["len"])
+    for a, name in zip(arrays[1:-1], LABELERS, strict=True):
+        total = total + F.get(a, c[name] + 1)
+    return total
+
+
+def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, base (strict spans), added (loose candidates that the classifier accepts).
+
+    Reliabilities and classifier come from the candidates of all documents. Null text counts as empty and
+    has no spans; repeated rows each get theirs; other columns are ignored; an empty table gives no rows."""
+    found = written(candidates(docs, id_col, text_col), "pii-candidates")
+    patterns = pattern_counts(found)
+    w = fit_classifier(patterns, estimate(patterns))
+    strict = F.filter("found", lambda c: c["s"]["place"] < len(BASE))
+    loose = F.filter("found", lambda c: (c["s"]["place"] >= len(BASE)) & (score(c, w) >= 0))
+    return found.select("doc_id", F.transform(strict, lambda c: c["s"]).alias("base"), F.transform(loose, lambda c: c["s"]).alias("added"))
+
+
+def pii_digest(spans: DataFrame) -> DataFrame:
+    """Counts per strict kind, their digest, and all spans as a string."""
+    n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return spans.select("doc_id", *map(n, BASE), F.sha2(joined(F.col("base"), by_kind=True).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added"), by_kind=True).alias("spans"))

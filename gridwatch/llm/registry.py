@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .pii import pii_digest, pii_spans
+from .secrets import secret_digest, secret_spans
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op7_secret_scan(spark, sf_dir):
+    return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op10_pii(spark, sf_dir):
+    return pii_digest(pii_spans(table(spark, sf_dir, "documents")))
+
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
@@ -17,5 +26,5 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_secret_scan": op7_secret_scan, "op10_pii": op10_pii}
 ORACLE = {"op1_exact_dedup": OP1_SQL}
