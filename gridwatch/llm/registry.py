@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .pii import pii_digest, pii_spans
 from .secrets import secret_digest, secret_spans
 
@@ -12,10 +17,19 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op2_curve_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1).drop("ids")
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op9_bpe(spark, sf_dir):
+    out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_pii(spark, sf_dir):
     return pii_digest(pii_spans(table(spark, sf_dir, "documents")))
 
@@ -26,5 +40,5 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_secret_scan": op7_secret_scan, "op10_pii": op10_pii}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_curve_packing": op2_curve_packing, "op7_secret_scan": op7_secret_scan, "op9_bpe": op9_bpe, "op10_pii": op10_pii}
 ORACLE = {"op1_exact_dedup": OP1_SQL}
