@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import fit, held_out, identify
+from .near_dup import near_duplicates
 from .packing import pack
 from .pii import pii_digest, pii_spans
 from .secrets import secret_digest, secret_spans
@@ -21,6 +23,16 @@ def op2_curve_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1).drop("ids")
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
@@ -40,5 +52,5 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_curve_packing": op2_curve_packing, "op7_secret_scan": op7_secret_scan, "op9_bpe": op9_bpe, "op10_pii": op10_pii}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_curve_packing": op2_curve_packing, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_language_id": op6_language_id, "op7_secret_scan": op7_secret_scan, "op9_bpe": op9_bpe, "op10_pii": op10_pii}
 ORACLE = {"op1_exact_dedup": OP1_SQL}
