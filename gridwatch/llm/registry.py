@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .langid import fit, held_out, identify
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii import pii_digest, pii_spans
 from .secrets import secret_digest, secret_spans
+from .topk import top_k
+from .toxicity import fit as fit_toxicity
+from .toxicity import score as score_toxicity
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -27,6 +31,14 @@ def op3_ngram_jaccard(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_va_topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), fit(docs))
@@ -37,6 +49,11 @@ def op7_secret_scan(spark, sf_dir):
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark, sf_dir):
     out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -52,5 +69,25 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_curve_packing": op2_curve_packing, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_language_id": op6_language_id, "op7_secret_scan": op7_secret_scan, "op9_bpe": op9_bpe, "op10_pii": op10_pii}
-ORACLE = {"op1_exact_dedup": OP1_SQL}
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_curve_packing": op2_curve_packing,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_html_text": op4_html_text,
+    "op5_va_topk": op5_va_topk,
+    "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
+    "op9_bpe": op9_bpe,
+    "op10_pii": op10_pii,
+}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op5_va_topk": OP5_SQL}

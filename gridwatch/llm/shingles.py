@@ -33,10 +33,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of each text, and how many words the texts before each text have (one more entry than texts)."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of each text, and how many words the texts before each text have (one more entry than texts).
+
+    ``between``: for each byte value, whether it separates words."""
     data = LOWER_BYTES[data]
-    word = ~_SPACE[data]
+    word = ~between[data]
     if not word.any():
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
     edge = np.zeros(len(data) + 1, bool)
