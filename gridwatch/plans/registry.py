@@ -1,4 +1,166 @@
 """Queries by name, each (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from ..operators import climatology as C
+from ..operators import evaluate, events, grid, panel, profile, rasters, scoring
+from ..schemas import OPTICAL
+from ..sources import probe, shape_check
+from . import adapter as A
+from .sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+#: A lower tau and a larger least baseline than the defaults', so that the stand-in data has events and gaps.
+CONFIG = replace(A.CONFIG, tau=2.0, min_baseline=3)
+
+
+def _r4(df):
+    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _base(s, d):
+    return A.horizon(A.full_panel(s, d), A.CONFIG.baseline)
+
+
+def _oper(s, d):
+    return A.horizon(A.full_panel(s, d), A.CONFIG.operational)
+
+
+def _clim(s, d):
+    return C.seasonal_climatology(_base(s, d))
+
+
+def _scores(s, d):
+    return scoring.score(_oper(s, d), _clim(s, d), CONFIG)
+
+
+def _skeleton(s, d):
+    return _oper(s, d).select("cell_id", "month")
+
+
+def _evidence(s, d):
+    return scoring.evidence(_scores(s, d), _skeleton(s, d), CONFIG)
+
+
+def _event_cells(s, d):
+    return events.event_cells(_evidence(s, d).filter("activity_candidate").join(F.broadcast(A.cells(s, d).select("cell_id", "row", "col")), "cell_id"))
+
+
+def _spatial_events(s, d):
+    dominant = scoring.dominant_feature(_scores(s, d), _skeleton(s, d), CONFIG).drop("dominant_value")
+    geometry = A.cells(s, d).drop("row", "col", "nation", "region")
+    return events.spatial_events(_event_cells(s, d).drop("row", "col"), _evidence(s, d), dominant, geometry)
+
+
+def _indices(s, d):
+    return rasters.optical_indices(A.pixels(s, d, rasters.usable_scenes(A.scenes(s, d), A.CONFIG)), A.CONFIG)
+
+
+def _normalized(s, d):
+    aggs = [e for i in rasters.INDICES for e in (F.count(i).alias(f"{i}_valid"), F.round(F.avg(i), 4).alias(f"{i}_mean"))]
+    return _indices(s, d).groupBy("month").agg(F.count("*").alias("n_pixels"), *aggs)
+
+
+def _zonal(s, d):
+    return _r4(rasters.zonal_optical(rasters.median_composite(_indices(s, d)), A.CONFIG)).select("cell_id", "month", *OPTICAL, "valid_pixel_count", "valid_pixel_fraction")
+
+
+def _hourly(s, d):
+    e, k = A.table(s, d, "events"), F.col("user_id")
+    h = e.select(
+        (k % 5).alias("node"), F.date_format("ts", "yyyy-MM").alias("month"), F.dayofmonth(F.last_day("ts")).alias("days_in_month"), (F.col("value") * 0.0123456789 + 273.15).alias("t2m_k"), (F.col("event_id") % 100 / 10000).alias("tp_m"),
+        (k % 21 - 10).cast("double").alias("u10"), (F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0)) - 3).alias("v10"),
+    )
+    monthly = _r4(rasters.hourly_to_monthly(h, ("node", "month", "days_in_month")))
+    return monthly.withColumns({"expected_hours": (F.col("days_in_month") * 24).cast("long"), "completeness_ratio": F.round(F.col("era5_observation_count") / (F.col("days_in_month") * 24), 4)})
+
+
+def _nearest(s, d):
+    n = A.scenes(s, d).groupBy("cell_id").agg(F.count("*").alias("n_scenes"))
+    return grid.nearest_node(A.cells(s, d), A.nodes(s, d)).join(n, "cell_id")
+
+
+def _grid(s, d):
+    b = A.table(s, d, "events").agg(F.min("value").alias("min_lon"), F.max("value").alias("max_lon"), F.lit(20.0).alias("min_lat"), (F.lit(20.0) + F.max("user_id") / 1000.0).alias("max_lat"))
+    return grid.generate_grid(b, 1_000_000)
+
+
+def _pixel_cells(edge):
+    def run(s, d):
+        p = A.table(s, d, "events").select("event_id", (F.col("event_id") % 1000 / 37.0).alias("lon"), (F.col("user_id") % 1000 / 41.0).alias("lat"))
+        return grid.assign_cells(p, 1.0, 1.0, 3.5, 2.5, 6, 8, edge, 0.4).groupBy("cell_id").agg(F.count("*").alias("n_pixels"))
+
+    return run
+
+
+def _regression(s, d):
+    p = A.full_panel(s, d)
+    return panel.regression_diff(p.filter("month = '1999-03'"), p.filter("month = '1998-03'"), ("ndvi_mean", "viirs_avg_rad_mean", "era5_temperature_mean"))
+
+
+def _quality_evidence(s, d):
+    return scoring.with_quality(_evidence(s, d), _oper(s, d)).withColumn("viirs_cf_cvg_mean", F.round("viirs_cf_cvg_mean", 4))
+
+
+def _sweep(s, d):
+    settings = evaluate.settings_table(s, (2.0, 2.5, 3.0, 3.5), (3, 4, 5))
+    return evaluate.threshold_sweep(_scores(s, d), _skeleton(s, d), A.cells(s, d), settings, CONFIG)
+
+
+def _over(of, source=_base):
+    return lambda s, d: of(source(s, d))
+
+
+QUERIES = {
+    "scene_fallback": lambda s, d: rasters.scene_counts(A.scenes(s, d), A.CONFIG),
+    "month_ranges": A.months,
+    "grid_generate": _grid,
+    "pixel_to_cell": _pixel_cells("centroid"),
+    "pixel_to_cell_touch": _pixel_cells("touch"),
+    "source_probe": lambda s, d: probe(A.table(s, d, "lineitem"), ("l_discount", "l_tax", "l_quantity", "b99")),
+    "normalized_difference": _normalized,
+    "raster_sanity": lambda s, d: rasters.raster_sanity(_indices(s, d)),
+    "median_composite_zonal": _zonal,
+    "coverage_stats": lambda s, d: _r4(A.lights(s, d)).drop("start_date", "end_date"),
+    "hourly_to_monthly": _hourly,
+    "nearest_station": _nearest,
+    "panel_full_outer": _over(_r4, A.full_panel),
+    "panel_shape": lambda s, d: shape_check(A.full_panel(s, d), ("cell_id", "month"), {"n_cells": "cell_id", "n_months": "month"}),
+    "regional_trend": _over(panel.regional_trend, A.full_panel),
+    "completeness": _over(panel.completeness, A.full_panel),
+    "regression_diff": _regression,
+    "seasonal_climatology": _clim,
+    "climatology_band": lambda s, d: C.climatology_band(_clim(s, d), ("cell_00_01", "cell_02_02"), "viirs_avg_rad_mean"),
+    "march_diagnostic": lambda s, d: C.month_diagnostic(_oper(s, d), _clim(s, d), "2001-03"),
+    "score_robust_z": lambda s, d: _r4(_scores(s, d)),
+    "evidence_fusion": _quality_evidence,
+    "dominant_feature": lambda s, d: scoring.dominant_feature(_scores(s, d), _skeleton(s, d), CONFIG),
+    "event_cells": _event_cells,
+    "spatial_events": _spatial_events,
+    "monthly_anomaly_summary": lambda s, d: events.monthly_anomalies(_evidence(s, d), _event_cells(s, d)),
+    "feature_anomaly_summary": lambda s, d: scoring.feature_anomalies(_scores(s, d), A.CONFIG),
+    "event_map": lambda s, d: events.event_map(A.cells(s, d).select("cell_id", "row", "col"), _event_cells(s, d), "2001-03"),
+    "threshold_sweep": _sweep,
+    "perturbation_benchmark": lambda s, d: evaluate.perturbation_benchmark(_base(s, d), _clim(s, d), s),
+    "quality_profile": _over(profile.quality_profile, A.full_panel),
+    "feature_statistics": _over(profile.feature_statistics),
+    "missingness_month": _over(profile.missingness_by_month, A.full_panel),
+    "missingness_cell": _over(profile.missingness_by_cell, A.full_panel),
+    "co_missing": _over(profile.co_missing, A.full_panel),
+    "monthly_summary": _over(profile.monthly_summary),
+    "cell_temporal_stats": _over(profile.cell_temporal_stats),
+    "pearson_pairs": _over(profile.pearson),
+    "pearson_pairwise": _over(profile.pearson_pairwise),
+    "spearman_pairs": _over(profile.spearman),
+    "variance_decomposition": _over(profile.variance_decomposition),
+    "baseline_comparison": _over(profile.baseline_comparison),
+    "representative_cells": _over(profile.representative_cells),
+    "histogram_bins": _over(lambda p: profile.histogram(p, "viirs_avg_rad_mean", 40)),
+    "box_data": _over(profile.box_data),
+    "percentile_clip": _over(lambda p: profile.percentile_clip(p, "ndvi_mean", -0.2, 0.9)),
+    "log1p_skew": _over(profile.log1p_skew),
+}
