@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from .. import streaming
 from ..operators import climatology as C
 from ..operators import evaluate, events, grid, panel, profile, rasters, scoring
 from ..schemas import OPTICAL
+from ..session import shared_folder, written
 from ..sources import probe, shape_check
 from . import adapter as A
 from .sql import ORACLE_SQL
@@ -26,34 +29,60 @@ def _base(s, d):
     return A.horizon(A.full_panel(s, d), A.CONFIG.baseline)
 
 
-def _oper(s, d):
-    return A.horizon(A.full_panel(s, d), A.CONFIG.operational)
-
-
 def _clim(s, d):
     return C.seasonal_climatology(_base(s, d))
 
 
-def _scores(s, d):
-    return scoring.score(_oper(s, d), _clim(s, d), CONFIG)
+def _horizons(s, d):
+    """Baseline and operational rows of one written panel."""
+    p = written(A.full_panel(s, d), "panel")
+    return A.horizon(p, A.CONFIG.baseline), A.horizon(p, A.CONFIG.operational)
+
+
+def _scored(s, d):
+    """Scores and the operational rows that they come from."""
+    base, oper = _horizons(s, d)
+    return written(scoring.score(oper, C.seasonal_climatology(base), CONFIG), "scores"), oper
 
 
-def _skeleton(s, d):
-    return _oper(s, d).select("cell_id", "month")
+def _fused(s, d):
+    scores, oper = _scored(s, d)
+    return written(scoring.evidence(scores, oper.select("cell_id", "month"), CONFIG), "evidence"), scores, oper
 
 
-def _evidence(s, d):
-    return scoring.evidence(_scores(s, d), _skeleton(s, d), CONFIG)
+def _cells_of(s, d, evidence):
+    return events.event_cells(evidence.filter("activity_candidate").join(F.broadcast(A.cells(s, d).select("cell_id", "row", "col")), "cell_id"))
 
 
 def _event_cells(s, d):
-    return events.event_cells(_evidence(s, d).filter("activity_candidate").join(F.broadcast(A.cells(s, d).select("cell_id", "row", "col")), "cell_id"))
+    return _cells_of(s, d, _fused(s, d)[0])
 
 
 def _spatial_events(s, d):
-    dominant = scoring.dominant_feature(_scores(s, d), _skeleton(s, d), CONFIG).drop("dominant_value")
+    evidence, scores, oper = _fused(s, d)
+    dominant = scoring.dominant_feature(scores, oper.select("cell_id", "month"), CONFIG).drop("dominant_value")
     geometry = A.cells(s, d).drop("row", "col", "nation", "region")
-    return events.spatial_events(_event_cells(s, d).drop("row", "col"), _evidence(s, d), dominant, geometry)
+    return events.spatial_events(_cells_of(s, d, evidence).drop("row", "col"), evidence, dominant, F.broadcast(geometry))
+
+
+def _monthly_anomalies(s, d):
+    evidence = _fused(s, d)[0]
+    return events.monthly_anomalies(evidence, _cells_of(s, d, evidence))
+
+
+def _diagnostic(s, d):
+    base, oper = _horizons(s, d)
+    return C.month_diagnostic(oper, C.seasonal_climatology(base), "2001-03")
+
+
+def _dominant(s, d):
+    scores, oper = _scored(s, d)
+    return scoring.dominant_feature(scores, oper.select("cell_id", "month"), CONFIG)
+
+
+def _perturbed(s, d):
+    base = _horizons(s, d)[0]
+    return evaluate.perturbation_benchmark(base, C.seasonal_climatology(base), s)
 
 
 def _indices(s, d):
@@ -98,17 +127,34 @@ def _pixel_cells(edge):
 
 
 def _regression(s, d):
-    p = A.full_panel(s, d)
+    p = written(A.full_panel(s, d), "panel")
     return panel.regression_diff(p.filter("month = '1999-03'"), p.filter("month = '1998-03'"), ("ndvi_mean", "viirs_avg_rad_mean", "era5_temperature_mean"))
 
 
 def _quality_evidence(s, d):
-    return scoring.with_quality(_evidence(s, d), _oper(s, d)).withColumn("viirs_cf_cvg_mean", F.round("viirs_cf_cvg_mean", 4))
+    evidence, _, oper = _fused(s, d)
+    return scoring.with_quality(evidence, oper).withColumn("viirs_cf_cvg_mean", F.round("viirs_cf_cvg_mean", 4))
 
 
 def _sweep(s, d):
+    scores, oper = _scored(s, d)
     settings = evaluate.settings_table(s, (2.0, 2.5, 3.0, 3.5), (3, 4, 5))
-    return evaluate.threshold_sweep(_scores(s, d), _skeleton(s, d), A.cells(s, d), settings, CONFIG)
+    return evaluate.threshold_sweep(scores, oper.select("cell_id", "month"), A.cells(s, d), settings, CONFIG)
+
+
+def _streamed_scores(s, d):
+    """The operational months as files, scored by a stream."""
+    base, oper = _horizons(s, d)
+    clim = written(C.seasonal_climatology(base), "climatology")
+    root = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    oper.repartition("month").write.parquet(f"{root}/in")
+    query = streaming.score_stream(streaming.panel_stream(s, f"{root}/in", 2), clim, f"{root}/out", f"{root}/checkpoint", CONFIG)
+    query.awaitTermination()
+    return _r4(s.read.parquet(f"{root}/out").drop("batch"))
+
+
+def _written_base(s, d):
+    return _horizons(s, d)[0]
 
 
 def _over(of, source=_base):
@@ -135,17 +181,18 @@ QUERIES = {
     "regression_diff": _regression,
     "seasonal_climatology": _clim,
     "climatology_band": lambda s, d: C.climatology_band(_clim(s, d), ("cell_00_01", "cell_02_02"), "viirs_avg_rad_mean"),
-    "march_diagnostic": lambda s, d: C.month_diagnostic(_oper(s, d), _clim(s, d), "2001-03"),
-    "score_robust_z": lambda s, d: _r4(_scores(s, d)),
+    "march_diagnostic": _diagnostic,
+    "score_robust_z": lambda s, d: _r4(_scored(s, d)[0]),
+    "streamed_scores": _streamed_scores,
     "evidence_fusion": _quality_evidence,
-    "dominant_feature": lambda s, d: scoring.dominant_feature(_scores(s, d), _skeleton(s, d), CONFIG),
+    "dominant_feature": _dominant,
     "event_cells": _event_cells,
     "spatial_events": _spatial_events,
-    "monthly_anomaly_summary": lambda s, d: events.monthly_anomalies(_evidence(s, d), _event_cells(s, d)),
-    "feature_anomaly_summary": lambda s, d: scoring.feature_anomalies(_scores(s, d), A.CONFIG),
+    "monthly_anomaly_summary": _monthly_anomalies,
+    "feature_anomaly_summary": lambda s, d: scoring.feature_anomalies(_scored(s, d)[0], A.CONFIG),
     "event_map": lambda s, d: events.event_map(A.cells(s, d).select("cell_id", "row", "col"), _event_cells(s, d), "2001-03"),
     "threshold_sweep": _sweep,
-    "perturbation_benchmark": lambda s, d: evaluate.perturbation_benchmark(_base(s, d), _clim(s, d), s),
+    "perturbation_benchmark": _perturbed,
     "quality_profile": _over(profile.quality_profile, A.full_panel),
     "feature_statistics": _over(profile.feature_statistics),
     "missingness_month": _over(profile.missingness_by_month, A.full_panel),
@@ -155,11 +202,11 @@ QUERIES = {
     "cell_temporal_stats": _over(profile.cell_temporal_stats),
     "pearson_pairs": _over(profile.pearson),
     "pearson_pairwise": _over(profile.pearson_pairwise),
-    "spearman_pairs": _over(profile.spearman),
-    "variance_decomposition": _over(profile.variance_decomposition),
+    "spearman_pairs": _over(profile.spearman, _written_base),
+    "variance_decomposition": _over(profile.variance_decomposition, _written_base),
     "baseline_comparison": _over(profile.baseline_comparison),
-    "representative_cells": _over(profile.representative_cells),
-    "histogram_bins": _over(lambda p: profile.histogram(p, "viirs_avg_rad_mean", 40)),
+    "representative_cells": _over(profile.representative_cells, _written_base),
+    "histogram_bins": _over(lambda p: profile.histogram(p, "viirs_avg_rad_mean", 40), _written_base),
     "box_data": _over(profile.box_data),
     "percentile_clip": _over(lambda p: profile.percentile_clip(p, "ndvi_mean", -0.2, 0.9)),
     "log1p_skew": _over(profile.log1p_skew),

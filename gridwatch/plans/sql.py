@@ -244,3 +244,5 @@ SELECT bin, round(lo + bin * ((hi - lo) / 40), 4) AS bin_start, count(*) AS freq
     "percentile_clip": f"{CLIM_CTE}, q AS (SELECT quantile_cont(ndvi_mean, 0.01) AS a, quantile_cont(ndvi_mean, 0.99) AS b FROM base) SELECT 'ndvi_mean' AS feature, round(CASE WHEN a = b THEN a - 0.5 ELSE greatest(-0.2, a) END, 4) AS vmin, round(CASE WHEN a = b THEN b + 0.5 ELSE least(0.9, b) END, 4) AS vmax FROM q",
     "log1p_skew": f"{CLIM_CTE}, x AS (SELECT viirs_avg_rad_mean AS v, avg(viirs_avg_rad_mean) OVER () AS m, ln(1 + viirs_avg_rad_mean) AS u, avg(ln(1 + viirs_avg_rad_mean)) OVER () AS k FROM base) SELECT round(avg((v - m) ** 3) / stddev_pop(v) ** 3, 4) AS skew_raw, round(avg((u - k) ** 3) / stddev_pop(u) ** 3, 4) AS skew_log1p FROM x",
 }
+#: The stream's rows are the batch's.
+ORACLE_SQL["streamed_scores"] = ORACLE_SQL["score_robust_z"]
