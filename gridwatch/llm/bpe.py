@@ -10,10 +10,12 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -21,10 +23,13 @@ from .common import id_and_text, slices
 
 #: What \s stands for in rank files' patterns: Unicode white space, which the regex module's \s exceeds by \x1c-\x1f.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A cache of encoded units is emptied at this many.
-CACHE_UNITS, CACHE_CHARS = 400_000, 64
-_NONE = 1 << 62
-_WHITE_THEN_SPACE = re.compile(r"\s ")
+#: A cache of encoded parts is emptied at this many; longer parts aren't kept.
+CACHE_PARTS, CACHE_CHARS = 1_000_000, 48
+_NONE, _ROW, _FIRST = 1 << 62, 2000, "\0"
+_STOPS = ".,"
+#: Bytes of text whose parts are numbered together.
+SLICE = 8 << 20
+_WHITE_THEN_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
@@ -82,34 +87,60 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def units(text: str) -> list[str]:
-    """A text in parts that encode independently: each but the first starts with a space after a non-space.
-
-    No match of the pattern holds a space after another character than white space, so one always begins
-    there. Where white space comes before a space, the text stays whole."""
-    if _WHITE_THEN_SPACE.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
-
-
-class Cache(dict):
-    """Ids, as little-endian unsigned 32-bit integers, by unit; encodes what it lacks."""
-
-    def __init__(self, encode: Callable[[str], Iterable[int]]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, unit: str) -> bytes:
-        out = np.fromiter(self.encode(unit), dtype="<u4").tobytes()
-        if len(unit) <= CACHE_CHARS:
-            self[unit] = out
+def splittable(text: str) -> bool:
+    """Whether a text's parts before single spaces and line ends encode independently.
+
+    No match of the pattern holds white space after another character, so one begins at every space or line end
+    after those. Where white space comes before a space, or blank lines mix with spaces, a text stays whole."""
+    return not ("  " in text or "\n " in text or _WHITE_THEN_SPACE.search(text) or _FIRST in text or ("\n\n" in text and " \n" in text))
+
+
+def marked(text: str) -> str:
+    """A splittable text with a mark before its first part, and a space before each line end (unless it has blank lines: those stay within their part)."""
+    return _FIRST + (text if "\n\n" in text else text.replace("\n", " \n"))
+
+
+def _whole(part: str) -> str:
+    """A part as it stands in the text: split() took the space before all but the first and those that start with a line end."""
+    return part[1:] if part[:1] == _FIRST else part if part[:1] == "\n" else " " + part
+
+
+class Cache:
+    """Ids, as little-endian unsigned 32-bit integers, of the parts of texts; ``encode`` gives the ids of each of many texts."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode, self.known = encode, {}
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text: a part is looked up once a call, and encoded if it is new; Arrow splits and numbers the parts."""
+        if len(self.known) > CACHE_PARTS:
+            self.known.clear()
+        fine = [splittable(t) for t in texts]
+        odd = iter(self.encode([t for t, ok in zip(texts, fine, strict=True) if not ok]))
+        split = pc.split_pattern(pa.array([marked(t) for t, ok in zip(texts, fine, strict=True) if ok], pa.string()), " ")
+        numbered = split.flatten().dictionary_encode()
+        parts, known = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        new = [w for w in parts if w not in known]
+        fresh = dict(zip(new, self.encode([_whole(w) for w in new]), strict=True))
+        known.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_CHARS and w[:1] != _FIRST)
+        blobs = [fresh[w] if w in fresh else known[w] for w in parts]
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        ids, which = np.frombuffer(b"".join(blobs), "<u4"), numbered.indices.to_numpy(zero_copy_only=False)
+        count = size[which]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        raw = ids[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
+        cuts = iter((4 * ends[split.offsets.to_numpy()]).tolist())
+        at, out = next(cuts, 0), []
+        for ok in fine:
+            if ok:
+                out.append(raw[at : (at := next(cuts))])
+            else:
+                out.append(next(odd))
         return out
 
-    def text(self, text: str) -> bytes:
-        if len(self) > CACHE_UNITS:
-            self.clear()
-        return b"".join(map(self.__getitem__, units(text)))
+
+def _ids(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 _caches: dict[tuple, tuple] = {}
@@ -119,25 +150,27 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> tuple[Cache, list[bytes]]
     """This worker's cache for a vocabulary, and the vocabulary's bytes by id."""
     key = (pattern, len(ranks), hash(frozenset(list(ranks.items())[:1000])))
     if key not in _caches:
-        found, pieces = compiled(pattern), {}
-
-        def encode(unit: str) -> list[int]:
-            out: list[int] = []
-            for p in found.findall(unit):
-                ids = pieces.get(p)
-                if ids is None:
-                    ids = merge_bytes(p.encode(), ranks)
-                    if len(p) <= CACHE_CHARS:
-                        if len(pieces) > CACHE_UNITS:
-                            pieces.clear()
-                        pieces[p] = ids
-                out += ids
+        find, pieces = compiled(pattern).findall, {}
+
+        def piece(p: str) -> bytes:
+            out = pieces.get(p)
+            if out is None:
+                out = _ids(merge_bytes(p.encode(), ranks))
+                if len(p) <= CACHE_CHARS:
+                    if len(pieces) > CACHE_PARTS:
+                        pieces.clear()
+                    pieces[p] = out
             return out
 
+        def one(text: str) -> bytes:
+            if text[:1] == " " and text[1:].isalpha():  # a space and letters are one match
+                return piece(text)
+            return b"".join(map(piece, find(text)))
+
         by_id = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             by_id[i] = token
-        _caches[key] = (Cache(encode), by_id)
+        _caches[key] = (Cache(lambda texts: list(map(one, texts))), by_id)
     return _caches[key]
 
 
@@ -150,8 +183,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, by_id = _encoder(ranks.value, pattern)
-        for batch in slices(batches):
-            ids = [cache.text(t) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, most=SLICE):
+            ids = cache.texts(batch.column("text").to_pylist())
             decoded = [decode(x, by_id) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
@@ -172,15 +205,31 @@ def tokenizer_cache(definition: str) -> Cache:
 
         tok = Tokenizer.from_str(definition)
         tok.encode_special_tokens = True
-        cache = Cache(lambda unit: tok.encode(unit, add_special_tokens=False).ids)
-        cache.batch = lambda xs: [x.ids for x in tok.encode_batch_fast(xs, add_special_tokens=False)]
-        _caches[key] = (cache,)
-    return _caches[key][0]
-
+        size = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())])  # bytes: a token has a character for each
+
+        def encode(texts: list[str]) -> list[bytes]:
+            """A space, letters and stops are two matches: such parts are joined from what is encoded once."""
+            stems = [t.rstrip(_STOPS) for t in texts]
+            stems = [s if s[:1] == " " and s[1:].isalpha() else t for s, t in zip(stems, texts, strict=True)]
+            todo = list(dict.fromkeys([*stems, *{t[len(s) :] for s, t in zip(stems, texts, strict=True) if len(s) < len(t)}]))
+            ids = dict(zip(todo, encode_new(todo), strict=True))
+            return [ids[s] if len(s) == len(t) else ids[s] + ids[t[len(s) :]] for s, t in zip(stems, texts, strict=True)]
+
+        def encode_new(texts: list[str]) -> list[bytes]:
+            """Parts that start with white space and end without are encoded in a row, _ROW at a time, and cut by their bytes."""
+            out = [b""] * len(texts)
+            fit = [i for i, t in enumerate(texts) if t[:1] in (" ", "\n") and not t[-1:].isspace()]
+            rest = sorted(set(range(len(texts))) - set(fit))
+            for i, e in zip(rest, tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = _ids(e.ids)
+            rows = [fit[k : k + _ROW] for k in range(0, len(fit), _ROW)]
+            for row, e in zip(rows, tok.encode_batch_fast(["".join([texts[i] for i in row]) for row in rows], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(texts[i].encode()) for i in row])) + 1
+                raw, at = ids.tobytes(), 0
+                for i, end in zip(row, ends.tolist(), strict=True):
+                    out[i], at = raw[4 * at : 4 * end], end
+            return out
 
-def fill(cache: Cache, texts: list[str]) -> None:
-    """Encodes in one call all short units of ``texts`` that the cache lacks."""
-    lacking = {u for t in texts for u in units(t) if u not in cache and len(u) <= CACHE_CHARS}
-    todo = sorted(lacking)
-    for u, ids in zip(todo, cache.batch(todo), strict=True):
-        cache[u] = np.array(ids, dtype="<u4").tobytes()
+        _caches[key] = (Cache(encode),)
+    return _caches[key][0]

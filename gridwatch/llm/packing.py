@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import fill, tokenizer_cache
+from .bpe import SLICE, tokenizer_cache
 from .common import id_and_text, slices, text_bytes
 from .shingles import word_hashes
 
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int, size: int = 2048, pa
     ranges by a hash of doc_id. Other columns are ignored. sequence_id is unique, not consecutive: the task
     is in its upper half. Every sequence is full or has a power of two as its length."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # long documents lie close together on the curve
     with open(tokenizer_json) as f:
         definition = spark.sparkContext.broadcast(f.read())
     end = np.array([end_id], "<u4").tobytes()
@@ -147,11 +147,10 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int, size: int = 2048, pa
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE_TYPES, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
 
-        for batch in slices(batches):
-            texts, rows = batch.column("text").to_pylist(), []
-            fill(cache, texts)
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                rows += packer.add(doc, cache.text(text) + end)
+        for batch in slices(batches, most=SLICE):
+            rows = []
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), cache.texts(batch.column("text").to_pylist()), strict=True):
+                rows += packer.add(doc, ids + end)
             if rows:
                 yield batch_of(rows)
         if rows := packer.rest():
