@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from .common import id_and_text, slices, text_bytes
 from .shingles import shingle_hashes, word_hashes
 
-#: The fit's bound: labelled rows (chosen by a hash of doc_id), and words with a weight.
-SAMPLE_ROWS, MAX_WORDS = 6000, 2000
-#: A word is a feature where its share in toxic and other texts differs by this many standard errors.
+#: The fit's bound: about so many toxic and other labelled rows (chosen by a hash of doc_id), and words with a weight.
+TOXIC_ROWS, OTHER_ROWS, MAX_WORDS = 3000, 6000, 1000
+#: A word is a feature where its share in toxic texts exceeds that in others by this many standard errors.
 LEAST_Z = 5.0
-#: At least this many training texts have a word of the list.
-LEAST_TEXTS = 4
+#: At least this many toxic training texts have a word of the list.
+LEAST_TEXTS = 3
 GRADES = 3
 SCORED = "doc_id long, expected_severity double, grade int, toxic boolean"
 #: Letters (a-z and all bytes of other scripts) make words; all else separates.
@@ -43,24 +43,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(*text_bytes(pa.array(texts, pa.string())), _BETWEEN)
+def _hashes(texts: list[str], of=lambda data, starts: word_hashes(data, starts, _BETWEEN)) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts, and where each text's begin, a slice of texts at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in slices([batch]):
+        h, at = of(*text_bytes(part.column("text")))
+        hashes.append(h)
+        sizes.append(np.diff(at))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(sizes))
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list:
-    """At most about SAMPLE_ROWS rows (text, toxic), one per doc_id, chosen by a hash of doc_id."""
+    """At most about TOXIC_ROWS + OTHER_ROWS rows (doc_id, text, toxic), one per doc_id, chosen by a hash of doc_id."""
+    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    n = lab.agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("other")).first()
+    rate = lambda most, have: int(min(1.0, most / max(have, 1)) * 10**9) + 1
     place = F.pmod(F.xxhash64("doc_id"), F.lit(10**9))
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    n = lab.count()
-    most = int(min(1.0, SAMPLE_ROWS / max(n, 1)) * 10**9) + 1
-    lab = lab.filter(place < most).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = id_and_text(docs).filter(place < most).join(lab, "doc_id").collect()
+    lab = lab.filter(place < F.when(F.col("toxic"), rate(TOXIC_ROWS, n.bad)).otherwise(rate(OTHER_ROWS, n.other))).groupBy("doc_id").agg(F.bool_or("toxic").alias("toxic"))
+    rows = id_and_text(docs).join(F.broadcast(lab), "doc_id").collect()  # lab has the sample's bound
     return sorted({r.doc_id: (r.doc_id, r.text, r.toxic) for r in rows}.values(), key=lambda r: r[0])
 
 
 def distinct_passages(rows: list) -> list:
     """One row for each smallest shingle hash: near copies of a text count once."""
-    h, at = shingle_hashes(*word_hashes(*text_bytes(pa.array([r[1] for r in rows], pa.string()))))
+    h, at = _hashes([r[1] for r in rows], lambda data, starts: shingle_hashes(*word_hashes(data, starts)))
     seen: dict[int, tuple] = {}
     for r, a, b in zip(rows, at[:-1], at[1:], strict=True):
         if b > a:
@@ -68,7 +75,20 @@ def distinct_passages(rows: list) -> list:
     return list(seen.values())
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def _word_texts(texts: list[str], among: np.ndarray | None = None) -> np.ndarray:
+    """Distinct (word hash, text number) pairs; ``among``: of these words alone (ascending)."""
+    out = [np.zeros((0, 2), np.uint64)]
+    for k in range(0, len(texts), 256):
+        h, at = _hashes(texts[k : k + 256])
+        text = np.repeat(np.arange(k, k + len(at) - 1), np.diff(at)).astype(np.uint64)
+        if among is not None:
+            ok = among[np.minimum(np.searchsorted(among, h), max(len(among) - 1, 0))] == h if len(among) else np.zeros(len(h), bool)
+            h, text = h[ok], text[ok]
+        out.append(np.unique(np.stack([h, text], 1), axis=0))
+    return np.concatenate(out)
+
+
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 800, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ascending thresholds by gradient descent (with momentum) on the mean cumulative log-loss.
 
     Each threshold is a binary problem, grade > j, and all have the same weights; thresholds are the running sum of
@@ -90,24 +110,25 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 400, rate: float
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model, from a bounded sample of the labelled documents; None without both labels."""
     rows = distinct_passages(sample(docs, labels))
-    toxic = np.array([r[2] > 0 for r in rows], bool)
+    toxic = np.array([r[2] for r in rows], bool)
     if not toxic.any() or toxic.all():
         return None
-    h, at = _hashes([r[1] for r in rows])
-    pairs = np.unique(np.stack([h, np.repeat(np.arange(len(rows)), np.diff(at)).astype(np.uint64)], 1), axis=0)
-    words, where, df = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-    bad = np.bincount(where, weights=toxic[pairs[:, 1].astype(np.int64)], minlength=len(words))
-    p, n1, n0 = df / len(rows), toxic.sum(), (~toxic).sum()
+    n1, n0 = toxic.sum(), (~toxic).sum()
+    words, bad = np.unique(_word_texts([r[1] for r, x in zip(rows, toxic, strict=True) if x])[:, 0], return_counts=True)
+    words, bad = words[bad >= LEAST_TEXTS], bad[bad >= LEAST_TEXTS]
+    pairs = _word_texts([r[1] for r in rows], words)
+    place = np.searchsorted(words, pairs[:, 0])
+    df = np.bincount(place, minlength=len(words))
+    p = df / len(rows)
     z = (bad / n1 - (df - bad) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[df < LEAST_TEXTS] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:MAX_WORDS]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= LEAST_Z])
+    chosen = np.argsort(-z, kind="stable")[:MAX_WORDS]
+    chosen = np.sort(chosen[z[chosen] >= LEAST_Z])
     x = np.zeros((len(rows), len(chosen)))
-    place = np.full(len(words), -1)
-    place[chosen] = np.arange(len(chosen))
-    has = place[where] >= 0
-    x[pairs[has, 1].astype(np.int64), place[where[has]]] = 1
-    telling = x[:, z[chosen] > 0].sum(1)
+    column = np.full(len(words), -1)
+    column[chosen] = np.arange(len(chosen))
+    has = column[place] >= 0
+    x[pairs[has, 1].astype(np.int64), column[place[has]]] = 1
+    telling = x.sum(1)
     grade = np.where(toxic, 1 + (telling > np.median(telling[toxic])), 0)
     w, t = fit_ordinal(x, grade)
     return Model(words[chosen], w, t)
