@@ -72,8 +72,9 @@ def verified_recipes(recipes: DataFrame) -> DataFrame:
     """Adds ``recipe``: the ordered verified identifiers (h, n, v), where v is 0 unless a hash and length stand for several SHA-256s."""
     chunks = recipes.select("doc_id", "text_sha256", F.posexplode("chunks").alias("i", "c")).select("doc_id", "text_sha256", "i", "c.*")
     several = chunks.groupBy("h", "n").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("h", "n")
+    several = written(several, "chunk-keys")  # as a rule empty: two contents behind one 64-bit hash
     ranks = chunks.join(several, ["h", "n"], "left_semi").select("h", "n", "d").distinct().groupBy("h", "n").agg(F.array_sort(F.collect_list("d")).alias("ds"))
-    ranks = written(ranks, "chunk-ranks")  # as a rule empty: two contents behind one 64-bit hash
+    ranks = written(ranks, "chunk-ranks")
     other = chunks.join(ranks, ["h", "n"]).select("doc_id", "text_sha256", "i", (F.array_position("ds", F.col("d")) - 1).cast("int").alias("v")).filter("v > 0")
     other = other.distinct().groupBy("doc_id", "text_sha256").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("vs"))
     other = written(other, "chunk-others").withColumnsRenamed({"doc_id": "_id", "text_sha256": "_sha"})
