@@ -3,8 +3,9 @@
 Markup is stripped into lines, one for each block element's own text, without elements that never hold
 the article (menus, forms, scripts, notices and the like, by tag, role or class words). A line's weight
 is its text outside links. Sums over a sliding window of lines show where text surges and dives; the
-text between is kept. Where the surge lies in an article or main element, the element's own bounds
-replace the surge and dive points, so that its short first and last lines stay.
+text between is kept. Only where the surge lies in an article or main element do element bounds replace the
+surge and dive points: those of the enclosing main, or of the article and the articles beside it that
+are dense too, so that short first and last lines stay.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,30 +60,43 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int, bool]]:
-    """A page's lines in order: text, its length outside links, the number of the article or main element around it (0: none), and whether it is a heading."""
-    out: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, unwanted, article
+class Line(NamedTuple):
+    text: str
+    weight: int  # its length outside links
+    node: int  # the innermost block around it
+
+
+class Node(NamedTuple):
+    tag: str
+    parent: int
+    region: int  # the outermost main around it, else the outermost article (0: none)
+    own: int  # the outermost article inside that main (0: none)
+
+
+def lines(page: str) -> tuple[list[Line], list[Node]]:
+    """A page's lines in order, and its block elements; element 0 is the page."""
+    out: list[Line] = []
+    nodes = [Node("", 0, 0, 0)]
+    stack: list[tuple[str, bool, int]] = []  # tag, unwanted, the block around it
     text: list[str] = []
-    linked = unwanted = article = articles = 0
-    heading = False
+    linked = unwanted = block = 0
 
     def flush() -> None:
-        nonlocal heading, linked
+        nonlocal linked
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                out.append((line, max(0, len(line) - linked), article, heading))
+                out.append(Line(line, max(0, len(line) - linked), block))
             text.clear()
-        linked, heading = 0, bool(stack) and stack[-1][0] in _HEADINGS
+        linked = 0
 
     def pop() -> None:
-        nonlocal unwanted, article
+        nonlocal unwanted, block
         tag, bad, before = stack.pop()
         if tag in _BLOCKS:
             flush()
         unwanted -= bad
-        article = before
+        block = before
 
     at, links = 0, 0
     while at < len(page):
@@ -128,21 +143,30 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
             continue
         if tag == "a":
             links = 1
-        bad = _unwanted(tag, m["attrs"], article > 0)
-        stack.append((tag, bad, article))
+        bad = _unwanted(tag, m["attrs"], nodes[block].region > 0)
+        stack.append((tag, bad, block))
         unwanted += bad
-        if tag in ("article", "main") and not unwanted:
-            articles += 1
-            article = articles
-        if tag in _HEADINGS:
-            heading = True
+        if tag in _BLOCKS and not unwanted:
+            _, _, region, own = nodes[block]
+            if tag == "main" and (not region or nodes[region].tag == "article"):
+                region, own = len(nodes), 0
+            elif tag == "article" and not region:
+                region = own = len(nodes)
+            elif tag == "article" and not own:
+                own = len(nodes)
+            nodes.append(Node(tag, block, region, own))
+            block = len(nodes) - 1
     flush()
-    return out
+    return out, nodes
+
+
+def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
+    return [sum(weights[i : i + window]) for i in range(len(weights))]
 
 
 def surge_and_dive(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
     """The lines (first, one past last) around the densest window, out to where sums stay below SURGE of its sum."""
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    sums = window_sums(weights, window)
     if not sums or not max(sums):
         return 0, 0
     top = max(range(len(sums)), key=sums.__getitem__)
@@ -158,25 +182,42 @@ def surge_and_dive(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
     return a, min(b + 1, len(weights))
 
 
+def _in_elements(rows: list[Line], nodes: list[Node], dense: list[bool], region: int) -> list[str]:
+    """The lines of a main, or of an article and the dense articles with the same parent; articles in them without a dense line stay out."""
+    full = {nodes[r.node].own for r, d in zip(rows, dense, strict=True) if d}
+    if nodes[region].tag == "main":
+        return [r.text for r in rows if nodes[r.node].region == region and (not nodes[r.node].own or nodes[r.node].own in full)]
+    parts = {region} | {k for k in full if k and nodes[k].region == k and nodes[k].parent == nodes[region].parent}
+    inside = [i for i, r in enumerate(rows) if nodes[r.node].region in parts]
+    return [r.text for r in rows[inside[0] : inside[-1] + 1] if nodes[r.node].region in parts or not nodes[r.node].region and (r.weight or nodes[r.node].tag in _HEADINGS)]
+
+
 def main_text(page: str | None) -> str:
-    """The article of a page: its blocks joined by newlines; empty if none."""
-    rows = lines(page or "")
-    if not rows:
-        return ""
-    first, last = surge_and_dive([w for _, w, _, _ in rows])
-    by_article: dict[int, int] = {}
-    for _, w, k, _ in rows:
-        by_article[k] = by_article.get(k, 0) + w + 1
-    best = max((k for k in by_article if k), key=by_article.__getitem__, default=0)
-    if best and by_article[best] >= by_article.get(0, 0) / 4:
-        inside = [i for i, r in enumerate(rows) if r[2] == best]
-        first, last = inside[0], inside[-1] + 1
-        return "\n".join(r[0] for r in rows[first:last] if r[2])
-    if first == last:
+    """The article of a page: its blocks joined by newlines; empty if none.
+
+    The densest window decides. Articles with less than half as much text as the rest of the page are teasers
+    unless they hold that window: they neither begin nor end the text."""
+    rows, nodes = lines(page or "")
+    weights = [r.weight for r in rows]
+    sums = window_sums(weights)
+    if not sums or not max(sums):
         return ""
-    while first > 0 and rows[first - 1][3]:
+    top = max(range(len(sums)), key=sums.__getitem__)
+    near = range(top, min(top + WINDOW, len(rows)))
+    region = nodes[rows[max(near, key=weights.__getitem__)].node].region
+    if 2 * sum(weights[i] for i in near if nodes[rows[i].node].region == region) <= sum(weights[i] for i in near):
+        region = 0
+    inside = sum(w for r, w in zip(rows, weights, strict=True) if nodes[r.node].region)
+    minor = 2 * inside < sum(weights) - inside
+    if region and not minor:
+        least = SURGE * sums[top]
+        # a line is dense with its window's lines of the same element
+        dense = [sum(rows[j].weight for j in range(i, min(i + WINDOW, len(rows))) if nodes[rows[j].node].own == nodes[r.node].own) >= least for i, r in enumerate(rows)]
+        return "\n".join(_in_elements(rows, nodes, dense, region))
+    first, last = surge_and_dive([0 if minor and nodes[r.node].region not in (0, region) else r.weight for r in rows])
+    while first > 0 and nodes[rows[first - 1].node].tag in _HEADINGS and not (minor and nodes[rows[first - 1].node].region):
         first -= 1
-    return "\n".join(r[0] for r in rows[first:last])
+    return "\n".join(r.text for r in rows[first:last])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

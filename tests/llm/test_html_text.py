@@ -32,3 +32,15 @@ def test_long_page_in_one_line():
 def test_surge_and_dive():
     assert H.surge_and_dive([1, 0, 0, 0, 90, 80, 5, 100, 0, 0, 0, 0, 2]) == (4, 8)
     assert H.surge_and_dive([]) == (0, 0) == H.surge_and_dive([0, 0])
+
+
+def test_the_surge_picks_the_elements():
+    body = "".join(f"<p>{PARA} {PARA} {i}</p>" for i in range(4))
+    text = "\n".join(f"{PARA} {PARA} {i}" for i in range(4))
+    teaser = f"<article><h2>Teaser</h2><p>{PARA} {PARA}</p></article>"
+    assert H.main_text(f"<body><div><h1>T</h1>{body}</div>{teaser}</body>") == f"T\n{text}"
+    assert H.main_text(f"<body>{teaser}<div><h1>T</h1>{body}</div></body>") == f"T\n{text}"
+    assert H.main_text(f"<main><h1>T</h1><p>lead</p><article>{body}</article><p>end</p></main>") == f"T\nlead\n{text}\nend"
+    parts = f"<div><article><h2>One</h2>{body}</article><article><h2>Two</h2>{body}<p>end</p></article></div>"
+    assert H.main_text(parts) == f"One\n{text}\nTwo\n{text}\nend"
+    assert H.main_text(f"<main><article>{body}</article><article><a href=x>Other</a></article></main>") == text
