@@ -24,6 +24,10 @@ from .common import slices
 WINDOW = 3
 #: A window is dense from this share of the densest window's sum on.
 SURGE = 0.1
+#: A line counts as at most so many characters (a paragraph), so that one huge line makes no other look thin. Its text stays whole.
+LINE_CAP = 400
+#: Blocks that text flows through.
+_FLOW = frozenset("p ul ol dl pre blockquote table figure center address details hr h1 h2 h3 h4 h5 h6 li dd dt tr tbody".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _DROPPED = frozenset("aside audio button canvas datalist dialog footer form head iframe input label legend math menu nav noscript object option progress select svg template textarea title video".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -161,25 +165,40 @@ def lines(page: str) -> tuple[list[Line], list[Node]]:
 
 
 def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
-    return [sum(weights[i : i + window]) for i in range(len(weights))]
+    capped = [min(w, LINE_CAP) for w in weights]
+    return [sum(capped[i : i + window]) for i in range(len(capped))]
 
 
 def surge_and_dive(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
-    """The lines (first, one past last) around the densest window, out to where sums stay below SURGE of its sum."""
+    """The lines (first, one past last) from the first dense window to the end of the last, with all that is between."""
     sums = window_sums(weights, window)
     if not sums or not max(sums):
         return 0, 0
-    top = max(range(len(sums)), key=sums.__getitem__)
-    least = SURGE * sums[top]
-    a = top
-    while a > 0 and sums[a - 1] >= least:
-        a -= 1
-    b = top
-    while b + 1 < len(sums) and sums[b + 1] >= least:
-        b += 1
+    least = SURGE * max(sums)
+    dense = [i for i, x in enumerate(sums) if x >= least]
+    a, b = dense[0], dense[-1]
     while a < b and not weights[a]:
         a += 1
-    return a, min(b + 1, len(weights))
+    return a, b + 1
+
+
+def _beside(rows: list[Line], nodes: list[Node], at: int, step: int) -> int:
+    """The farthest mostly unlinked line before (step -1) or after (1) ``at`` that flows in the same element as it."""
+    found, own = at, rows[at].node
+    around = nodes[own].parent
+    while nodes[around].tag in _FLOW:
+        own, around = around, nodes[around].parent
+    i = at + step
+    while 0 <= i < len(rows):
+        k = rows[i].node
+        while k and k != around and nodes[k].parent != around and nodes[k].tag in _FLOW:
+            k = nodes[k].parent
+        if k != around and (nodes[k].parent != around or nodes[k].tag not in _FLOW and nodes[k].tag != nodes[own].tag or nodes[own].tag not in _FLOW):
+            break
+        if 2 * rows[i].weight >= len(rows[i].text):
+            found = i
+        i += step
+    return found
 
 
 def _in_elements(rows: list[Line], nodes: list[Node], dense: list[bool], region: int) -> list[str]:
@@ -198,7 +217,7 @@ def main_text(page: str | None) -> str:
     The densest window decides. Articles with less than half as much text as the rest of the page are teasers
     unless they hold that window: they neither begin nor end the text."""
     rows, nodes = lines(page or "")
-    weights = [r.weight for r in rows]
+    weights = [min(r.weight, LINE_CAP) for r in rows]
     sums = window_sums(weights)
     if not sums or not max(sums):
         return ""
@@ -212,9 +231,10 @@ def main_text(page: str | None) -> str:
     if region and not minor:
         least = SURGE * sums[top]
         # a line is dense with its window's lines of the same element
-        dense = [sum(rows[j].weight for j in range(i, min(i + WINDOW, len(rows))) if nodes[rows[j].node].own == nodes[r.node].own) >= least for i, r in enumerate(rows)]
+        dense = [sum(weights[j] for j in range(i, min(i + WINDOW, len(rows))) if nodes[rows[j].node].own == nodes[r.node].own) >= least for i, r in enumerate(rows)]
         return "\n".join(_in_elements(rows, nodes, dense, region))
     first, last = surge_and_dive([0 if minor and nodes[r.node].region not in (0, region) else r.weight for r in rows])
+    first, last = _beside(rows, nodes, first, -1), _beside(rows, nodes, last - 1, 1) + 1
     while first > 0 and nodes[rows[first - 1].node].tag in _HEADINGS and not (minor and nodes[rows[first - 1].node].region):
         first -= 1
     return "\n".join(r.text for r in rows[first:last])

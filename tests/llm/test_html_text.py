@@ -44,3 +44,21 @@ def test_the_surge_picks_the_elements():
     parts = f"<div><article><h2>One</h2>{body}</article><article><h2>Two</h2>{body}<p>end</p></article></div>"
     assert H.main_text(parts) == f"One\n{text}\nTwo\n{text}\nend"
     assert H.main_text(f"<main><article>{body}</article><article><a href=x>Other</a></article></main>") == text
+
+
+def plain(*texts):
+    """A page without article or main: a menu, the texts as paragraphs (lists as lists) of a div, and links."""
+    inner = "".join("<ul>" + "".join(f"<li>{y}</li>" for y in t) + "</ul>" if isinstance(t, list) else f"<p>{t}</p>" for t in texts)
+    return f"<body><div><a href=a>Home</a></div><div>{inner}</div><div><a href=b>Next page</a></div><div>(c) me</div></body>"
+
+
+def test_all_dense_runs_stay():
+    long = f"{PARA} {PARA} {PARA} {PARA}"
+    for texts in (
+        [long, long, long, ["one", "two", "three", "four", "five"], long, long],
+        [long, long, ("word " * 10_000).strip(), long, long],
+        [long, long, "The end."],
+        ["By a writer", "Paris", "Monday", "Noon", long, long, "Bye.", "A", "B", "C", "D"],
+        [long, ["one", "two"], ["a", "b", "c"]],
+    ):
+        assert H.main_text(plain(*texts)) == "\n".join(y for t in texts for y in (t if isinstance(t, list) else [t])), texts
