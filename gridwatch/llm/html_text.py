@@ -40,28 +40,38 @@ _WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner banners cookie cookies consent gdpr notice notices sidebar sidebars widget widgets menu menus nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus respond replies share sharing social related recommended newsletter subscribe signup login popup modal overlay pagination pager toolbar".split()
 )
+#: Words for text that is prose though not the article's; the others name parts of a layout, and often just say that a page has them.
+_PROSE = frozenset("ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices comment comments disqus respond replies".split())
+LAYOUT, PROSE = 1, 2
+#: Words that add nothing to those in an id.
+_PLACES = frozenset("area bar block box bottom container content form inner item items left links list main outer page post posts primary right secondary section site the top wrap wrapper".split())
+_ALL_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEAD_WORDS = frozenset("header siteheader".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^<]*\Z", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
+def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element never holds the article, and what its class and id words vote: 0 nothing, LAYOUT or PROSE against it."""
     if tag in _DROPPED or (tag == "header" and not in_article):
-        return True
+        return True, 0
+    vote = 0
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, 0
         words = {w.lower() for w in _SPLIT.split(value) if w}
         if name == "role":
             if words & _ROLES:
-                return True
+                return True, 0
+        elif name == "id" and (tag in _ALL_HEADINGS or tag == "section" and in_article or (in_article or tag == "section") and not words <= _WORDS | _PLACES):
+            continue  # the name of a heading or section, as links to it use it
         elif name in ("class", "id") and (words & _WORDS or (not in_article and words & _HEAD_WORDS)):
-            return True
-    return False
+            vote = PROSE if vote == PROSE or words & _PROSE else LAYOUT
+    return False, vote
 
 
 class Line(NamedTuple):
@@ -70,6 +80,15 @@ class Line(NamedTuple):
     node: int  # the innermost block around it
 
 
+#: Text, whether it is in a link, and the vote that holds for it.
+Piece = tuple[str, bool, int]
+
+
+class Vote(NamedTuple):
+    kind: int
+    around: int  # the vote around it
+
+
 class Node(NamedTuple):
     tag: str
     parent: int
@@ -78,38 +97,35 @@ class Node(NamedTuple):
 
 
 def lines(page: str) -> tuple[list[Line], list[Node]]:
-    """A page's lines in order, and its block elements; element 0 is the page."""
-    out: list[Line] = []
+    """A page's lines in order, without those of elements voted out, and its block elements; element 0 is the page."""
+    raw: list[tuple[list[Piece], int]] = []
     nodes = [Node("", 0, 0, 0)]
-    stack: list[tuple[str, bool, int]] = []  # tag, unwanted, the block around it
-    text: list[str] = []
-    linked = unwanted = block = 0
+    votes = [Vote(0, 0)]
+    stack: list[tuple[str, bool, int, int]] = []  # tag, unwanted, the block and the vote around it
+    text: list[Piece] = []
+    unwanted = block = vote = 0
+    mains = set()
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal text
         if text:
-            line = " ".join(html.unescape("".join(text)).split())
-            if line:
-                out.append(Line(line, max(0, len(line) - linked), block))
-            text.clear()
-        linked = 0
+            raw.append((text, block))
+            text = []
 
     def pop() -> None:
-        nonlocal unwanted, block
-        tag, bad, before = stack.pop()
+        nonlocal unwanted, block, vote
+        tag, bad, before, voted = stack.pop()
         if tag in _BLOCKS:
             flush()
         unwanted -= bad
-        block = before
+        block, vote = before, voted
 
     at, links = 0, 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else len(page)]
         if piece and not unwanted:
-            text.append(piece)
-            if links:
-                linked += len(piece)
+            text.append((piece, bool(links), vote))
         if not m:
             break
         at = m.end()
@@ -127,7 +143,7 @@ def lines(page: str) -> tuple[list[Line], list[Node]]:
                 flush()
             continue
         if tag == "br":
-            text.append(" ")
+            text.append((" ", False, vote))
             continue
         if tag in _BLOCKS:
             flush()
@@ -147,13 +163,17 @@ def lines(page: str) -> tuple[list[Line], list[Node]]:
             continue
         if tag == "a":
             links = 1
-        bad = _unwanted(tag, m["attrs"], nodes[block].region > 0)
-        stack.append((tag, bad, block))
+        bad, against = _judge(tag, m["attrs"], nodes[block].region > 0)
+        stack.append((tag, bad, block, vote))
         unwanted += bad
+        if against and not unwanted:
+            votes.append(Vote(against, vote))
+            vote = len(votes) - 1
         if tag in _BLOCKS and not unwanted:
             _, _, region, own = nodes[block]
             if tag == "main" and (not region or nodes[region].tag == "article"):
                 region, own = len(nodes), 0
+                mains.add(vote)
             elif tag == "article" and not region:
                 region = own = len(nodes)
             elif tag == "article" and not own:
@@ -161,9 +181,76 @@ def lines(page: str) -> tuple[list[Line], list[Node]]:
             nodes.append(Node(tag, block, region, own))
             block = len(nodes) - 1
     flush()
+    stays = _upheld(raw, votes, mains, nodes) if len(votes) > 1 else [True]
+    out = []
+    for pieces, k in raw:
+        kept = [p for p in pieces if stays[p[2]]]
+        line = " ".join(html.unescape("".join(p[0] for p in kept)).split())
+        if line:
+            out.append(Line(line, max(0, len(line) - sum(len(p[0]) for p in kept if p[1])), k))
     return out, nodes
 
 
+def _upheld(raw: list[tuple[list[Piece], int]], votes: list[Vote], mains: set[int], nodes: list[Node]) -> list[bool]:
+    """For each vote, whether its element stays all the same, and with it all elements around it.
+
+    A part of the layout stays if it, or what it holds, has most of the page's text or a window as dense as the
+    article's, or if it holds a main. Other prose stays only if it has more than
+    twice the text of all that stays, and a paragraph's at least where an article or main has text without it."""
+    weights: list[dict[int, int]] = []
+    for pieces, _ in raw:
+        by: dict[int, int] = {}
+        for p, link, v in pieces:
+            if not link:
+                by[v] = by.get(v, 0) + len(" ".join(p.split()))
+        weights.append({v: min(w, LINE_CAP) for v, w in by.items()})
+    own = [0] * len(votes)
+    for by in weights:
+        for v, w in by.items():
+            own[v] += w
+    held = own[:]
+    for v in range(len(votes) - 1, 0, -1):
+        held[votes[v].around] += held[v]
+    stays = [True] + [False] * (len(votes) - 1)
+    outside = own[0]
+    in_article = any(by.get(0) and nodes[k].region for by, (_, k) in zip(weights, raw, strict=True))
+
+    def keep(v: int) -> None:
+        nonlocal outside
+        while not stays[v]:
+            stays[v] = True
+            outside += own[v]
+            v = votes[v].around
+
+    for v in mains:
+        keep(v)
+    layout = [v for v in range(1, len(votes)) if votes[v].kind == LAYOUT]
+    for v in layout:
+        if 2 * held[v] > held[0]:
+            keep(v)
+    for v in sorted(range(1, len(votes)), key=lambda v: own[v] * (2 if votes[v].kind == LAYOUT else 1), reverse=True):
+        if own[v] > outside if votes[v].kind == LAYOUT else own[v] > 2 * outside and (own[v] >= LINE_CAP or not in_article):
+            keep(v)
+    in_prose = [False] * len(votes)
+    for v in range(1, len(votes)):
+        in_prose[v] = votes[v].kind == PROSE or in_prose[votes[v].around]
+    sums = window_sums([sum(w for v, w in by.items() if not in_prose[v] or stays[v]) for by in weights])
+    least = max(sums, default=0)
+    best = dict.fromkeys(layout, 0)
+    for i in range(len(weights)):
+        near: dict[int, int] = {}
+        for by in weights[i : i + WINDOW]:
+            for v, w in by.items():
+                near[v] = near.get(v, 0) + w
+        for v, w in near.items():
+            if v in best:
+                best[v] = max(best[v], w)
+    for v in layout:
+        if best[v] and (best[v] >= least or best[v] >= max(LINE_CAP, least / 2)):
+            keep(v)
+    return stays
+
+
 def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
     capped = [min(w, LINE_CAP) for w in weights]
     return [sum(capped[i : i + window]) for i in range(len(capped))]

@@ -62,3 +62,15 @@ def test_all_dense_runs_stay():
         [long, ["one", "two"], ["a", "b", "c"]],
     ):
         assert H.main_text(plain(*texts)) == "\n".join(y for t in texts for y in (t if isinstance(t, list) else [t])), texts
+
+
+def test_words_only_vote():
+    long = f"{PARA} {PARA} {PARA} {PARA}"
+    menu, ad, comments = "<div class='main-menu'><a href=a>Home</a> you are here</div>", f"<div class='ad'>{PARA}</div>", f"<div id='comments'><h3>2 comments</h3><div class='comment'>{long}</div><div class='comment'>{long} {long}</div></div>"
+    for name in ("content-sidebar-wrap", "no-sidebar", "nav-open", "with-menu", "no-sidebar with-menu ad-free"):
+        page = f"<body>{menu}<div class='{name}'><h1>T</h1><p>{long}</p>{ad}<p>{long}</p><div class='sidebar'>{PARA}</div></div>{comments}<div class='site-footer'>About us</div></body>"
+        assert H.main_text(page) == f"T\n{long}\n{long}", name
+        assert H.main_text(f"<div id='{name}'><div class='nav-open'><h1>T</h1><p>{PARA}</p></div></div><div class='footer'>About us</div>") == f"T\n{PARA}", name
+    named = f"<section id='related-work'><h2>Related work</h2><p>{PARA}</p></section><h2 id='social-effects'>Social effects</h2><div id='menu-planning'><p>{PARA}</p></div><section id='comments'><p>short</p></section>"
+    assert H.main_text(f"<article><p>{long}</p>{named}{ad}<div id='related-posts'>See this</div></article>") == f"{long}\nRelated work\n{PARA}\nSocial effects\n{PARA}\nshort"
+    assert H.main_text(f"<div><p>{long}</p><section id='related-work'><p>{PARA}</p></section><h2 id='social-effects'>Social effects</h2><p>{long}</p></div>") == f"{long}\n{PARA}\nSocial effects\n{long}"
