@@ -1,8 +1,8 @@
 """Secret scans: fixed formats, and sliding-window Shannon entropy per character class.
 
 DataFrame functions only. A candidate string is a long run of token characters that touches no span
-of a fixed format. Its class (hexadecimal, or the base64 alphabet) sets the entropy that one window
-must reach. Windows slide by one character: the state keeps each symbol's count and the sum of
+of a fixed format. Its class (hexadecimal, digits with letters of one case, or the base64 alphabet) sets
+the entropy that one window must reach. Paths and names go, unless a part of them is as random as a secret. Windows slide by one character: the state keeps each symbol's count and the sum of
 c * log2(c), and a step changes two counts and two terms of that sum.
 """
 
@@ -23,15 +23,23 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex")
 WINDOW = 20
 #: Bits that a window of WINDOW characters must reach, by class.
-LEAST_BITS = {"hex": 3.0, "base64": 3.6}
+LEAST_BITS = {"hex": 3.0, "lower": 3.4, "upper": 3.4, "base64": 3.6}
+#: From this length on, a part of a path is held to its class's bits, less by its length where that is under WINDOW.
+LEAST_PART = 12
 #: Strings that look random and are no secrets, by what the whole candidate or the text before it matches.
 ALLOWED = (
     r"^[A-Za-z]+$",  # words, without a digit or a sign
     r"^[0-9_=/+-]+$",  # numbers, dates and rules
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?[A-Za-z0-9]*[a-z]{2,}[A-Za-z0-9]*(?:[/_-][A-Za-z]*[a-z][a-z0-9]*){1,}/?$",  # paths and names in parts
+    r"^(?:[a-z]{6,}[0-9]{1,8}(?:[a-z]{6,})?|[A-Z]{6,}[0-9]{1,8}(?:[A-Z]{6,})?)$",  # words of one case around or before one number
     r"(?i)(?:example|sample|dummy|placeholder|changeme|x{6}|0{8}|1234567)",
 )
+#: Paths and names in parts; allowed if no part has its class's entropy.
+PATHS = (
+    r"^/?[A-Za-z0-9]*[a-z]{2,}[A-Za-z0-9]*(?:[/_-][A-Za-z]*[a-z][a-z0-9]*){1,}/?$",
+    r"^[/_-]*(?:[a-z]+[0-9]*|[0-9]+)(?:[/_-]+(?:[a-z]+[0-9]*|[0-9]+))+[/_-]*$",
+    r"^[/_-]*(?:[A-Z]+[0-9]*|[0-9]+)(?:[/_-]+(?:[A-Z]+[0-9]*|[0-9]+))+[/_-]*$",
+)
 ALLOWED_BEFORE = r"(?i)(?:sha-?(?:1|256|512)|md5|checksum|integrity|commit|uuid|etag)[\"'\x20:=-]*$"
 
 
@@ -67,15 +75,35 @@ def _without(spans: Column, pattern: str) -> Column:
     return F.filter(spans, lambda x: ~x["m"].rlike(pattern))
 
 
+def _least_bits(s: Column) -> Column:
+    """What a window of a string must reach, by the string's class."""
+    by_case = F.when(~s.rlike("[A-Z]"), LEAST_BITS["lower"]).when(~s.rlike("[a-z]"), LEAST_BITS["upper"]).otherwise(LEAST_BITS["base64"])
+    return F.when(s.rlike("^[0-9a-fA-F=-]+$"), LEAST_BITS["hex"]).otherwise(by_case)
+
+
+def _short_bits(s: Column) -> Column:
+    """The entropy, in bits, of a string shorter than WINDOW."""
+    terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
+    codes = F.split(s, "")
+    total = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda t, c: t + F.get(terms, F.size(F.filter(codes, lambda x: x == c))))
+    return F.log2(F.length(s).cast("double")) - total / F.length(s)
+
+
+def _random_part(s: Column) -> Column:
+    """Whether a part between separators has letters, digits and its class's entropy."""
+    share = F.log2(F.length(s).cast("double")) / math.log2(WINDOW)
+    bits = F.when(F.length(s) >= WINDOW, window_bits(s) >= _least_bits(s)).otherwise(_short_bits(s) >= _least_bits(s) * share)
+    return F.when((F.length(s) >= LEAST_PART) & s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~s.rlike("^[A-Za-z]+[0-9]{1,4}$"), bits).otherwise(False)
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
     """Candidates outside ``base`` that aren't allowed and have a window with enough entropy for their class."""
     found = outside(matches(text, CANDIDATE, "entropy", 3), base)
     for pattern in ALLOWED:
         found = _without(found, pattern)
     found = F.filter(found, lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & ~F.substring(text, F.greatest(x["start"] - 15, F.lit(1)), F.least(x["start"], F.lit(16))).rlike(ALLOWED_BEFORE))
-    is_hex = lambda x: x["m"].rlike("^[0-9a-fA-F=-]+$")
-    mixed = lambda x: is_hex(x) | (x["m"].rlike("[A-Z]") & x["m"].rlike("[a-z]"))
-    return F.filter(found, lambda x: mixed(x) & (window_bits(x["m"]) >= F.when(is_hex(x), LEAST_BITS["hex"]).otherwise(LEAST_BITS["base64"])))
+    found = F.filter(found, lambda x: ~x["m"].rlike("|".join(PATHS)) | F.exists(F.split(x["m"], "[/_-]"), _random_part))
+    return F.filter(found, lambda x: window_bits(x["m"]) >= _least_bits(x["m"]))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -62,3 +62,22 @@ def test_redaction(spark):
     got = {r.doc_id: (r.text, r.spans) for r in S.redact_secrets(docs).collect()}
     assert got == {1: ("é [SECRET] tail", 9), 2: (None, 9), 3: ("clean", 9)}
     assert S.secret_spans(docs.limit(0)).count() == 0
+
+
+def test_random_tokens_of_every_class(spark):
+    rng = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    tokens = [(a, "".join(rng.choices(a, k=n))) for a in (upper + "234567", lower + digits, upper + digits, upper + lower + digits + "-_") for n in (24, 32, 43) for _ in range(100)]
+    tokens = [(a, t) for a, t in tokens if any(c.isdigit() for c in t)]
+    names = [
+        "windowsserver2019datacenter", "MAXIMUM_RETRY_COUNT_2024", "/usr/local/share/python3/lib-dynload/files", "getting-started-with-python3-and-spark4", "2024-01-31-release-notes-for-version-2",
+        "quarterly_results_2023_final", "THEQUICKBROWNFOXES2024",
+    ]
+    texts = ["key " + t for _, t in tokens] + names + ["at Zk3aQ9xv7PbTr2LmWc8s_dKeFq"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in S.secret_digest(S.secret_spans(docs)).collect()}
+    for alphabet in {a for a, _ in tokens}:
+        found = [got[i] != "" for i, (a, _) in enumerate(tokens) if a == alphabet]
+        assert sum(found) >= 0.97 * len(found), (alphabet, sum(found), len(found))
+    assert [got[len(tokens) + i] for i in range(len(names))] == [""] * len(names)
+    assert got[len(texts) - 1] == "entropy:3:29"
