@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, written
 
-#: The fit's bound: rows per language, characters of each, bytes of a dictionary, and languages.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 400, 1000, 32 << 10, 64
+#: The fit's bound: rows per language, characters of each, and bytes of a dictionary.
+SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1000, 32 << 10
+#: A task holds compressors for so many languages at once; more take turns.
+LANGUAGES_AT_ONCE = 64
 LEVEL, PIECE = 5, 1024
 #: Smallest share of the second-best size that the best must save.
 MARGIN = 0.004
@@ -39,25 +41,26 @@ def clean(text: str) -> bytes:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary per language, from at most SAMPLE_ROWS labelled rows that aren't held out, chosen by a hash of their id.
 
-    A dictionary takes the first SAMPLE_CHARS of each sampled row up to DICTIONARY_BYTES. No labelled rows, no
-    dictionaries."""
+    A dictionary takes the first SAMPLE_CHARS of each sampled row until DICTIONARY_BYTES are full: the first 32 rows or
+    so where rows are long, up to all where they are short. Any number of languages: dictionaries are made in tasks,
+    and only they come to the driver. No labelled rows, no dictionaries."""
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     d = d.filter(~held_out(F.col("i")) & F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = {r.l: r["count"] for r in d.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return {}
+    counts = written(d.groupBy("l").agg(F.count("*").alias("n")), "languages")
     place = F.pmod(F.xxhash64("i"), F.lit(10**9))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("l") == lang) & (place < int(min(1.0, 2 * SAMPLE_ROWS / n) * 10**9) + 1))
-    rows = d.filter(chosen).select("l", place.alias("p"), "i", F.substring("t", 1, SAMPLE_CHARS).alias("t")).collect()
-    samples: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts)}
-    for r in sorted(rows, key=lambda r: (r.p, r.i, r.t)):
-        if len(samples[r.l]) < SAMPLE_ROWS:
-            samples[r.l].append(clean(r.t))
-    return {lang: b"\n".join(dict.fromkeys(texts))[:DICTIONARY_BYTES] for lang, texts in samples.items()}
+    most = F.floor(F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_ROWS) / F.col("n")) * 10**9) + 1
+    rows = d.join(counts, "l").filter(place < most).select("l", F.struct(place.alias("p"), "i", F.substring("t", 1, SAMPLE_CHARS).alias("t")).alias("row"))
+    found = rows.groupBy("l").agg(F.collect_list("row").alias("rows")).mapInArrow(_dictionaries, "l string, raw binary")
+    return {r.l: bytes(r.raw) for r in sorted(found.collect(), key=lambda r: r.l)}
+
+
+def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = []
+        for rows in batch.column("rows").to_pylist():
+            first = sorted(rows, key=lambda r: (r["p"], r["i"], r["t"]))[:SAMPLE_ROWS]
+            raw.append(b"\n".join(dict.fromkeys(clean(r["t"]) for r in first))[:DICTIONARY_BYTES])
+        yield pa.RecordBatch.from_arrays([batch.column("l"), pa.array(raw, pa.binary())], ["l", "raw"])
 
 
 def compressors(model: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
@@ -69,13 +72,19 @@ def compressors(model: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
     return out
 
 
-def classify(text: str | None, by: dict[str, zstandard.ZstdCompressor]) -> tuple[str, float]:
-    """The language whose dictionary compresses a text best (ties by name), and the share that it saves over the second."""
-    if not by or text is None or not any(map(str.isalpha, text)):
-        return UNKNOWN, 0.0
+def two_best(text: str | None, by: dict[str, zstandard.ZstdCompressor]) -> list[tuple[int, str]]:
+    """The two smallest compressed sizes (ties by name) with their languages; none for a text without a letter."""
+    if text is None or not any(map(str.isalpha, text)):
+        return []
     data = clean(text)
     pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-    sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in by.items())
+    return sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in by.items())[:2]
+
+
+def decide(sizes: list[tuple[int, str]]) -> tuple[str, float]:
+    """The language whose dictionary compresses a text best, and the share that it saves over the second."""
+    if not sizes:
+        return UNKNOWN, 0.0
     second = sizes[1][0] if len(sizes) > 1 else 2 * sizes[0][0]
     return sizes[0][1], (second - sizes[0][0]) / max(second, 1)
 
@@ -86,12 +95,19 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text") -
     ``und`` (score 0, rejected) where text is null or has no letter, or the model has no language."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs = docs.select(*kept)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * DICTIONARY_BYTES
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most DICTIONARY_BYTES a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = compressors(sent.value)
+        names = sorted(sent.value)
+        blocks = [{n: sent.value[n] for n in names[i : i + LANGUAGES_AT_ONCE]} for i in range(0, len(names), LANGUAGES_AT_ONCE)]
+        only = compressors(blocks[0]) if len(blocks) == 1 else None
         for batch in slices(batches, text_col):
-            found = [classify(t, by) for t in batch.column(text_col).to_pylist()]
+            texts = batch.column(text_col).to_pylist()
+            sizes: list[list[tuple[int, str]]] = [[] for _ in texts]
+            for block in blocks:
+                by = only or compressors(block)
+                sizes = [sorted(s + two_best(t, by))[:2] for s, t in zip(sizes, texts, strict=True)]
+            found = [decide(s) for s in sizes]
             new = [pa.array([x for x, _ in found], pa.string()), pa.array([m / (m + 0.02) for _, m in found], pa.float64()), pa.array([x == UNKNOWN or m < MARGIN for x, m in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*kept, "lang_pred", "score", "rejected"])
 

@@ -43,3 +43,19 @@ def test_empty_table(spark):
     assert L.fit(docs) == {} and L.identify(docs, {}).count() == 0
     one = spark.createDataFrame([(1, "words")], "doc_id long, text string")
     assert L.identify(one, {}).first().lang_pred == "und"
+
+
+def test_more_languages_than_a_task_holds(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03}": ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(60)] for k in range(150)}
+    rows = [(i, " ".join(rng.choices(words[lang], k=60)), lang) for i, lang in enumerate(sorted(words) * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert sorted(model) == sorted(words)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(docs, model).collect()}
+    assert sum(got[i][0] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+    by = L.compressors(model)
+    for i, text, _ in rows[::40]:
+        lang, margin = L.decide(L.two_best(text, by))
+        assert got[i] == (lang, margin / (margin + 0.02))
