@@ -99,9 +99,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """One row of each group of equal texts, with all its columns.
+
+    Of rows that repeat the kept doc_id, the first stays, by all columns as JSON."""
     from .common import lower_ascii
 
-    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    marks = exact_dedup(docs, id_col, text_col).filter("group_size > 1").groupBy(F.col("doc_id").alias("_dup_id"), F.col("text_sha256").alias("_dup_sha"))
+    marks = written(marks.agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).filter("NOT _kept OR _n > 1"), "exact-marks")
     sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
+    same = lambda m: F.col(id_col).cast("long").eqNullSafe(m["_dup_id"]) & (sha == m["_dup_sha"])
+    repeated = marks.filter("_kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(repeated, same(repeated)).groupBy("_dup_id", "_dup_sha").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return docs.join(marks, same(marks), "left_anti").unionByName(one)

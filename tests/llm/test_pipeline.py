@@ -76,3 +76,14 @@ def test_entry_has_all_eleven():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "same text", "b"), (1, "same text", "a"), (1, "same text", "a"), (1, "SAME text", "c"), (0, "same text", "a"), (2, "other", "x"), (None, "null", "y"), (None, "null", "z"), (3, None, "x"), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = C.without_exact_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.source or "") for r in got if r.doc_id != 3) == [(0, "y"), (1, "c"), (2, "x")]
+    assert sum(r.doc_id == 3 for r in got) == 1
+    once = [(1, "a", "x"), (2, "b", "x")]
+    twice = spark.createDataFrame(once * 2, docs.schema)
+    assert sorted(map(tuple, C.without_exact_copies(spark, twice, "").collect())) == once
