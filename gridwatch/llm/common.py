@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,25 +24,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a new temporary folder only where that is unset."""
+    """The cluster's spark.checkpoint.dir. Only a local session without that setting gets a temporary folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gridwatch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+class Scratch:
+    """Tables in the shared folder for one ``with`` block: lineage ends at each, and lost executors lose nothing.
+
+    The block's end deletes them, but for those that a lazy result still reads (``keep``): they go when the driver's JVM ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            self._fs(path, lambda fs, p: fs.delete(p, True))
+
+    def _fs(self, path: str, act) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        act(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p)
+
+    def write(self, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+        """``df`` written as Parquet and read again."""
+        path = f"{shared_folder(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        if keep:
+            self._fs(path, lambda fs, p: fs.deleteOnExit(p))
+        else:
+            self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here and lost executors lose nothing.
-
-    The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet to the shared folder and read again; the files go when the driver's JVM ends."""
+    return Scratch(df.sparkSession).write(df, tag, keep=True)
+
+
+#: Bits of the tables that tell rows which surely aren't wanted: at most 2**(FILTER_BITS - 6) rows are broadcast.
+FILTER_BITS = 23
+
+
+def _marked(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, Column]:
+    name = uuid.uuid4().hex
+    slot = lambda c: F.xxhash64(c).bitwiseAND(2**FILTER_BITS - 1)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(c).bitwiseAND(63).cast("int"))
+    word = lambda c: F.shiftright(slot(c), 6)
+    words = wanted.groupBy(word(F.col(wanted_key)).alias(f"w{name}")).agg(F.bit_or(bit(F.col(wanted_key))).alias(f"b{name}"))
+    joined = df.join(F.broadcast(words), word(key) == F.col(f"w{name}"), "left")
+    return joined, F.coalesce(F.col(f"b{name}"), F.lit(0)).bitwiseAND(bit(key)) != 0
+
+
+def bit_filter(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among those of ``wanted`` (all that are, and a few more)."""
+    joined, hit = _marked(df, F.col(key), wanted, wanted_key)
+    return joined.filter(hit).select(*[f"`{c}`" for c in df.columns])
+
+
+def bit_split(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: the rows whose key may be among those of ``wanted``, and those whose key surely isn't."""
+    joined, hit = _marked(df, key, wanted, wanted_key)
+    columns = [f"`{c}`" for c in df.columns]
+    return joined.filter(hit).select(*columns), joined.filter(~hit).select(*columns)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

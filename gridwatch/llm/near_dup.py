@@ -6,13 +6,20 @@ sets that link must share a shingle within each one's prefix, so inverted lists
 * Lists skip by position: an entry has its set's size and its place in the set, and a pair is passed
   over when sizes or the rests behind the shared shingle cannot reach the threshold. Shingles that one
   document alone has are left out of the lists.
-* Long lists skip by answers: a few pivots are joined with all members first. Sets found in one
-  component need no further comparison, so a set's answers follow from a similar set's; only pairs
-  across components are compared then, in blocks of bounded size.
+* A long list is joined with its most central member first (the one with the fewest rarer shingles before
+  the shared one). What that settles needs no comparison any more: only pairs across components are left,
+  and each has an end outside the central member's component. Those ends, the drivers, visit the list in
+  blocks of like size and like position; a block whose sizes, positions or components rule out a link
+  is skipped whole.
+* Inside a block a driver's overlaps with all members come from an inverted index. The next, similar
+  driver's overlaps are derived from them: less those of the shingles it lacks, plus those of the ones
+  it has besides. Sets are at hand there, so links are verified at once, and a block gives a spanning
+  forest of its components at most.
 * Equal sets are one class with one representative, and a bitmap of each set bounds the overlap of a
-  pair before its sets are read.
+  pair of a short list before its sets are read.
 
 Every pair that could link is verified on its whole sets or already connected, so components are exact.
+Rows are told apart by an internal key, never by doc_id.
 """
 
 from __future__ import annotations
@@ -22,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, text_bytes, written
+from .common import Scratch, bit_filter, id_and_text, slices, text_bytes
 from .components import components
 from .shingles import shingle_sets
 
@@ -33,12 +40,12 @@ from .shingles import shingle_sets
 NUM, DEN = 75, 100
 #: Sizes of the two tables of shingle statistics: one bit a slot, and one byte a slot.
 SHARED_BITS, LEVEL_BITS = 26, 22
-#: A shingle in fewer documents than this keeps its place in hash order.
-COMMON = 16
-#: Lists up to LONG are compared in full at once; longer ones against PIVOTS members first, then in blocks of BLOCK.
-LONG, PIVOTS, BLOCK = 48, 2, 512
-FILTER_BITS = 23
-_RUN = 1 << 20
+#: A shingle in fewer documents than this keeps its place in hash order; of the others, so many at most (the most frequent) have a level.
+COMMON, LEVELLED = 16, 1 << 20
+#: Lists up to LONG are compared in full at once; blocks of longer ones hold about so many bytes of sets on either side.
+LONG, BLOCK_BYTES = 48, 8 << 20
+#: Occurrences counted in one task at a time, and about so many keys in one range of keys.
+_RUN, _RANGE = 1 << 20, 1 << 22
 
 
 def _deltas(keys: np.ndarray) -> bytes:
@@ -56,14 +63,20 @@ def _keys(deltas: bytes) -> np.ndarray:
 
 
 def _counted(parts: int):
+    """Upper halves of shingles by range of keys: the distinct ones of a run of documents, and how often those with several came."""
     shift = np.uint64(32 - parts.bit_length() + 1)
 
     def emit(keys: list[np.ndarray]) -> pa.RecordBatch:
-        k = np.sort(np.concatenate(keys))
-        part = (k >> shift).astype(np.int64)
-        at = np.searchsorted(part, np.arange(parts + 1))
-        some = [i for i in range(parts) if at[i + 1] > at[i]]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_deltas(k[at[i] : at[i + 1]] - (np.uint64(i) << shift)) for i in some], pa.binary())], ["part", "keys"])
+        k, times = np.unique(np.concatenate(keys), return_counts=True)
+        at = np.searchsorted((k >> shift).astype(np.int64), np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(at)).tolist()
+        blobs, which, often = [], [], []
+        for i in some:
+            blobs.append(_deltas(k[at[i] : at[i + 1]] - (np.uint64(i) << shift)))
+            several = np.flatnonzero(times[at[i] : at[i + 1]] > 1)
+            which.append(several.astype(np.uint32).tobytes())
+            often.append(times[at[i] : at[i + 1]][several].astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x, pa.binary()) for x in (blobs, which, often)]], ["part", "keys", "which", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -81,34 +94,49 @@ def _counted(parts: int):
 
 
 def _tables(parts: int):
-    """Of one range of keys: a bit for each slot with a key in two documents or more, a level for each with a common one."""
+    """Of one range of keys: a bit for each slot with a key in two documents or more, and the common keys with their levels."""
     low = 32 - parts.bit_length() + 1
-    bits, levels = SHARED_BITS - parts.bit_length() + 1, LEVEL_BITS - parts.bit_length() + 1
+    bits = SHARED_BITS - parts.bit_length() + 1
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        k = np.sort(np.concatenate([_keys(x) for x in rows.column("keys").to_pylist()]))
-        first = np.flatnonzero(np.diff(k, prepend=-1))
-        count = np.diff(first, append=len(k))
-        k = k[first]
-        shared, level = np.zeros(1 << bits, bool), np.zeros(1 << levels, np.uint8)
+        keys, times = [], []
+        for k, which, often in zip(*[rows.column(c).to_pylist() for c in ("keys", "which", "often")], strict=True):
+            keys.append(_keys(k))
+            times.append(np.ones(len(keys[-1]), np.int64))
+            times[-1][np.frombuffer(which, np.uint32)] = np.frombuffer(often, np.uint32)
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate(times)).astype(np.int64)
+        shared = np.zeros(1 << bits, bool)
         shared[k[count > 1] >> (low - bits)] = True
         many = count >= COMMON
-        np.maximum.at(level, k[many] >> (low - levels), np.log2(count[many]).astype(np.uint8))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "shared": pa.array([np.packbits(shared).tobytes()], pa.binary()), "level": pa.array([level.tobytes()], pa.binary())})
+        slot = (k[many] + (key[0].as_py() << low)) >> (32 - LEVEL_BITS)
+        level = np.log2(count[many]).astype(np.uint8)
+        hist = np.bincount(level, minlength=64)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "shared": pa.array([np.packbits(shared).tobytes()], pa.binary()), "slots": pa.array([slot.astype(np.uint32).tobytes()], pa.binary()), "levels": pa.array([level.tobytes()], pa.binary()), "hist": pa.array([hist.tolist()], pa.list_(pa.int64()))})
 
     return run
 
 
-def shingle_tables(d: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all shingles of all documents, by their upper 32 bits, as two tables of fixed size (8 and 4 MB)."""
-    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = 1 << min(12, max(1, n - 1).bit_length())
-    blocks = d.mapInArrow(_counted(parts), "part int, keys binary")
+def shingle_tables(d: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all shingles of all documents, by their upper 32 bits, as two tables of fixed size (8 and 4 MB).
+
+    Keys are counted in ranges whose number grows with the text. Where more than LEVELLED shingles are common, the
+    level table has the most frequent ones."""
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 << min(SHARED_BITS - 6, max(3, (size // 6 // _RANGE).bit_length()))
+    blocks = d.select("text").mapInArrow(_counted(parts), "part int, keys binary, which binary, often binary")
+    made = scratch.write(blocks.groupBy("part").applyInArrow(_tables(parts), "part int, shared binary, slots binary, levels binary, hist array<long>"), "shingle-tables")
+    hist = {r.pos: r.n for r in made.select(F.posexplode("hist").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
+    least, total = 63, 0
+    while least >= 0 and total + hist.get(least, 0) <= LEVELLED:
+        total += hist.get(least, 0)
+        least -= 1
     shared, level = np.zeros(1 << SHARED_BITS - 3, np.uint8), np.zeros(1 << LEVEL_BITS, np.uint8)
-    for r in blocks.groupBy("part").applyInArrow(_tables(parts), "part int, shared binary, level binary").toLocalIterator():
-        a, b = np.frombuffer(r.shared, np.uint8), np.frombuffer(r.level, np.uint8)
+    for r in made.drop("hist").toLocalIterator():
+        a, lv = np.frombuffer(r.shared, np.uint8), np.frombuffer(r.levels, np.uint8)
         shared[r.part * len(a) : (r.part + 1) * len(a)] = a
-        level[r.part * len(b) : (r.part + 1) * len(b)] = b
+        some = lv > least
+        np.maximum.at(level, np.frombuffer(r.slots, np.uint32)[some], lv[some])
     return shared, level
 
 
@@ -128,10 +156,10 @@ def least_overlap(n, m):
     return -(-NUM * (n + m) // (NUM + DEN))
 
 
-SIGNATURES = "doc_id long, n long, fp binary, toks array<long>, pos array<int>, bits binary"
+SIGNATURES = "row long, doc_id long, text_hash long, n long, fp binary, toks array<long>, pos array<int>, bits binary, s binary"
 
 
-def _signed(shared: np.ndarray, level: np.ndarray):
+def _signed(shared, level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared_, level_ = shared.value, level.value
         for batch in slices(batches):
@@ -139,90 +167,77 @@ def _signed(shared: np.ndarray, level: np.ndarray):
             lv = level_[h >> np.uint64(64 - LEVEL_BITS)]
             slot = h >> np.uint64(64 - SHARED_BITS)
             has = (shared_[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            fps, bits, toks, pos = [], [], [], []
+            sets, fps, bits, toks, pos = [], [], [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 s = h[a:b]
-                fps.append(hashlib.md5(s.tobytes()).digest())
+                sets.append(s.tobytes())
+                fps.append(hashlib.md5(sets[-1]).digest())
                 bits.append(bitmap(s))
                 first = np.argsort(lv[a:b], kind="stable")[: prefix_size(b - a) if b > a else 0]
                 place = np.flatnonzero(has[a:b][first])
                 toks.append(s[first[place]].view(np.int64))
                 pos.append(place.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(fps, pa.binary()), pa.array(toks, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(bits, pa.binary())], ["doc_id", "n", "fp", "toks", "pos", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(at)), pa.array(fps, pa.binary()), pa.array(toks, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], [f.split()[0] for f in SIGNATURES.split(", ")])
 
     return run
 
 
-def signatures(d: DataFrame) -> DataFrame:
+def signatures(d: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each row's key, set and list entries; the sets are made once here and read from then on."""
     sc = d.sparkSession.sparkContext
-    shared, level = map(sc.broadcast, shingle_tables(d))
-    return d.mapInArrow(_signed(shared, level), SIGNATURES)
+    shared, level = map(sc.broadcast, shingle_tables(d, scratch))
+    rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(_signed(shared, level), SIGNATURES)
 
 
-def can_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+def can_link(n, i, m, j):
     """Whether sets of sizes n and m that share the shingle at places i and j, and none before, can link."""
-    need = least_overlap(n, m)
-    return (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (np.minimum(n - i, m - j) >= need)
+    return (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (np.minimum(n - i, m - j) >= least_overlap(n, m))
 
 
-LISTED = "tok long, a long, b long, n long, pos int"
+def _can_link(n: Column, i: Column, m: Column, j: Column) -> Column:
+    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((NUM + DEN) * F.least(n - i, m - j) >= NUM * (n + m))
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries sorted by shingle: pairs (a, b) of short lists and of pivots; members (a alone) of long lists."""
-    held: list[np.ndarray] = []  # columns tok, rep, n, pos of the list that is open
-    seen = 0
+def _short_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From entries (tok, row, n, pos) sorted by tok, at most LONG a list: the pairs (a, b) that can link, lists of one size at a time."""
 
-    def pairs(x: np.ndarray, y: np.ndarray, tri: bool) -> np.ndarray:
-        i, j = np.triu_indices(len(x), 1) if tri else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
-        ok = can_link(x[i, 2], x[i, 3], y[j, 2], y[j, 3]) & (x[i, 1] != y[j, 1])
-        return np.stack([x[i, 1], y[j, 1]], 1)[ok]
-
-    def out(found: list[np.ndarray], members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        p = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        p = np.unique(np.sort(p, axis=1), axis=0)
-        m = np.concatenate(members) if members else np.zeros((0, 4), np.int64)
-        n = len(p)
-        none = np.concatenate([np.zeros(n, bool), np.ones(len(m), bool)])
-        cols = [np.concatenate([np.zeros(n, np.int64), m[:, 0]]), np.concatenate([p[:, 0], m[:, 1]]), np.concatenate([p[:, 1], m[:, 1]]), np.concatenate([np.zeros(n, np.int64), m[:, 2]]), np.concatenate([np.zeros(n, np.int64), m[:, 3]]).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], mask=none), pa.array(cols[3]), pa.array(cols[4])], ["tok", "a", "b", "n", "pos"])
-
-    def close() -> np.ndarray:
-        x = np.concatenate(held)
-        return pairs(x, x, True)
+    def pairs(x: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.diff(x[:, 0], prepend=x[0, 0] - 1 if len(x) else 0))
+        sizes = np.diff(starts, append=len(x))
+        found = [np.zeros((0, 2), np.int64)]
+        for k in np.unique(sizes[sizes > 1]).tolist():
+            i, j = np.triu_indices(k, 1)
+            at = starts[sizes == k]
+            step = max(1, (1 << 19) // len(i))
+            for c in range(0, len(at), step):
+                u, v = x[(at[c : c + step, None] + i).ravel()], x[(at[c : c + step, None] + j).ravel()]
+                ok = can_link(u[:, 2], u[:, 3], v[:, 2], v[:, 3])
+                found.append(np.stack([np.minimum(u[ok, 1], v[ok, 1]), np.maximum(u[ok, 1], v[ok, 1])], 1))
+        p = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
+    held = np.zeros((0, 4), np.int64)
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tok", "rep", "n", "pos")], 1)
-        found, members = [], []
-        for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1) if len(rows) else []:
-            if held and held[0][0, 0] != part[0, 0]:
-                if 1 < seen <= LONG:
-                    found.append(close())
-                held, seen = [], 0
-            before, seen = seen, seen + len(part)
-            if seen <= LONG:
-                held.append(part)
-                continue
-            if before <= LONG:  # the list turns out long: what was held counts from now on
-                part = np.concatenate([*held, part])
-                held = [part[:PIVOTS]]
-            found.append(pairs(held[0], part, False))
-            members.append(part)
-        if found or members:
-            yield from out(found, members)
-    if held and 1 < seen <= LONG:
-        yield from out([close()], [])
+        x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tok", "row", "n", "pos")], 1)
+        x = np.concatenate([held, x])
+        last = int(np.searchsorted(x[:, 0], x[-1, 0])) if len(x) else 0
+        held = x[last:]
+        if last:
+            yield pairs(x[:last])
+    if len(held):
+        yield pairs(held)
 
 
 def _hamming(a: bytes, b: bytes) -> int:
     """Differing bits of two bitmaps, the longer one folded to the shorter's size."""
-    x, y = np.unpackbits(np.frombuffer(a, np.uint8)), np.unpackbits(np.frombuffer(b, np.uint8))
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     if len(x) > len(y):
         x, y = y, x
     while len(y) > len(x):
         half = len(y) // 2
         y = y[:half] ^ y[half:]
-    return int((x ^ y).sum())
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +248,6 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        h, at = shingle_sets(*text_bytes(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "s"])
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -249,83 +258,132 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verify(d: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Texts are read again, and a filter of FILTER_BITS bits
-    (a broadcast table of at most 2**(FILTER_BITS - 6) rows) keeps those of other documents from being moved."""
-    slot = lambda c: F.xxhash64(c).bitwiseAND(2**FILTER_BITS - 1)
-    word = lambda c: F.shiftright(slot(c), 6)
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64({c}) & 63 AS int))")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    words = ids.groupBy(word("id").alias("_w")).agg(F.bit_or(bit("id")).alias("_bits"))
-    wanted = d.join(F.broadcast(words), word("doc_id") == F.col("_w")).filter(F.col("_bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
-    sets = written(wanted.mapInArrow(_sets, "doc_id long, s binary"), "sets")
-    joined = pairs.join(sets.withColumnRenamed("doc_id", "a"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), "b")
-    return written(joined.select("a", "b", "s", "t").mapInArrow(_verified, "a long, b long"), "links")
+def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets. A bit filter keeps other rows' sets from being moved."""
+    wanted = bit_filter(sets, "row", pairs.select(F.explode(F.array("a", "b")).alias("row")), "row")
+    joined = pairs.join(wanted.withColumnRenamed("row", "a"), "a").join(wanted.select(F.col("row").alias("b"), F.col("s").alias("t")), "b")
+    return joined.select("a", "b", "s", "t").mapInArrow(_verified, "a long, b long")
+
+
+def _with_component(df: DataFrame, comp: DataFrame, row: str, name: str) -> DataFrame:
+    known = comp.select(F.col("node").alias(row), F.col("component").alias(name))
+    return df.join(known, row, "left").withColumn(name, F.coalesce(name, row))
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose ends aren't known to be connected."""
-    j = pairs.join(comp.select(F.col("node").alias("a"), F.col("component").alias("_ca")), "a", "left")
-    j = j.join(comp.select(F.col("node").alias("b"), F.col("component").alias("_cb")), "b", "left")
-    return j.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
-
-
-def _block_pairs(key: tuple, rows: pa.Table) -> pa.Table:
-    """Of one pair of blocks of one long list: the pairs across components that sizes, places and bitmaps allow."""
-    c = {k: rows.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "n", "pos", "comp", "block")}
-    u, v = key[1].as_py(), key[2].as_py()
-    x, y = np.flatnonzero(c["block"] == u), np.flatnonzero(c["block"] == v)
-    bits = rows.column("bits").to_pylist()
-    a, b = [], []
-    for i in x.tolist():
-        j = y[(c["comp"][y] != c["comp"][i]) & can_link(c["n"][i], c["pos"][i], c["n"][y], c["pos"][y])]
-        if u == v:
-            j = j[c["rep"][j] > c["rep"][i]]
-        for k in j.tolist():
-            if (c["n"][i] + c["n"][k] - _hamming(bits[i], bits[k])) // 2 >= least_overlap(c["n"][i], c["n"][k]):
-                a.append(min(c["rep"][i], c["rep"][k]))
-                b.append(max(c["rep"][i], c["rep"][k]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _long_pairs(members: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs of long lists that pivots have not settled."""
-    m = members.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("_c")), "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
-    size = m.groupBy("tok").agg(F.count("*").alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("tok", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(written(size, "long-lists"), "tok").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    m = m.join(reps.select(F.col("doc_id").alias("rep"), "bits"), "rep")
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"u": F.least("block", "other"), "v": F.greatest("block", "other")})
-    return m.select("tok", "u", "v", "rep", "n", "pos", "comp", "block", "bits").groupBy("tok", "u", "v").applyInArrow(_block_pairs, "a long, b long").distinct()
+    return _with_component(_with_component(pairs, comp, "a", "ca"), comp, "b", "cb").filter("ca <> cb").select("a", "b")
+
+
+def block_links(drivers: list[np.ndarray], driver_comp: np.ndarray, members: list[np.ndarray], member_comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links (driver, member) across components, one for each two components that they join: a spanning forest at most.
+
+    A driver's overlaps with all members are derived from the driver's before it where the two differ in less than the set has."""
+    size = np.array([len(s) for s in members])
+    owner = np.repeat(np.arange(len(members)), size)
+    toks = np.concatenate(members)
+    order = np.argsort(toks, kind="stable")
+    toks, owner = toks[order], owner[order]
+
+    def overlaps(s: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(toks, s), np.searchsorted(toks, s, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=len(members))
+
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
+    out = []
+    before, shared = np.zeros(0, np.uint64), np.zeros(len(members), np.int64)
+    for i in sorted(range(len(drivers)), key=lambda i: drivers[i][0]):
+        s = drivers[i]
+        gone, new = np.setdiff1d(before, s, assume_unique=True), np.setdiff1d(s, before, assume_unique=True)
+        shared = shared - overlaps(gone) + overlaps(new) if len(gone) + len(new) < len(s) else overlaps(s)
+        before = s
+        for j in np.flatnonzero((DEN * shared >= NUM * (len(s) + size - shared)) & (member_comp != driver_comp[i])).tolist():
+            a, b = root(int(driver_comp[i])), root(int(member_comp[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((i, j))
+    return out
+
+
+def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
+    drives = rows.column("drives").to_numpy(zero_copy_only=False).astype(bool)
+    row, comp = (rows.column(c).to_numpy() for c in ("row", "comp"))
+    sets = [np.frombuffer(s, np.uint64) for s in rows.column("s").to_pylist()]
+    x, y = np.flatnonzero(drives), np.flatnonzero(~drives)
+    found = block_links([sets[i] for i in x], comp[x], [sets[i] for i in y], comp[y]) if len(x) and len(y) else []
+    return pa.table({"a": pa.array([int(row[x[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(row[y[j]]) for _, j in found], pa.int64())})
+
+
+def long_links(members: DataFrame, comp: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links across components within long lists. ``members``: tok, row, n, pos and the list's central row, mid.
+
+    A list is cut by size (ratios of 4 / 3) and position (32nds of the set), and each cell of these by a hash into
+    blocks of bounded bytes. Drivers go only to cells that bounds allow."""
+    m = _with_component(_with_component(members, comp, "row", "comp"), comp, "mid", "major")
+    m = m.withColumns({"sc": F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int"), "pc": F.floor(32 * F.col("pos") / F.col("n")).cast("int")})
+    drivers = scratch.write(m.filter("comp <> major").select("tok", "row", "n", "pos", "comp"), "drivers")
+    m = m.join(drivers.select("tok").distinct(), "tok", "left_semi").select("tok", "row", "n", "pos", "comp", "sc", "pc")
+    m = scratch.write(m, "open-lists")
+    cells = m.groupBy("tok", "sc", "pc").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("splits"))
+    least_m = F.greatest("n0", F.ceil(NUM * F.col("n") / DEN))
+    fits = (NUM * F.col("n") <= DEN * F.col("n1")) & (NUM * F.col("n0") <= DEN * F.col("n")) & ((NUM + DEN) * F.least(F.col("n") - F.col("pos"), "rest") >= NUM * (F.col("n") + least_m))
+    sent = drivers.join(cells, "tok").filter(fits & ((F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))))
+    sent = scratch.write(sent.select("tok", "sc", "pc", "row", "n", "comp", "splits"), "visits")
+    visited = sent.groupBy("tok", "sc", "pc").agg(F.max("splits").alias("splits"), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("parts"))
+    visited = scratch.write(visited, "visited")
+    part, split = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("row"), F.col("splits")).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    key = ["tok", "sc", "pc"]
+    left = sent.drop("splits").join(visited, key).select(*key, part.alias("g"), all_of("splits").alias("h"), "row", "comp", F.lit(True).alias("drives"))
+    right = m.join(visited, key).select(*key, all_of("parts").alias("g"), split.alias("h"), "row", "comp", F.lit(False).alias("drives"))
+    rows = scratch.write(left.unionByName(right), "block-rows")
+    wanted = bit_filter(sets, "row", rows.select("row"), "row")
+    return rows.join(wanted, "row").groupBy(*key, "g", "h").applyInArrow(_block_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles (the set's size), component_id (smallest doc_id reachable by links).
+    """One row per document: doc_id, n_shingles (the set's size), component_id (smallest doc_id reachable by links), text_hash.
 
     Two documents link when their sets of five-word shingles have a Jaccard similarity of NUM / DEN or more.
-    A text without words, empty or null has no shingles and links with nothing; a null doc_id gets its own
-    null component unless copies have an id; repeated rows each get their row; other columns are ignored; an
-    empty table gives no rows."""
+    A text without words, empty or null has no shingles and links with nothing. Rows are compared as rows: those
+    that repeat a doc_id each have their own set and component, so one doc_id may be in two components. A null
+    doc_id is never a component_id unless all rows that it reaches have none. Other columns, whatever their names,
+    are ignored; an empty table gives no rows. text_hash (xxhash64 of the text as it stands, null as empty) tells rows of one doc_id apart."""
     d = id_and_text(docs, id_col, text_col)
-    sig = written(signatures(d), "signatures")
-    classes = written(sig.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).filter("rep IS NOT NULL"), "classes")
-    reps = sig.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi").select("doc_id", "n", "toks", "pos", "bits")
-    reps = written(reps, "representatives")
-    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = reps.select(F.col("doc_id").alias("rep"), "n", F.explode(F.arrays_zip("toks", "pos")).alias("e")).select(F.col("e.toks").alias("tok"), "rep", "n", F.col("e.pos").alias("pos"))
-    listed = entries.repartition(n, "tok").sortWithinPartitions("tok", F.xxhash64("rep"), "rep").mapInArrow(_listed, LISTED)
-    listed = written(listed, "lists")
-    pairs = listed.filter("b IS NOT NULL").select("a", "b").distinct()
-    of = lambda c, k, bits: reps.select(F.col("doc_id").alias(c), F.col("n").alias(k), F.col("bits").alias(bits))
-    pairs = written(pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").mapInArrow(_bounded, "a long, b long"), "pairs")
-    tree = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verify(d, tree)
-    comp = written(components(links), "components")
-    links = links.unionByName(verify(d, written(_across(pairs, comp), "open-pairs")))
-    comp = written(components(links), "components")
-    members = listed.filter("b IS NULL").select("tok", F.col("a").alias("rep"), "n", "pos")
-    if not members.isEmpty():
-        links = links.unionByName(verify(d, written(_long_pairs(members, reps, comp), "open-pairs")))
-        comp = written(components(links), "components")
-    named = classes.join(comp, F.col("rep") == F.col("node"), "left").filter("size > 1 OR component IS NOT NULL")
-    named = written(named.select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-    return sig.select("doc_id", "n", "fp").join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    with Scratch(d.sparkSession) as scratch:
+        sig = scratch.write(signatures(d, scratch), "signatures", keep=True)
+        sets = sig.select("row", "s")
+        classes = scratch.write(sig.filter("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
+        reps = scratch.write(sig.join(classes.select("row"), "row", "left_semi").select("row", "n", "toks", "pos", "bits"), "representatives")
+        entries = reps.select("row", "n", F.explode(F.arrays_zip("toks", "pos")).alias("e")).select(F.col("e.toks").alias("tok"), "row", "n", F.col("e.pos").alias("pos"))
+        long = entries.groupBy("tok").agg(F.count("*").alias("size"), F.min(F.struct("pos", "n", "row")).alias("mid")).filter(F.col("size") > LONG)
+        long = scratch.write(long.select("tok", F.col("mid.row").alias("mid"), F.col("mid.n").alias("mid_n"), F.col("mid.pos").alias("mid_pos")), "long-lists")
+        n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        short = entries.join(long, "tok", "left_anti").repartition(n, "tok").sortWithinPartitions("tok", "pos", "n").mapInArrow(_short_pairs, "a long, b long")
+        members = scratch.write(entries.join(long, "tok"), "members")
+        central = members.filter((F.col("row") != F.col("mid")) & _can_link(F.col("n"), F.col("pos"), F.col("mid_n"), F.col("mid_pos"))).select(F.least("row", "mid").alias("a"), F.greatest("row", "mid").alias("b"))
+        pairs = scratch.write(short.unionByName(central).distinct(), "candidates")
+        of = lambda c, k, bits: reps.select(F.col("row").alias(c), F.col("n").alias(k), F.col("bits").alias(bits))
+        pairs = scratch.write(pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").mapInArrow(_bounded, "a long, b long"), "pairs")
+        tree = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = scratch.write(verify(sets, tree), "links")
+        comp = components(links, scratch)
+        links = links.unionByName(scratch.write(verify(sets, scratch.write(_across(pairs, comp), "open-pairs")), "links"))
+        comp = components(links, scratch)
+        if not members.isEmpty():
+            links = links.unionByName(scratch.write(long_links(members, comp, sets, scratch), "links"))
+            comp = components(links, scratch)
+        named = classes.join(comp, F.col("row") == F.col("node"), "left").filter("size > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "row"))
+        ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = scratch.write(named.select("fp", "component").join(ids, "component").select("fp", "component_id"), "named", keep=True)
+    found = sig.select("doc_id", "n", "fp", "text_hash").join(named.withColumn("known", F.lit(True)), "fp", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")

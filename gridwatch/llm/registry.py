@@ -28,7 +28,7 @@ def op2_curve_packing(spark, sf_dir):
 
 
 def op3_ngram_jaccard(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op4_html_text(spark, sf_dir):

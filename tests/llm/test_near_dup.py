@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 from gridwatch.llm import near_dup as N
+from gridwatch.llm.common import Scratch
 from gridwatch.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,7 +56,7 @@ def test_matches_brute_force(spark):
 
 def test_long_lists(spark, monkeypatch):
     monkeypatch.setattr(N, "LONG", 4)
-    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 6000)
     rng = random.Random(6)
     rows = corpus(rng, 3, 60, 9) + [(20_000 + i, "the common line of all these many short texts " + " ".join(f"q{rng.randrange(9)}" for _ in range(3))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -63,6 +64,92 @@ def test_long_lists(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def brute_rows(rows):
+    """Like brute, for rows that may repeat or lack a doc_id: sorted (doc_id, size, component)."""
+    by_row = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            c = by_row[k][1]
+            ids[c] = min(ids.get(c, i), i)
+    return sorted(((i, by_row[k][0], ids.get(by_row[k][1])) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def test_repeated_ids_nulls_and_clashing_columns(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (1, b), (2, a + " z"), (3, b + " z"), (None, a + " y"), (None, "alone by itself"), (None, None), (4, ""), (4, None), (5, "c d"), (5, "C  D"), (6, "c d")]
+    docs = spark.createDataFrame([(i, t, 0, 1, "x", 2) for i, t in rows], "doc_id long, text string, row int, n int, fp string, component int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(docs).collect()), key=str)
+    assert got == brute_rows(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    changed = [w if i % 50 else "new" for i, w in enumerate(words)]
+    most = [w if i % 20 else "new" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(most)), (4, "x" * 300_000), (5, "short text of just six words")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def near_copies(n, seed):
+    """Copies of one 60-word text with one to three words changed, the text itself left out."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**9)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_pairs_grow_no_faster_than_members(spark, monkeypatch):
+    """All pairs that leave any step, in a group of near copies of growing size."""
+    counts = {}
+    for n in (300, 1200, 4800):
+        seen = []
+
+        def write(self, df, tag, keep=False, real=Scratch.write, seen=seen):
+            out = real(self, df, tag, keep)
+            if tag in ("candidates", "pairs", "open-pairs", "links", "block-rows"):
+                seen.append(out.count())
+            return out
+
+        monkeypatch.setattr(Scratch, "write", write)
+        rows = near_copies(n, 3)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        monkeypatch.undo()
+        counts[n] = sum(seen)
+        if n == 1200:
+            assert got == brute(rows)
+    assert counts[1200] <= 6 * counts[300] and counts[4800] <= 6 * counts[1200], counts
+
+
+def test_block_links_are_a_spanning_forest_of_exact_links():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 12)), dtype=np.uint64)])) for _ in range(80)]
+    comp = rng.integers(0, 30, 80)
+    drivers, members = list(range(0, 80, 2)), list(range(80))
+    found = N.block_links([sets[i] for i in drivers], comp[drivers], [sets[i] for i in members], comp[members])
+    link = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+
+    def merged(edges):
+        label = list(range(30))
+        for a, b in edges:
+            a, b = label[comp[a]], label[comp[b]]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+        return label
+
+    edges = [(drivers[i], j) for i, j in found]
+    assert all(link(sets[a], sets[b]) and comp[a] != comp[b] for a, b in edges)
+    assert merged(edges) == merged([(a, b) for a in drivers for b in members if link(sets[a], sets[b])])
+    assert len(edges) == 30 - len(set(merged(edges)))
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -88,5 +175,6 @@ def test_components(spark):
         for a, b in edges:
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == label
