@@ -37,14 +37,44 @@ def test_edges(spark):
     got = T.score(docs, None).collect()
     assert len(got) == 4 and all((r.expected_severity, r.grade, r.toxic) == (0.0, 0, False) for r in got)
     assert T.score(docs.limit(0), None).count() == 0
-    m = T.Model(np.zeros(0, np.uint64), np.zeros(0), np.array([1.0, 2.0]))
+    m = T.Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool), np.array([1.0, 2.0]))
     assert not any(r.toxic for r in T.score(docs, m).collect())
 
 
+def sparse(x):
+    row, column = np.nonzero(x)
+    return T.Sparse(row, column, x[row, column], x.shape)
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     grade = rng.integers(0, 3, 600)
     x = (rng.random((600, 6)) < np.array([0.05, 0.4, 0.8])[grade][:, None]).astype(float)
-    w, t = T.fit_ordinal(x, grade)
+    w, t = T.fit_ordinal(sparse(x), grade)
     s = x @ w
     assert (w > 0).all() and t[0] < t[1] and s[grade == 0].mean() < t[0] < s[grade == 1].mean() < t[1] < s[grade == 2].mean()
+
+
+def test_grades_come_from_the_other_folds():
+    """Words that only one text has, however many, say nothing to a model of the other folds."""
+    rng = np.random.default_rng(2)
+    toxic, fold = np.arange(300) < 120, rng.integers(0, 3, 300)
+    x = np.zeros((300, 140))
+    x[:60, 0] = 1  # a word that half of the toxic texts share
+    x[60:120, 1] = rng.random(60) < 0.2
+    x[np.arange(60, 120), 2 + np.arange(60)] = 1  # a word of its own for each other toxic text
+    x[120:, 80:] = rng.random((180, 60)) < 0.1
+    grade = T.held_out_grades(sparse(x), toxic, fold)
+    assert (grade[120:] == 0).all() and grade[:60].mean() > 1.7 and grade[60:120].mean() < 1.3
+
+
+def test_words_speak_for_both_sides_and_near_copies_count_once(spark):
+    rows = [(i, f"common words here {'vile' if i % 2 else 'kind'} number{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}", i % 2) for i in range(200)]
+    rows += [(1000 + i, "one passage of a very toxic text that was copied over and over zzcopy", 1) for i in range(100)]
+    docs = spark.createDataFrame([r[:2] for r in rows] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert T.sample(docs, labels).filter("doc_id >= 1000").count() == 1
+    model = T.fit(docs, labels)
+    assert sorted(zip(model.against.tolist(), (model.weights > 0).tolist(), strict=True)) == [(False, True), (True, False)]
+    got = {r.text: r.toxic for r in docs.dropDuplicates(["doc_id"]).join(T.score(docs.dropDuplicates(["doc_id"]), model), "doc_id").collect()}
+    assert all(bad == ("vile" in t) for t, bad in got.items() if "zzcopy" not in t)
