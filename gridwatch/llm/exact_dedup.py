@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, id_and_text, random_words, slices, text_bytes, written
+from .common import LOWER_BYTES, Scratch, bit_split, id_and_text, lower_ascii, random_words, slices, text_bytes
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 16384, 11
 RECIPES = "doc_id long, text_sha256 string, chunks array<struct<h: long, n: int, d: binary>>"
@@ -68,17 +68,17 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return id_and_text(docs, id_col, text_col).mapInArrow(_recipes, RECIPES)
 
 
-def verified_recipes(recipes: DataFrame) -> DataFrame:
+def verified_recipes(recipes: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``recipe``: the ordered verified identifiers (h, n, v), where v is 0 unless a hash and length stand for several SHA-256s."""
     chunks = recipes.select("doc_id", "text_sha256", F.posexplode("chunks").alias("i", "c")).select("doc_id", "text_sha256", "i", "c.*")
     several = chunks.groupBy("h", "n").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("h", "n")
-    several = written(several, "chunk-keys")  # as a rule empty: two contents behind one 64-bit hash
+    several = scratch.write(several, "chunk-keys")  # as a rule empty: two contents behind one 64-bit hash
     ranks = chunks.join(several, ["h", "n"], "left_semi").select("h", "n", "d").distinct().groupBy("h", "n").agg(F.array_sort(F.collect_list("d")).alias("ds"))
-    ranks = written(ranks, "chunk-ranks")
+    ranks = scratch.write(ranks, "chunk-ranks")
     other = chunks.join(ranks, ["h", "n"]).select("doc_id", "text_sha256", "i", (F.array_position("ds", F.col("d")) - 1).cast("int").alias("v")).filter("v > 0")
     other = other.distinct().groupBy("doc_id", "text_sha256").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("vs"))
-    other = written(other, "chunk-others").withColumnsRenamed({"doc_id": "_id", "text_sha256": "_sha"})
-    joined = recipes.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left")
+    other = scratch.write(other, "chunk-others", keep=True).withColumnsRenamed({"doc_id": "other_id", "text_sha256": "other_sha"})
+    joined = recipes.join(other, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_sha256") == F.col("other_sha")), "left")
     recipe = F.transform("chunks", lambda c, i: F.struct(c["h"].alias("h"), c["n"].alias("n"), F.coalesce(F.try_element_at("vs", i), F.lit(0)).alias("v")))
     return joined.select("doc_id", "text_sha256", recipe.alias("recipe"))
 
@@ -89,11 +89,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of documents with equal text (A-Z and a-z alike, null as empty) the one with the largest doc_id stays.
     Empty texts share the empty recipe and so form one group. A null doc_id counts as smaller than any
     other; rows that repeat a doc_id and its text count in group_size and share its ``kept``. An empty
-    table gives no rows; other columns of ``docs`` are ignored."""
-    recipes = verified_recipes(written(chunk_recipes(docs, id_col, text_col), "recipes"))
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    groups = written(groups, "recipe-groups").withColumnRenamed("recipe", "_recipe")
-    joined = recipes.join(groups, F.col("recipe") == F.col("_recipe"), "left")
+    table gives no rows; other columns of ``docs``, whatever their names, are ignored."""
+    with Scratch(docs.sparkSession) as scratch:
+        recipes = verified_recipes(scratch.write(chunk_recipes(docs, id_col, text_col), "recipes", keep=True), scratch)
+        groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+        groups = scratch.write(groups, "recipe-groups", keep=True).withColumnRenamed("recipe", "group_recipe")
+    joined = recipes.join(groups, F.col("recipe") == F.col("group_recipe"), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
 
@@ -101,14 +102,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal texts, with all its columns.
 
-    Of rows that repeat the kept doc_id, the first stays, by all columns as JSON."""
-    from .common import lower_ascii
-
-    marks = exact_dedup(docs, id_col, text_col).filter("group_size > 1").groupBy(F.col("doc_id").alias("_dup_id"), F.col("text_sha256").alias("_dup_sha"))
-    marks = written(marks.agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).filter("NOT _kept OR _n > 1"), "exact-marks")
-    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    same = lambda m: F.col(id_col).cast("long").eqNullSafe(m["_dup_id"]) & (sha == m["_dup_sha"])
-    repeated = marks.filter("_kept")
+    Of rows that repeat the kept doc_id, the first stays, by all columns as JSON. A row moves only if its doc_id
+    may be one that goes or repeats: a bit filter of the marks lets all others, and their texts, pass where they are.
+    Columns may have any names."""
+    with Scratch(docs.sparkSession) as scratch:
+        marks = exact_dedup(docs, id_col, text_col).filter("group_size > 1").groupBy("doc_id", "text_sha256")
+        marks = marks.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1")
+        marks = scratch.write(marks, "exact-marks", keep=True)
+    maybe, rest = bit_split(docs, F.col(id_col).cast("long"), marks, "doc_id")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.join(repeated, same(repeated)).groupBy("_dup_id", "_dup_sha").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
-    return docs.join(marks, same(marks), "left_anti").unionByName(one)
+    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
+    maybe = maybe.select(F.col(id_col).cast("long").alias("doc_id"), sha.alias("text_sha256"), row.alias("row"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_sha256") == F.col("m.text_sha256"))
+    once = maybe.alias("d").join(marks.alias("m"), same, "left_anti").select("row.*")
+    repeated = maybe.alias("d").join(marks.filter("kept").alias("m"), same, "left_semi")
+    one = repeated.groupBy("doc_id", "text_sha256").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return rest.unionByName(once).unionByName(one)

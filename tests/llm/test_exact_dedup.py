@@ -5,6 +5,8 @@ from collections import defaultdict
 import numpy as np
 
 from gridwatch.llm import exact_dedup as E
+from gridwatch.llm.common import Scratch, bit_split
+from pyspark.sql import functions as F
 
 
 def brute(rows):
@@ -45,5 +47,24 @@ def test_cuts_follow_content():
 
 def test_hash_collisions_are_told_apart(spark):
     rows = [(1, "s1", [(5, 9, b"a"), (6, 9, b"z")]), (2, "s2", [(5, 9, b"b"), (6, 9, b"z")]), (3, "s1", [(5, 9, b"a"), (6, 9, b"z")])]
-    got = {r.doc_id: r.recipe for r in E.verified_recipes(spark.createDataFrame(rows, E.RECIPES)).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.doc_id: r.recipe for r in E.verified_recipes(spark.createDataFrame(rows, E.RECIPES), scratch).collect()}
     assert got[1] == got[3] != got[2]
+
+
+def test_repeated_rows_nulls_and_clashing_columns(spark):
+    rows = [(None, "a", "1"), (1, "A", "2"), (1, "A", "2"), (1, "b", "3"), (None, None, "4"), (None, "", "5"), (2, "alone", "6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumns({"text_sha256": F.lit("x"), "kept": F.lit(1), "n": F.lit(2), "other.id": F.lit(3)})
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in E.exact_dedup(docs).collect())
+    assert got == sorted([("None", "1", 3, False), ("1", "1", 3, True), ("1", "1", 3, True), ("1", "1", 1, True), ("None", "None", 2, True), ("None", "None", 2, True), ("2", "2", 1, True)])
+    left = E.drop_exact_copies(docs)
+    assert left.columns == docs.columns and sorted(r.row for r in left.collect()) == ["2", "3", "4", "6"]
+
+
+def test_unmarked_rows_stay_where_they_are(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "CASE WHEN id % 100 < 2 THEN 'same' ELSE concat('t', id) END AS text", "'x' AS _dup_id")
+    marks = spark.createDataFrame([(100,), (101,)], "m long")
+    maybe, rest = bit_split(docs, F.col("doc_id"), marks, "m")
+    assert {100, 101} <= {r.doc_id for r in maybe.collect()} and maybe.count() < 20 and maybe.count() + rest.count() == 2000
+    assert "Exchange hashpartitioning(doc_id" not in rest._jdf.queryExecution().toString()
+    assert {r.doc_id for r in E.drop_exact_copies(docs).collect()} == {i for i in range(2000) if i % 100 >= 2} | {1901}
