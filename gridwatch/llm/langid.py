@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import Scratch, slices
 
-#: The fit's bound: rows per language, characters of each, and bytes of a dictionary.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1000, 32 << 10
+#: The fit's bound: so many labelled rows per language, with their whole texts. Rows of at most ROW_CHARS characters are
+#: sampled; longer ones only where a language has no other. That keeps a dictionary within SAMPLE_ROWS * ROW_CHARS characters.
+SAMPLE_ROWS, ROW_CHARS = 48, 4000
 #: A task holds compressors for so many languages at once; more take turns.
 LANGUAGES_AT_ONCE = 64
 LEVEL, PIECE = 5, 1024
@@ -39,19 +40,20 @@ def clean(text: str) -> bytes:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary per language, from at most SAMPLE_ROWS labelled rows that aren't held out, chosen by a hash of their id.
+    """A dictionary per language, from the whole texts of at most SAMPLE_ROWS labelled rows that aren't held out, chosen by a hash of their id.
 
-    A dictionary takes the first SAMPLE_CHARS of each sampled row until DICTIONARY_BYTES are full: the first 32 rows or
-    so where rows are long, up to all where they are short. Any number of languages: dictionaries are made in tasks,
-    and only they come to the driver. No labelled rows, no dictionaries."""
+    Any number of languages: dictionaries are made in tasks, and only they come to the driver. Null ids, texts and
+    languages are left out; equal cleaned texts count once in a dictionary; no labelled rows, no dictionaries."""
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     d = d.filter(~held_out(F.col("i")) & F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = written(d.groupBy("l").agg(F.count("*").alias("n")), "languages")
-    place = F.pmod(F.xxhash64("i"), F.lit(10**9))
-    most = F.floor(F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_ROWS) / F.col("n")) * 10**9) + 1
-    rows = d.join(counts, "l").filter(place < most).select("l", F.struct(place.alias("p"), "i", F.substring("t", 1, SAMPLE_CHARS).alias("t")).alias("row"))
-    found = rows.groupBy("l").agg(F.collect_list("row").alias("rows")).mapInArrow(_dictionaries, "l string, raw binary")
-    return {r.l: bytes(r.raw) for r in sorted(found.collect(), key=lambda r: r.l)}
+    short = F.length("t") <= ROW_CHARS
+    with Scratch(docs.sparkSession) as scratch:
+        counts = scratch.write(d.groupBy("l").agg(F.count("*").alias("n"), F.count_if(short).alias("m")), "languages")
+        place = F.pmod(F.xxhash64("i"), F.lit(10**9))
+        most = F.floor(F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_ROWS) / F.when(F.col("m") > 0, F.col("m")).otherwise(F.col("n"))) * 10**9) + 1
+        rows = d.join(counts, "l").filter((place < most) & (short | (F.col("m") == 0))).select("l", F.struct(place.alias("p"), "i", "t").alias("row"))
+        found = rows.groupBy("l").agg(F.collect_list("row").alias("rows")).mapInArrow(_dictionaries, "l string, raw binary")
+        return {r.l: bytes(r.raw) for r in sorted(found.collect(), key=lambda r: r.l)}
 
 
 def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +61,7 @@ def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         raw = []
         for rows in batch.column("rows").to_pylist():
             first = sorted(rows, key=lambda r: (r["p"], r["i"], r["t"]))[:SAMPLE_ROWS]
-            raw.append(b"\n".join(dict.fromkeys(clean(r["t"]) for r in first))[:DICTIONARY_BYTES])
+            raw.append(b"\n".join(dict.fromkeys(clean(r["t"]) for r in first)))
         yield pa.RecordBatch.from_arrays([batch.column("l"), pa.array(raw, pa.binary())], ["l", "raw"])
 
 
@@ -95,7 +97,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text") -
     ``und`` (score 0, rejected) where text is null or has no letter, or the model has no language."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs = docs.select(*kept)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most DICTIONARY_BYTES a language
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_ROWS texts a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(sent.value)

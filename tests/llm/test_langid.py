@@ -20,7 +20,7 @@ def test_held_out_accuracy_and_edges(spark):
     rows = corpus(400)
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
     model = L.fit(docs)
-    assert sorted(model) == sorted(SYLLABLES) and all(len(x) <= L.DICTIONARY_BYTES for x in model.values())
+    assert sorted(model) == sorted(SYLLABLES) and all(0 < len(x.decode()) < L.SAMPLE_ROWS * (L.ROW_CHARS + 1) for x in model.values())
     got = {r.doc_id: r for r in L.identify(docs.select("doc_id", "text"), model).collect()}
     out = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(got[i].lang_pred == rows[i][3] for i in out) >= 0.95 * len(out)
@@ -31,6 +31,22 @@ def test_held_out_accuracy_and_edges(spark):
     assert got[4].lang_pred == "aa" and 0 <= got[4].score <= 1 and got[None].lang_pred in SYLLABLES
 
 
+def test_fit_takes_whole_texts_of_so_many_rows(spark):
+    texts = {i: f"row{chr(97 + i // 26)}{chr(97 + i % 26)} " + "abc " * (900 if i % 2 else 2000) + "theend" for i in range(400)}
+    docs = spark.createDataFrame([(i, t, "aa") for i, t in texts.items()] * 2 + [(1000 + i, "longonly " * 900, "bb") for i in range(9)] + [(2000, None, "cc"), (None, "x", "cc")], "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    lines = model["aa"].decode().split("\n")
+    assert len(lines) <= L.SAMPLE_ROWS and all(x.endswith("theend") and len(x) <= L.ROW_CHARS for x in lines)
+    assert sorted(model) == ["aa", "bb"] and len(model["bb"]) == len("longonly " * 900)
+
+
+def test_ties_go_to_the_first_name_and_are_rejected(spark):
+    model = {"bb": b"same text in both", "aa": b"same text in both"}
+    docs = spark.createDataFrame([(1, "same text", "z"), (1, "same text", "z"), (None, "same text", "y")], "doc_id long, text string, rejected string")
+    got = L.identify(docs, model).collect()
+    assert [(r.lang_pred, r.score, r.rejected) for r in got] == [("aa", 0.0, True)] * 3
+
+
 def test_fit_never_reads_held_out_rows(spark):
     rows = corpus(200)
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
