@@ -5,6 +5,7 @@ import __spark_entry__
 import corpus_pipeline as C
 import public_tokenizers
 from gridwatch.llm import langid
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .test_near_dup import brute as near_brute
@@ -87,3 +88,20 @@ def test_repeated_rows_leave_one(spark):
     once = [(1, "a", "x"), (2, "b", "x")]
     twice = spark.createDataFrame(once * 2, docs.schema)
     assert sorted(map(tuple, C.without_exact_copies(spark, twice, "").collect())) == once
+
+
+def test_repeated_ids_keep_rows_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "p"), (2, a + " z", "q"), (2, b, "r"), (2, b, "s"), (None, a + " y", "t"), (None, "alone here", "u"), (3, None, "v"), (3, "", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string").withColumns({c: F.lit(1) for c in ("id", "g.x", "component_id", "row", "text_hash")})
+    got = C.without_near_copies(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.hash for r in got.collect()) == ["p", "r", "s", "u", "v", "w"]
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    docs = docs.withColumnsRenamed({"source": "score", "kept": "_gone"}).withColumns({c: F.lit(7) for c in ("rejected", "others", "_sha", "doc.id", "base", "spans", "key")})
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {(r.rejected, r["doc.id"]) for r in out.collect()} == {(7, 7)}
+    assert C.packed(spark, docs, "").count() >= docs.count()
