@@ -47,7 +47,13 @@ LAYOUT, PROSE = 1, 2
 _PLACES = frozenset("area bar block box bottom container content form inner item items left links list main outer page post posts primary right secondary section site the top wrap wrapper".split())
 _ALL_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEAD_WORDS = frozenset("header siteheader".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^<]*\Z", re.S)
+#: A tag as it should be. It holds no "<", and no part gives back what it took, so trying it at every "<" takes linear time in all.
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)((?:\s++[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=`]++))?+)*+\s*+/?+)>")
+_TAG_START = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_NAME = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+|=[^\s/>=]*+)?+(\s*+=\s*+)?+")
+_UNQUOTED = re.compile(r"[^\s>]*+")
+#: What an unwanted element without an end tag can't hold: it ends there.
+_ENDS_UNCLOSED = frozenset("article main section h1 h2 p".split())
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -74,6 +80,79 @@ def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
     return False, vote
 
 
+class Tag(NamedTuple):
+    start: int
+    after: int
+    end: bool
+    name: str
+    attrs: str
+
+
+def _attributes(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the attributes from ``at`` end (at a ">"), or -1 if the page ends first. Quotes hold a value only after "=", and only if
+    white space, "/" or ">" follows the second one; a stray quote is part of a name or value. ``last``: the page's last quotes."""
+    while True:
+        m = _NAME.match(page, at)
+        at = m.end()
+        if at >= len(page):
+            return -1
+        if m[2] is None:
+            if page[at] == ">":
+                return at
+            continue
+        if (quote := page[at]) in last and at < last[quote]:
+            close = page.index(quote, at + 1)
+            if page[close + 1 : close + 2] in ("", " ", "\n", "\t", "\r", "\f", "/", ">"):
+                at = close + 1
+                continue
+        at = _UNQUOTED.match(page, at).end()
+
+
+def tags(page: str) -> list[Tag]:
+    """A page's tags in order, comments and the like (with an empty name) and raw text elements whole; in time linear in its length."""
+    found, at = [], 0
+    last = {q: page.rfind(q) for q in "\"'"}
+    gone: set[str] = set()  # raw elements that have no end tag any more
+    while (at := page.find("<", at)) >= 0:
+        start = at
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
+            found.append(Tag(start, at, False, "", ""))
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else len(page)
+            found.append(Tag(start, at, False, "", ""))
+        elif m := _TAG.match(page, at) or _TAG_START.match(page, at):
+            if m.re is _TAG:
+                at, attrs = m.end(), m[3]
+            else:
+                end = _attributes(page, m.end(), last)
+                at, attrs = (end + 1, page[m.end() : end]) if end >= 0 else (len(page), "")
+            name = m[2].lower()
+            if name in _RAW and not m[1]:
+                close = None if name in gone else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if close is None:
+                    gone.add(name)
+                at, name = close.end() if close else len(page), ""
+            found.append(Tag(start, at, bool(m[1]), name, attrs))
+        else:
+            at += 1
+    return found
+
+
+def _unclosed(found: list[Tag]) -> set[int]:
+    """The start tags of unwanted elements that no end tag closes."""
+    starts: dict[str, list[int]] = {}
+    for i, t in enumerate(found):
+        if t.name in _DROPPED or t.name == "header":
+            if not t.end:
+                starts.setdefault(t.name, []).append(i)
+            elif starts.get(t.name):
+                starts[t.name].pop()
+    return {i for some in starts.values() for i in some}
+
+
 class Line(NamedTuple):
     text: str
     weight: int  # its length outside links
@@ -97,11 +176,17 @@ class Node(NamedTuple):
 
 
 def lines(page: str) -> tuple[list[Line], list[Node]]:
-    """A page's lines in order, without those of elements voted out, and its block elements; element 0 is the page."""
+    """A page's lines in order, without those of elements voted out, and its block elements; element 0 is the page.
+
+    An end tag ends what is open within its element; one without a start tag ends a line. An unwanted element without an
+    end tag ends with its parent, or where a section, article, main, heading or paragraph starts."""
     raw: list[tuple[list[Piece], int]] = []
     nodes = [Node("", 0, 0, 0)]
     votes = [Vote(0, 0)]
     stack: list[tuple[str, bool, int, int]] = []  # tag, unwanted, the block and the vote around it
+    places: dict[str, list[int]] = {}  # of each tag's open elements on the stack
+    barriers: list[int] = []  # places of blocks that an implied end doesn't reach beyond
+    open_ended: list[int] = []  # places of unwanted elements without an end tag
     text: list[Piece] = []
     unwanted = block = vote = 0
     mains = set()
@@ -115,55 +200,61 @@ def lines(page: str) -> tuple[list[Line], list[Node]]:
     def pop() -> None:
         nonlocal unwanted, block, vote
         tag, bad, before, voted = stack.pop()
+        places[tag].pop()
+        for some in (barriers, open_ended):
+            if some and some[-1] == len(stack):
+                some.pop()
         if tag in _BLOCKS:
             flush()
         unwanted -= bad
         block, vote = before, voted
 
+    def last(tag: str) -> int:
+        some = places.get(tag)
+        return some[-1] if some else -1
+
+    found = tags(page)
+    unclosed = _unclosed(found)
     at, links = 0, 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece and not unwanted:
-            text.append((piece, bool(links), vote))
-        if not m:
-            break
-        at = m.end()
-        if not m["tag"]:
+    for number, t in enumerate([*found, Tag(len(page), len(page), False, "", "")]):
+        if t.start > at and not unwanted:
+            text.append((page[at : t.start], bool(links), vote))
+        at, tag = t.after, t.name
+        if not tag:
             continue
-        tag = m["tag"].lower()
-        if m["end"]:
+        if t.end:
             if tag == "a":
                 links = 0
-            if any(s[0] == tag for s in stack):
-                while stack[-1][0] != tag:
+            if (k := last(tag)) >= 0:
+                while len(stack) > k:
                     pop()
-                pop()
             elif tag in _BLOCKS:
                 flush()
             continue
         if tag == "br":
             text.append((" ", False, vote))
             continue
+        if open_ended and tag in _ENDS_UNCLOSED:
+            k = open_ended[0]
+            while len(stack) > k:
+                pop()
         if tag in _BLOCKS:
             flush()
             if tag in _IMPLIED or stack and stack[-1][0] == "p":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag or stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in _BLOCKS and stack[k][0] not in _HEADINGS:
-                        break
-        if tag in ("script", "style") or tag in _RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if tag in _VOID or m["attrs"].endswith("/"):
+                k = max(last(tag), last("p"))
+                if k >= 0 and k >= (barriers[-1] if barriers else -1):
+                    while len(stack) > k:
+                        pop()
+        if tag in _VOID or t.attrs.endswith("/"):
             continue
         if tag == "a":
             links = 1
-        bad, against = _judge(tag, m["attrs"], nodes[block].region > 0)
+        bad, against = _judge(tag, t.attrs, nodes[block].region > 0)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCKS and tag not in _HEADINGS:
+            barriers.append(len(stack))
+        if bad and number in unclosed:
+            open_ended.append(len(stack))
         stack.append((tag, bad, block, vote))
         unwanted += bad
         if against and not unwanted:

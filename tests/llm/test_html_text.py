@@ -1,3 +1,6 @@
+import random
+import time
+
 from gridwatch.llm import html_text as H
 
 PARA = "A long enough paragraph with several words in it, so that it weighs more than a menu does."
@@ -74,3 +77,51 @@ def test_words_only_vote():
     named = f"<section id='related-work'><h2>Related work</h2><p>{PARA}</p></section><h2 id='social-effects'>Social effects</h2><div id='menu-planning'><p>{PARA}</p></div><section id='comments'><p>short</p></section>"
     assert H.main_text(f"<article><p>{long}</p>{named}{ad}<div id='related-posts'>See this</div></article>") == f"{long}\nRelated work\n{PARA}\nSocial effects\n{PARA}\nshort"
     assert H.main_text(f"<div><p>{long}</p><section id='related-work'><p>{PARA}</p></section><h2 id='social-effects'>Social effects</h2><p>{long}</p></div>") == f"{long}\n{PARA}\nSocial effects\n{long}"
+
+
+def test_broken_markup():
+    two = f"{PARA}\n{PARA}"
+    assert H.main_text(f"<body><div class='content no-sidebar'><p>{PARA}</p><p>{PARA}</p></div></body>") == two
+    assert H.main_text(f"<body><nav><a href=x>Home</a><article><p>{PARA}</p><p>{PARA}</p></article></body>") == two  # a menu that nothing ends
+    assert H.main_text(f"<body><nav><ul><li><a href=x>Home</a></ul><p>{PARA}</p><p>{PARA}</p></body>") == two
+    assert H.main_text(f"<body><aside><article><p>{PARA}</p></article></aside><article><p>{PARA} own</p><p>{PARA}</p></article></body>") == f"{PARA} own\n{PARA}"
+    assert H.main_text(f'<article><p class=x">{PARA}</p><p>{PARA}</p></article>') == two  # stray quotes
+    assert H.main_text(f'<article><p class="x>{PARA}</p><p title="a">{PARA}</p></article>') == two
+    assert H.main_text(f"<article><p title='a > b' data-x=\"<b>\">{PARA}</p><p>1 < 2 <3 a<b</p><p>{PARA}</p></article>") == f"{PARA}\n1 < 2 <3 a\n{PARA}"
+    assert H.main_text(f"<article><p>{PARA}</p></span></b><p>{PARA}</p></div></article></body>") == two
+    assert H.main_text(f"<article><p>{PARA}</p><!-- > never ends <p>{PARA}</p>") == PARA == H.main_text(f"<article><p>{PARA}</p><script>never ends</p>{PARA}")
+
+
+def test_time_is_linear():
+    for piece, end in (("<a ", ""), ("<a href='", ""), ("<a x=\"'\" y='", ">"), ("<div>", "</span></p></b>" * 30_000), ("<i>", "<li></li>" * 30_000), ("<p><b>", ""), ("<script>", "<!--" * 30_000), ("<nav><p>", ""), ("<div class='ad'>x", "")):
+        began = time.process_time()
+        H.main_text(piece * 30_000 + end + PARA)
+        assert time.process_time() - began < 8, piece  # quadratic work took over a minute
+
+
+def test_window_sums_and_points_match_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        w = [rng.choice([0, 0, 3, 20, 90, 400, 5000]) for _ in range(rng.randint(1, 30))]
+        sums = [sum(min(x, H.LINE_CAP) for x in w[i : i + H.WINDOW]) for i in range(len(w))]
+        assert H.window_sums(w) == sums
+        dense = [i for i in range(len(w)) if sums[i] >= H.SURGE * max(sums)] if max(sums) else []
+        want = (next(i for i in range(dense[0], len(w)) if w[i] or i == dense[-1]), dense[-1] + 1) if dense else (0, 0)
+        assert H.surge_and_dive(w) == want
+
+
+def test_plain_pages_by_windows_alone():
+    """No article or main: the points alone find the text between menu lines and link lists."""
+    rng = random.Random(12)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    text = lambda low, high: " ".join(rng.choices(words, k=rng.randint(low, high))) + "."
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{i}'>{text(1, 3)}</a></li>" for i in range(n)) + "</ul>"
+    for _ in range(100):
+        blocks = [("h1", text(3, 8))]
+        for _ in range(rng.randint(3, 12)):
+            kind = rng.choice(["p", "p", "p", "h2", "ul"])
+            blocks += [("p", text(40, 160))] if kind == "p" else [("h2", text(2, 5)), ("p", text(40, 160))] if kind == "h2" else [("ul", [text(1, 9) for _ in range(rng.randint(1, 5))])]
+        blocks.append(("p", text(30, 90)))
+        inner = "".join(f"<{k}>" + (b if k != "ul" else "".join(f"<li>{x}" for x in b)) + f"</{k}>" for k, b in blocks)
+        page = f"<html><head><title>{text(2, 4)}</title></head><body><div>{links(rng.randint(2, 8))}</div><div>{inner}</div><div>{links(rng.randint(1, 9))}</div></body></html>"
+        assert H.main_text(page) == "\n".join(y for k, b in blocks for y in (b if k == "ul" else [b])), page
