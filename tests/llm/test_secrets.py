@@ -42,12 +42,16 @@ def test_entropy_adds_and_allows(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in S.secret_digest(S.secret_spans(docs)).collect()}
     assert got[0] == f"entropy:6:{6 + len(key)}" and got[7] == "entropy:0:32"
+    more = ["getUserAccountInformationFromDatabase", "qK7example9vXb2Lm4Tz8RwYc3Nf6Hd1Sg5Pj0", "sample-sample-sample-sample-12", "xxxxxxxxxxxxxxxxxxxxxxx1", "QwErTyUiOpAsDfGhJkLzXcVbNm", "gh" * 40_000, "sK9" + "z" * 50_000]
+    docs = spark.createDataFrame([*enumerate(more), (0, more[0]), (None, None)], "doc_id long, text string")
+    rows = [(r.doc_id, r.spans) for r in S.secret_digest(S.secret_spans(docs)).collect()]
+    assert sorted(i for i, spans in rows if spans) == [1, 4] and len(rows) == len(more) + 2
     assert [got[i] for i in range(1, 7)] == [""] * 6
 
 
 def test_window_bits(spark):
     rng = random.Random(5)
-    strings = ["".join(rng.choices("abcdefgh01234567", k=n)) for n in (20, 21, 57)] + ["a" * 30, "ab" * 20]
+    strings = ["".join(rng.choices("abcdefgh01234567", k=n)) for n in (20, 21, 57)] + ["a" * 30, "ab" * 20, "abcdefghijklmnopqrstuvwxyz" * 400]
 
     def best(s):
         return max(sum(-c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
@@ -81,3 +85,10 @@ def test_random_tokens_of_every_class(spark):
         assert sum(found) >= 0.97 * len(found), (alphabet, sum(found), len(found))
     assert [got[len(tokens) + i] for i in range(len(names))] == [""] * len(names)
     assert got[len(texts) - 1] == "entropy:3:29"
+
+
+def test_long_strings_take_linear_time(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=200_000))
+    got = S.secret_digest(S.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert got.spans == "entropy:0:200000"
