@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as G
+from ..session import written
+from .components import least_reachable
+
+#: Cells are labelled in square tiles of this side; components that touch across tiles are merged after.
+TILE = 256
 
 
 def _labels(rows: list[int], cols: list[int]) -> list[int]:
@@ -31,18 +36,32 @@ def _labels(rows: list[int], cols: list[int]) -> list[int]:
 def event_cells(candidates: DataFrame, keys: tuple[str, ...] = ("month",)) -> DataFrame:
     """``candidates`` (keys, cell_id, row, col) with event_number: components by rook adjacency, numbered within each key by their row-major first cell.
 
-    A group is one key's candidate cells, of which a grid has a fixed number at most."""
+    A group is one key's candidate cells of one tile: TILE * TILE at most, however large the grid."""
     base = candidates.select(*keys, "cell_id", "row", "col")
     schema = T.StructType([*base.schema, T.StructField("first_row", T.IntegerType()), T.StructField("first_col", T.IntegerType())])
+    columns = base.columns
+    tile = lambda c: F.floor(F.col(c) / TILE).alias(f"{c}_tile")
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"], ignore_index=True)
+        pdf = pdf[columns].sort_values(["row", "col"], ignore_index=True)
         first = _labels(pdf["row"].tolist(), pdf["col"].tolist())
         return pdf.assign(first_row=pdf["row"].to_numpy()[first].astype("int32"), first_col=pdf["col"].to_numpy()[first].astype("int32"))
 
-    found = base.groupBy(*keys).applyInPandas(label, schema)
-    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("first_row", "first_col"))
-    return found.withColumn("event_number", number.cast("int")).drop("first_row", "first_col")
+    found = written(base.select("*", tile("row"), tile("col")).groupBy(*keys, "row_tile", "col_tile").applyInPandas(label, schema), "tiles")
+    found = found.withColumn("first", F.struct("first_row", "first_col")).drop("first_row", "first_col")
+    edges = None
+    for along, across in (("row", "col"), ("col", "row")):
+        here = found.filter(F.pmod(F.col(along), F.lit(TILE)) == TILE - 1).select(*keys, (F.col(along) + 1).alias(along), across, F.col("first").alias("a"))
+        there = found.filter(F.pmod(F.col(along), F.lit(TILE)) == 0).select(*keys, along, across, F.col("first").alias("b"))
+        one = here.join(there, [*keys, along, across]).select(*keys, "a", "b")
+        edges = one if edges is None else edges.unionByName(one)
+    edges = written(edges.distinct(), "tile-borders")
+    if not edges.isEmpty():
+        merged = least_reachable(edges, keys).withColumnRenamed("node", "first")
+        found = found.join(merged, [*keys, "first"], "left").withColumn("first", F.coalesce("least", "first")).drop("least")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("first"))  # one row per event
+    numbers = found.select(*keys, "first").distinct().withColumn("event_number", number.cast("int"))
+    return found.join(numbers, [*keys, "first"]).select(*base.columns, "event_number")
 
 
 def _mode(c: str):

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import ring
+
 EARTH_RADIUS_M = 6_371_000.0
 MAX_NODES = 10_000
 
@@ -36,6 +38,17 @@ def month_ranges(spans: DataFrame) -> DataFrame:
     return m.select(F.date_format("m", "yyyy-MM").alias("month"), F.date_format("m", "yyyy-MM-dd").alias("start_date"), F.date_format(end, "yyyy-MM-dd").alias("end_date"), F.dayofmonth(F.last_day("m")).alias("days_in_month"))
 
 
+def month_ordinals(df: DataFrame, month: str = "month") -> DataFrame:
+    """Each distinct month with its place in order, from 0; a calendar's months are few."""
+    months = df.agg(F.array_sort(F.collect_set(month)).alias("months"))
+    return months.select(F.posexplode("months").alias("month_ordinal", "month")).select("month", "month_ordinal")
+
+
+def choropleth(grid: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """Every cell's outline with a value and whether it has one (cells without are drawn grey)."""
+    return grid.join(values.select("cell_id", value), "cell_id", "left").select("cell_id", ring().alias("ring"), F.col(value).alias("value"), F.col(value).isNotNull().alias("has_value"))
+
+
 def skeleton(cells: DataFrame, months: DataFrame) -> DataFrame:
     """Every cell in every month; the month list is short and is copied to each cell's row."""
     return cells.crossJoin(F.broadcast(months))

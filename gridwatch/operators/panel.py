@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CORE, KEYS, PANEL
+from .ranks import cumulative
 
 
 def build_panel(optical: DataFrame, lights: DataFrame, weather: DataFrame) -> DataFrame:
-    """Full outer join of the three feature tables on their four keys, with the panel's columns in order."""
-    joined = optical.join(lights, list(KEYS), "full").join(weather, list(KEYS), "full")
-    return joined.select(*PANEL.names)
+    """Full outer join of the three feature tables on their four keys, with the panel's columns in order.
+
+    A key has one row in each table at most, so the join is one union and group-by, with a single exchange."""
+    parts = None
+    for df in (optical, lights, weather):
+        one = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PANEL])
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in PANEL.names if c not in KEYS]).select(*PANEL.names)
 
 
 def regression_diff(new: DataFrame, frozen: DataFrame, features: tuple[str, ...], tolerance: float = 1e-6) -> DataFrame:
@@ -21,11 +27,34 @@ def regression_diff(new: DataFrame, frozen: DataFrame, features: tuple[str, ...]
     return long.groupBy("feature").agg(F.count("d").alias("n_compared"), F.round(F.max("d"), 4).alias("max_diff"), F.round(F.avg("d"), 4).alias("mean_diff"), F.count_if(F.col("d") > tolerance).alias("n_exceeding"))
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """``df`` with its rows' places by cell_id in place of cell_id, for tables whose ids differ; cell_id must be unique."""
+    place = cumulative(df.select(F.lit(1).alias("all"), "cell_id"), ("all",), "cell_id").select("cell_id", F.col("below").cast("string").alias("place"))
+    return df.join(place, "cell_id").withColumn("cell_id", F.col("place")).drop("place")
+
+
+def regression_gate(new: DataFrame, frozen: DataFrame, features: tuple[str, ...], tolerance: float = 1e-6) -> DataFrame:
+    """regression_diff's rows; an error if any feature exceeds the tolerance, or nothing could be compared."""
+    rows = regression_diff(new, frozen, features, tolerance)
+    found = {r.feature: r for r in rows.collect()}  # one row per feature
+    wrong = [f"{f} ({r.n_exceeding} of {r.n_compared}, at most {r.max_diff})" if (r := found.get(f)) else f"{f} (0 of 0)" for f in features if f not in found or found[f].n_exceeding or not found[f].n_compared]
+    if wrong:
+        raise ValueError("changed against the frozen table: " + ", ".join(wrong))
+    return rows
+
+
 def regional_trend(panel: DataFrame) -> DataFrame:
     """Each core feature's mean over all cells, by month."""
     return panel.groupBy("month").agg(*[F.round(F.avg(f), 4).alias(f) for f in CORE])
 
 
+def ingestion_completeness(panel: DataFrame, scene_counts: DataFrame, months: DataFrame) -> DataFrame:
+    """completeness with scenes in all and used, and hours against those expected of all cells (24 a day)."""
+    c = completeness(panel).join(scene_counts.select("month", "raw_scenes", "used_scenes"), "month", "left").join(months.select("month", "days_in_month"), "month", "left")
+    hours = (F.col("days_in_month") * 24 * F.col("total_cells")).cast("long")
+    return c.withColumns({"expected_hours": hours, "hours_ratio": F.round(F.try_divide("weather_hours", hours), 4), **{k: F.coalesce(k, F.lit(0)).cast("long") for k in ("raw_scenes", "used_scenes")}}).drop("days_in_month")
+
+
 def completeness(panel: DataFrame) -> DataFrame:
     """Per month: cells, and cells with optical, lights and weather values."""
     return panel.groupBy("month").agg(F.count("*").alias("total_cells"), F.count("ndvi_mean").alias("optical_cells"), F.count("viirs_avg_rad_mean").alias("lights_cells"), F.count("era5_temperature_mean").alias("weather_cells"), F.sum("era5_observation_count").alias("weather_hours"))

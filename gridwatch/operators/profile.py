@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import CORE, OPTICAL, PRIMARY, QUALITY
+from ..session import written
 from .climatology import long_features
+from .ranks import average_ranks, quantiles, with_quantiles
 
 _MODALITIES = {"s2": "ndvi_mean", "viirs": "viirs_avg_rad_mean", "era5": "era5_temperature_mean"}
 
@@ -17,29 +19,34 @@ def r4(c: Column) -> Column:
 
 
 def quality_profile(df: DataFrame) -> DataFrame:
-    """One row per column: type, rows, missing, infinite and distinct values, constancy, range and category; one pass over the table."""
-    exprs = []
+    """One row per column: type, rows, missing, infinite and distinct values, constancy, range and category.
+
+    Distinct values are counted over (column, value) pairs in one group-by, everything else in one pass."""
+    exprs, values = [], []
     for f in df.schema:
         c, number = F.col(f.name), isinstance(f.dataType, (T.NumericType,))
         x = c.cast("double") if number else F.lit(None).cast("double")
         category = "primary" if f.name in PRIMARY else "quality" if f.name in QUALITY else "identifier"
         exprs.append(F.struct(
             F.lit(f.name).alias("column_name"), F.lit(category).alias("category"), F.lit(f.dataType.simpleString()).alias("dtype"), F.count("*").alias("total_rows"), F.count_if(c.isNull()).alias("missing_count"),
-            F.count_if(F.abs(x) == float("inf")).alias("infinite_count"), F.count_distinct(c).alias("unique_values"), F.lit(number).alias("numeric"), r4(F.min(x)).alias("min_value"), r4(F.max(x)).alias("max_value"),
+            F.count_if(F.abs(x) == float("inf")).alias("infinite_count"), F.lit(number).alias("numeric"), r4(F.min(x)).alias("min_value"), r4(F.max(x)).alias("max_value"),
         ).alias(f.name))
+        values.append((c + F.lit(0) if number else c).cast("string").alias(f.name))  # -0.0 and 0.0 are one value
     rows = df.agg(*exprs).select(F.explode(F.array(*df.columns)).alias("p")).select("p.*")
+    distinct = df.select(*values).unpivot([], df.columns, "column_name", "value").filter("value IS NOT NULL").distinct().groupBy("column_name").agg(F.count("*").alias("unique_values"))
+    rows = rows.join(distinct, "column_name", "left").withColumn("unique_values", F.coalesce("unique_values", F.lit(0)).cast("long"))
     u = F.col("unique_values")
     return rows.select("column_name", "category", "dtype", "total_rows", "missing_count", F.round(F.col("missing_count") * 100 / F.col("total_rows"), 2).alias("missing_percentage"), "infinite_count", "unique_values", (u <= 1).alias("is_constant"), (F.col("numeric") & (u > 1) & (u < 5)).alias("is_near_constant"), "min_value", "max_value")
 
 
 def feature_statistics(panel: DataFrame, features: tuple[str, ...] = (*PRIMARY, *QUALITY)) -> DataFrame:
     """Per feature: counts, mean, median, deviation, quartiles, population skewness and excess kurtosis (0 for a deviation under 1e-6)."""
-    x = panel.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot([], list(features), "feature", "value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    s = x.groupBy("feature").agg(F.count("value").alias("n"), F.count("*").alias("rows"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"), F.skewness("value").alias("sk"), F.kurtosis("value").alias("ku"))
+    x = written(panel.select(*[F.col(f).cast("double").alias(f) for f in features]), "features").unpivot([], list(features), "feature", "value")
+    s = x.groupBy("feature").agg(F.count("value").alias("n"), F.count("*").alias("rows"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("sk"), F.kurtosis("value").alias("ku"))
+    s = with_quantiles(s, x, ("feature",), "value", (0.25, 0.5, 0.75)).withColumn("median", F.col("q")[1])
     flat = F.col("std") < 1e-6
     shape = lambda c: r4(F.when(flat, F.lit(0.0)).otherwise(F.col(c)))
-    return s.select("feature", F.col("n").alias("count"), (F.col("rows") - F.col("n")).alias("missing_count"), F.round((F.col("rows") - F.col("n")) * 100 / F.col("rows"), 2).alias("missing_pct"), *[r4(F.col(c)).alias(c) for c in ("mean", "median", "std", "min", "max")], r4(F.col("q")[0]).alias("q1"), r4(F.col("q")[1]).alias("q3"), r4(F.col("q")[1] - F.col("q")[0]).alias("iqr"), shape("sk").alias("skewness"), shape("ku").alias("kurtosis"))
+    return s.select("feature", F.col("n").alias("count"), (F.col("rows") - F.col("n")).alias("missing_count"), F.round((F.col("rows") - F.col("n")) * 100 / F.col("rows"), 2).alias("missing_pct"), *[r4(F.col(c)).alias(c) for c in ("mean", "median", "std", "min", "max")], r4(F.col("q")[0]).alias("q1"), r4(F.col("q")[2]).alias("q3"), r4(F.col("q")[2] - F.col("q")[0]).alias("iqr"), shape("sk").alias("skewness"), shape("ku").alias("kurtosis"))
 
 
 def missingness_by_month(panel: DataFrame) -> DataFrame:
@@ -64,7 +71,10 @@ def co_missing(panel: DataFrame) -> DataFrame:
 
 
 def monthly_summary(panel: DataFrame) -> DataFrame:
-    return long_features(panel, ("month",)).groupBy("month", "feature").agg(r4(F.avg("value")).alias("mean"), r4(F.median("value")).alias("median"), r4(F.stddev_samp("value")).alias("std"), r4(F.min("value")).alias("min"), r4(F.max("value")).alias("max"), F.count("value").alias("valid_count"))
+    x = written(long_features(panel, ("month",)), "monthly")
+    s = x.groupBy("month", "feature").agg(r4(F.avg("value")).alias("mean"), r4(F.stddev_samp("value")).alias("std"), r4(F.min("value")).alias("min"), r4(F.max("value")).alias("max"), F.count("value").alias("valid_count"))
+    s = with_quantiles(s, x, ("month", "feature"), "value", (0.5,))
+    return s.select("month", "feature", "mean", r4(F.col("q")[0]).alias("median"), "std", "min", "max", "valid_count")
 
 
 def cell_temporal_stats(panel: DataFrame) -> DataFrame:
@@ -97,17 +107,9 @@ def pearson_pairwise(panel: DataFrame, features: tuple[str, ...] = PRIMARY, agai
     return _pairs(panel.select(*[F.col(c).cast("double").alias(c) for c in {*features, *against}]), [(x, y) for x in features for y in against])
 
 
-def average_ranks(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Each value's rank with ties sharing their mean rank, by range sums of counts: one row per distinct value is ordered, not one per row."""
-    from functools import reduce
-
-    out = df
-    for c in columns:
-        counts = df.groupBy(c).count()
-        below = F.coalesce(F.sum("count").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(F.col(c).alias(f"_v_{c}"), (below + (F.col("count") + 1) / 2).alias(f"_r_{c}"))
-        out = out.join(ranks, F.col(c) == F.col(f"_v_{c}")).drop(f"_v_{c}")
-    return reduce(lambda d, c: d.withColumn(c, F.col(f"_r_{c}")).drop(f"_r_{c}"), columns, out)
+def matrix(pairs: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """Pair rows (feature_x, feature_y, r) as a matrix: a row per feature_x, a column per feature."""
+    return pairs.groupBy("feature_x").agg(*[F.max(F.when(F.col("feature_y") == f, F.col("r"))).alias(f) for f in features])
 
 
 def spearman(panel: DataFrame, features: tuple[str, ...] = tuple(CORE)) -> DataFrame:
@@ -132,8 +134,11 @@ def baseline_comparison(panel: DataFrame) -> DataFrame:
     x = x.withColumns({"A_mean": F.avg("value").over(whole), "B_median": F.median("value").over(whole), "C_lagged_mean": F.avg("value").over(before)}).withColumn("D_robust", F.col("B_median"))
     names = ["A_mean", "B_median", "C_lagged_mean", "D_robust"]
     long = x.unpivot(["feature", "value"], names, "baseline_name", "expected").withColumn("res", F.col("value") - F.col("expected"))
+    long = written(long.select("feature", "baseline_name", "res", F.abs("res").alias("size")), "residuals")
     r = F.col("res")
-    return long.groupBy("feature", "baseline_name").agg(F.count(r).alias("n_eval_obs"), r4(F.avg(F.abs(r))).alias("mae"), r4(F.sqrt(F.avg(r * r))).alias("rmse"), r4(F.median(F.abs(r))).alias("median_ae"), r4(F.stddev_pop(r)).alias("residual_std"))
+    s = long.groupBy("feature", "baseline_name").agg(F.count(r).alias("n_eval_obs"), r4(F.avg("size")).alias("mae"), r4(F.sqrt(F.avg(r * r))).alias("rmse"), r4(F.stddev_pop(r)).alias("residual_std"))
+    s = with_quantiles(s, long, ("feature", "baseline_name"), "size", (0.5,))
+    return s.select("feature", "baseline_name", "n_eval_obs", "mae", "rmse", r4(F.col("q")[0]).alias("median_ae"), "residual_std")
 
 
 def representative_cells(panel: DataFrame) -> DataFrame:
@@ -162,14 +167,14 @@ def histogram(panel: DataFrame, feature: str, bins: int) -> DataFrame:
 
 def box_data(panel: DataFrame) -> DataFrame:
     """Five-number summary per core feature."""
-    q = F.percentile("value", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    s = long_features(panel, ("cell_id",)).groupBy("feature").agg(q.alias("q"))
+    x = written(long_features(panel, ("cell_id",)).select("feature", "value"), "box")
+    s = with_quantiles(x.select("feature").distinct(), x, ("feature",), "value", (0.0, 0.25, 0.5, 0.75, 1.0))
     return s.select("feature", *[r4(F.col("q")[i]).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
 
 
 def percentile_clip(panel: DataFrame, feature: str, low: float, high: float) -> DataFrame:
     """Colour limits: the 1st and 99th percentile within [low, high]; half a unit around the value where all are equal."""
-    s = panel.agg(F.percentile(feature, F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    s = quantiles(panel.select(F.lit(feature).alias("feature"), F.col(feature).cast("double").alias("value")), ("feature",), "value", (0.01, 0.99))
     a, b = F.greatest(F.lit(low), F.col("q")[0]), F.least(F.lit(high), F.col("q")[1])
     same = F.col("q")[0] == F.col("q")[1]
     return s.select(F.lit(feature).alias("feature"), r4(F.when(same, F.col("q")[0] - 0.5).otherwise(a)).alias("vmin"), r4(F.when(same, F.col("q")[1] + 0.5).otherwise(b)).alias("vmax"))

@@ -82,6 +82,3 @@ def feature_anomalies(scores: DataFrame, cfg: EngineConfig = EngineConfig()) ->
     odd = G.is_anomalous(F.col("abs_robust_z"), F.col("zero_mad_deviation"), F.lit(cfg.tau))
     s = scores.groupBy("feature", "modality_category").agg(F.count("*").alias("total_observations"), F.count("observed_value").alias("valid_observations"), F.count_if(odd).alias("anomalies_detected"), F.count_if("zero_mad_deviation").alias("zero_mad_deviations"), F.round(F.avg("abs_robust_z"), 4).alias("mean_abs_robust_z"))
     return s.withColumns({"missing_observations": F.col("total_observations") - F.col("valid_observations"), "anomaly_rate_pct": F.round(F.try_divide(F.col("anomalies_detected") * 100, F.col("valid_observations")), 2)})
-
-
-FEATURE_ORDER = tuple(CORE)

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid, panel, rasters
-from ..schemas import KEYS, EngineConfig
+from ..schemas import EngineConfig
+from ..sources import read_parquet
 
 CONFIG = EngineConfig(expected_pixels=16, baseline=("1995-01", "2000-01"), operational=("2001-01", "2001-07"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with month, cloud_pct and their customer's cell and region."""
     o, cust = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    where = cust.join(F.broadcast(cells(spark, sf_dir)), F.col("c_nationkey") == F.col("nation")).select(F.col("c_custkey").alias("o_custkey"), "cell_id", "region")
+    where = cust.join(cells(spark, sf_dir), F.col("c_nationkey") == F.col("nation")).select(F.col("c_custkey").alias("o_custkey"), "cell_id", "region")
     return o.join(where, "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate", "cell_id", "region", F.date_format("o_orderdate", "yyyy-MM").alias("month"), (F.col("o_orderkey") * 7 % 100).alias("cloud_pct"))
 
 
@@ -61,7 +62,7 @@ def optical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lights(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scenes(spark, sf_dir).select("cell_id", "month", (F.col("o_totalprice") * 0.00123456789).alias("avg_rad"), (F.col("o_custkey") % 10 + 1).alias("cf_cvg"), F.when(F.col("o_orderstatus") == "P", 0.5).otherwise(1.0).alias("mask"))
-    return _r9(rasters.zonal_lights(p)).join(F.broadcast(months(spark, sf_dir).select("month", "start_date", "end_date")), "month")
+    return _r9(rasters.zonal_lights(p)).join(months(spark, sf_dir).select("month", "start_date", "end_date"), "month")
 
 
 def weather_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +77,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = grid.nearest_node(cells(spark, sf_dir), nodes(spark, sf_dir))
-    w = _r9(rasters.hourly_to_monthly(weather_hours(spark, sf_dir))).join(F.broadcast(near), "node")
-    return w.drop("node").withColumnsRenamed({"node_lat": "era5_source_lat", "node_lon": "era5_source_lon"}).join(F.broadcast(months(spark, sf_dir).select("month", "start_date", "end_date")), "month")
+    w = _r9(rasters.hourly_to_monthly(weather_hours(spark, sf_dir))).join(near, "node")
+    return w.drop("node").withColumnsRenamed({"node_lat": "era5_source_lat", "node_lon": "era5_source_lon"}).join(months(spark, sf_dir).select("month", "start_date", "end_date"), "month")
 
 
 def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +89,3 @@ def horizon(p: DataFrame, span: tuple[str, str]) -> DataFrame:
     """The rows of a half-open span of months."""
     return p.filter((F.col("month") >= span[0]) & (F.col("month") < span[1]))
 
-
-KEY_COLUMNS = KEYS

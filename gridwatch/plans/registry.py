@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import functions as G
 from .. import streaming
 from ..operators import climatology as C
 from ..operators import evaluate, events, grid, panel, profile, rasters, scoring
-from ..schemas import OPTICAL
+from ..schemas import CORE, OPTICAL, PANEL, PRIMARY
 from ..session import shared_folder, written
-from ..sources import probe, shape_check
+from ..sources import probe, read_csv, read_geojson_grid, read_parquet, reuse_or_build, shape_check, write_csv, write_geojson_grid, write_parquet
 from . import adapter as A
 from .sql import ORACLE_SQL
 
@@ -51,7 +53,7 @@ def _fused(s, d):
 
 
 def _cells_of(s, d, evidence):
-    return events.event_cells(evidence.filter("activity_candidate").join(F.broadcast(A.cells(s, d).select("cell_id", "row", "col")), "cell_id"))
+    return events.event_cells(evidence.filter("activity_candidate").join(A.cells(s, d).select("cell_id", "row", "col"), "cell_id"))
 
 
 def _event_cells(s, d):
@@ -62,7 +64,7 @@ def _spatial_events(s, d):
     evidence, scores, oper = _fused(s, d)
     dominant = scoring.dominant_feature(scores, oper.select("cell_id", "month"), CONFIG).drop("dominant_value")
     geometry = A.cells(s, d).drop("row", "col", "nation", "region")
-    return events.spatial_events(_cells_of(s, d, evidence).drop("row", "col"), evidence, dominant, F.broadcast(geometry))
+    return events.spatial_events(_cells_of(s, d, evidence).drop("row", "col"), evidence, dominant, geometry)
 
 
 def _monthly_anomalies(s, d):
@@ -153,6 +155,96 @@ def _streamed_scores(s, d):
     return _r4(s.read.parquet(f"{root}/out").drop("batch"))
 
 
+def _place(s, tag):
+    return f"{shared_folder(s)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _with_nan(df):
+    """Missing doubles as NaN, as a file of another tool has them."""
+    return df.select(*[F.coalesce(c, F.lit(float("nan"))).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _parquet_round_trip(s, d):
+    path = _place(s, "panel")
+    write_parquet(_with_nan(A.full_panel(s, d)), path, ("month",))
+    return _r4(read_parquet(s, path, PANEL).select(*PANEL.names))
+
+
+def _csv_round_trip(s, d):
+    path = _place(s, "panel-csv")
+    write_csv(_with_nan(A.full_panel(s, d)), path)
+    return _r4(read_csv(s, path, PANEL))
+
+
+def _geojson_round_trip(s, d):
+    path = _place(s, "grid")
+    write_geojson_grid(_grid(s, d), path)
+    return read_geojson_grid(s, path)
+
+
+def _canonical_sink(s, d):
+    """A written panel's rows, and how many come before the row ahead of them in their file."""
+    path = _place(s, "sorted")
+    write_parquet(A.full_panel(s, d), path)
+    rows = read_parquet(s, path).select("cell_id", "month", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    key = F.struct("cell_id", "month")
+    rows = rows.withColumn("late", key < F.lag(key).over(Window.partitionBy("file").orderBy("at")))
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if("late").alias("n_late"))
+
+
+def _reused(s, d):
+    path = _place(s, "reused")
+    reuse_or_build(s, path, lambda: A.full_panel(s, d))
+    return panel.regional_trend(reuse_or_build(s, path, lambda: A.full_panel(s, d).limit(0)))
+
+
+def _bounds(s, d):
+    c = A.scenes(s, d).join(A.cells(s, d).select("cell_id", "centroid_lon", "centroid_lat"), "cell_id")
+    return grid.within_bounds(c, 1.0, 1.0, 3.0, 2.5, 0.05, "centroid_lon", "centroid_lat").groupBy("cell_id").agg(F.count("*").alias("n_scenes"))
+
+
+def _labels(s, d):
+    x = A.full_panel(s, d).select(*CORE).unpivot([], list(CORE), "feature", "value")
+    return x.groupBy("feature").agg(F.count("value").alias("n_values")).withColumn("label", G.plain_label(F.col("feature")))
+
+
+def _guarded(s, d):
+    """Scenes under their limit, where an empty result would be an error."""
+    return rasters.usable_scenes(A.scenes(s, d), A.CONFIG, strict=True).groupBy("month").agg(F.count("*").alias("used_scenes"))
+
+
+def _gate(s, d):
+    """A panel against its own written copy by cell_id, and by position against one whose cells have other names."""
+    path, features = _place(s, "frozen"), ("ndvi_mean", "viirs_avg_rad_mean", "era5_temperature_mean")
+    write_parquet(A.full_panel(s, d), path)
+    frozen = read_parquet(s, path).filter("month = '1998-03'")
+    new = A.full_panel(s, d).filter("month = '1998-03'")
+    renamed = frozen.withColumn("cell_id", F.concat(F.lit("zone"), F.substring("cell_id", 5, 9)))
+    by_id = panel.regression_gate(new, frozen, features).withColumn("matched_by", F.lit("cell_id"))
+    return by_id.unionByName(panel.regression_gate(panel.by_position(new), panel.by_position(renamed), features, 1e-4).withColumn("matched_by", F.lit("position")))
+
+
+def _completeness(s, d):
+    months = A.months(s, d).select("month", "days_in_month")
+    return panel.ingestion_completeness(A.full_panel(s, d), rasters.scene_counts(A.scenes(s, d), A.CONFIG), months)
+
+
+def _choropleth(s, d):
+    rows = grid.choropleth(A.cells(s, d), A.full_panel(s, d).filter("month = '1998-03'"), "ndvi_mean")
+    corner = lambda i, j: F.col("ring")[i][j]
+    return rows.select("cell_id", F.size("ring").alias("n_points"), corner(0, 0).alias("lon0"), corner(0, 1).alias("lat0"), corner(2, 0).alias("lon2"), corner(2, 1).alias("lat2"), F.round("value", 4).alias("value"), "has_value")
+
+
+def _hours_complete(s, d):
+    """Weather nodes' months against the hours of the month."""
+    return _r4(rasters.hourly_completeness(rasters.hourly_to_monthly(A.weather_hours(s, d)), A.months(s, d)).select("node", "month", "era5_observation_count", "expected_hours", "completeness_ratio"))
+
+
+def _complete_months(s, d):
+    scores, oper = _scored(s, d)
+    return streaming.complete_months(scores, A.cells(s, d).count())
+
+
 def _written_base(s, d):
     return _horizons(s, d)[0]
 
@@ -179,6 +271,20 @@ QUERIES = {
     "regional_trend": _over(panel.regional_trend, A.full_panel),
     "completeness": _over(panel.completeness, A.full_panel),
     "regression_diff": _regression,
+    "regression_gate": _gate,
+    "ingestion_completeness": _completeness,
+    "parquet_round_trip": _parquet_round_trip,
+    "csv_round_trip": _csv_round_trip,
+    "geojson_round_trip": _geojson_round_trip,
+    "canonical_sink": _canonical_sink,
+    "checkpoint_reuse": _reused,
+    "bounds_filter": _bounds,
+    "label_strip": _labels,
+    "empty_guard": _guarded,
+    "month_ordinal": lambda s, d: grid.month_ordinals(A.full_panel(s, d)),
+    "choropleth_rows": _choropleth,
+    "hourly_completeness": _hours_complete,
+    "complete_months": _complete_months,
     "seasonal_climatology": _clim,
     "climatology_band": lambda s, d: C.climatology_band(_clim(s, d), ("cell_00_01", "cell_02_02"), "viirs_avg_rad_mean"),
     "march_diagnostic": _diagnostic,
@@ -202,6 +308,7 @@ QUERIES = {
     "cell_temporal_stats": _over(profile.cell_temporal_stats),
     "pearson_pairs": _over(profile.pearson),
     "pearson_pairwise": _over(profile.pearson_pairwise),
+    "pearson_matrix": _over(lambda p: profile.matrix(profile.pearson(p), PRIMARY)),
     "spearman_pairs": _over(profile.spearman, _written_base),
     "variance_decomposition": _over(profile.variance_decomposition, _written_base),
     "baseline_comparison": _over(profile.baseline_comparison),

@@ -246,3 +246,27 @@ SELECT bin, round(lo + bin * ((hi - lo) / 40), 4) AS bin_start, count(*) AS freq
 }
 #: The stream's rows are the batch's.
 ORACLE_SQL["streamed_scores"] = ORACLE_SQL["score_robust_z"]
+
+_SAME_MONTH = "(SELECT * FROM panel WHERE month = '1998-03')"
+_COMPLETENESS = "SELECT month, count(*) AS total_cells, count(ndvi_mean) AS optical_cells, count(viirs_avg_rad_mean) AS lights_cells, count(era5_temperature_mean) AS weather_cells, CAST(sum(era5_observation_count) AS BIGINT) AS weather_hours FROM panel GROUP BY month"
+ORACLE_SQL |= {
+    "parquet_round_trip": ORACLE_SQL["panel_full_outer"],
+    "csv_round_trip": ORACLE_SQL["panel_full_outer"],
+    "geojson_round_trip": ORACLE_SQL["grid_generate"],
+    "checkpoint_reuse": ORACLE_SQL["regional_trend"],
+    "canonical_sink": f"{PANEL_CTE} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_late FROM panel",
+    "bounds_filter": f"WITH {SCENE} SELECT scene.cell_id, count(*) AS n_scenes FROM scene JOIN cell USING (cell_id) WHERE centroid_lon BETWEEN 0.95 AND 3.05 AND centroid_lat BETWEEN 0.95 AND 2.55 GROUP BY scene.cell_id",
+    "label_strip": f"""{PANEL_CTE} SELECT feature, n_values, replace(regexp_replace(regexp_replace(feature, '^(viirs|era5)_', ''), '_(mean|total)$', ''), '_', ' ') AS label FROM ({" UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) AS n_values FROM panel" for f in CORE)})""",
+    "empty_guard": f"WITH {SCENE} SELECT month, count(*) AS used_scenes FROM used GROUP BY month",
+    "month_ordinal": f"{PANEL_CTE} SELECT month, CAST(row_number() OVER (ORDER BY month) - 1 AS INTEGER) AS month_ordinal FROM (SELECT DISTINCT month FROM panel)",
+    "regression_gate": " UNION ALL ".join(f"SELECT '{f}' AS feature, n AS n_compared, 0.0::DOUBLE AS max_diff, 0.0::DOUBLE AS mean_diff, CAST(0 AS BIGINT) AS n_exceeding, '{m}' AS matched_by FROM ({PANEL_CTE} SELECT count({f}) AS n FROM {_SAME_MONTH})" for m in ("cell_id", "position") for f in ("ndvi_mean", "viirs_avg_rad_mean", "era5_temperature_mean")),
+    "ingestion_completeness": f"""{PANEL_CTE}, c AS ({_COMPLETENESS})
+SELECT c.* EXCLUDE (h), coalesce(raw_scenes, 0) AS raw_scenes, coalesce(used_scenes, 0) AS used_scenes, CAST(h AS BIGINT) AS expected_hours, round(weather_hours / h, 4) AS hours_ratio
+FROM (SELECT *, day(last_day(CAST(month || '-01' AS DATE))) * 24 * total_cells AS h FROM c) c LEFT JOIN scene_limit USING (month)""",
+    "choropleth_rows": f"""{PANEL_CTE} SELECT cell.cell_id, CAST(5 AS INTEGER) AS n_points, col::DOUBLE AS lon0, "row"::DOUBLE AS lat0, (col + 1)::DOUBLE AS lon2, ("row" + 1)::DOUBLE AS lat2, round(ndvi_mean, 4) AS value, ndvi_mean IS NOT NULL AS has_value
+FROM cell LEFT JOIN {_SAME_MONTH} p ON cell.cell_id = p.cell_id""",
+    "hourly_completeness": f"""WITH {SCENE} SELECT node, month, n AS era5_observation_count, CAST(h AS BIGINT) AS expected_hours, round(n / h, 4) AS completeness_ratio
+FROM (SELECT region AS node, month, count(*) AS n, day(last_day(CAST(month || '-01' AS DATE))) * 24 AS h FROM scene GROUP BY ALL)""",
+    "complete_months": f"{SCORE_CTE} SELECT month FROM scores GROUP BY month HAVING count(DISTINCT cell_id) = (SELECT count(*) FROM cell)",
+    "pearson_matrix": f"""SELECT feature_x, {", ".join(f"max(r) FILTER (feature_y = '{f}') AS {f}" for f in PRIMARY)} FROM ({ORACLE_SQL["pearson_pairs"]}) GROUP BY feature_x""",
+}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import types as T
 
@@ -54,3 +56,18 @@ class EngineConfig:
     coherent_cells: int = 2
     baseline: tuple[str, str] = ("2022-04", "2025-04")
     operational: tuple[str, str] = ("2026-01", "2026-07")
+
+    @classmethod
+    def from_environment(cls, environ: Mapping[str, str] = os.environ, prefix: str = "GRIDWATCH_") -> EngineConfig:
+        """The defaults with overrides: a variable is the prefix and a field's name in capitals; lists are comma-separated."""
+        found = {}
+        for f in fields(cls):
+            if (text := environ.get(prefix + f.name.upper())) is None:
+                continue
+            if isinstance(f.default, bool):
+                found[f.name] = text.strip().lower() in ("1", "true", "yes")
+            elif isinstance(f.default, tuple):
+                found[f.name] = tuple(type(f.default[0])(x.strip()) for x in text.split(","))
+            else:
+                found[f.name] = type(f.default)(text)
+        return cls(**found)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,20 +31,43 @@ def read_geojson_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.properties.*")
 
 
+#: The order in which tables are written.
+CANONICAL = ("cell_id", "month")
+
+
+def canonical(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` in canonical order over all files: by those of CANONICAL that it has; within partition folders, by what is left."""
+    order = [c for c in CANONICAL if c in df.columns and c not in partition_by]
+    if partition_by:
+        return df.repartitionByRange(*partition_by, *order).sortWithinPartitions(*partition_by, *order)
+    return df.orderBy(*order) if order else df
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    canonical(df, partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One header a part; missing values are empty."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """One header a part; missing values are empty; in canonical order."""
+    canonical(df).write.mode(mode).option("header", True).csv(path)
+
+
+#: Features in one file.
+COLLECTION = 10_000
+
+
+def ring() -> Column:
+    """A cell's outline as a closed ring of (lon, lat)."""
+    return F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("min_lon", "min_lat"), ("max_lon", "min_lat"), ("max_lon", "max_lat"), ("min_lon", "max_lat"), ("min_lon", "min_lat"))])
 
 
 def write_geojson_grid(grid: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One Feature a line (GeoJSON text sequence), each with its ring and properties."""
-    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("min_lon", "min_lat"), ("max_lon", "min_lat"), ("max_lon", "max_lat"), ("min_lon", "max_lat"), ("min_lon", "min_lat"))])
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(*grid.columns).alias("properties"))
-    grid.select(F.to_json(feature).alias("value")).write.mode(mode).text(path)
+    """FeatureCollections of up to COLLECTION cells, one a file, each cell with its ring and properties, in order of cell_id; read_geojson_grid reads the folder."""
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring()).alias("coordinates")).alias("geometry"), F.struct(*grid.columns).alias("properties"))
+    cells = grid.orderBy("cell_id").select(F.floor(F.monotonically_increasing_id() / COLLECTION).alias("file"), F.struct("cell_id", feature.alias("feature")).alias("cell"))
+    whole = cells.groupBy("file").agg(F.transform(F.array_sort(F.collect_list("cell")), lambda c: c["feature"]).alias("features"))
+    text = whole.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    text.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -56,15 +79,13 @@ def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame
 
 
 def probe(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
-    """A row per required column: whether it is there, rows, non-null values, min, mean and max."""
-    n = F.count("*").alias("n_rows")
-    rows = None
+    """A row per required column: whether it is there, rows, non-null values, min, mean and max; one pass over the table."""
+    exprs = []
     for c in required:
-        there = c in df.columns
-        x = F.col(c).cast("double") if there else F.lit(None).cast("double")
-        one = df.agg(n, F.count(x).alias("n_values"), F.min(x).alias("min_value"), F.round(F.avg(x), 4).alias("mean_value"), F.max(x).alias("max_value")).select(F.lit(c).alias("column_name"), F.lit(there).alias("present"), "*")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+        x = F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
+        exprs.append(F.struct(F.lit(c).alias("column_name"), F.lit(c in df.columns).alias("present"), F.count("*").alias("n_rows"), F.count(x).alias("n_values"), F.min(x).alias("min_value"), F.round(F.avg(x), 4).alias("mean_value"), F.max(x).alias("max_value")))
+    one = df.agg(*[e.alias(f"c{i}") for i, e in enumerate(exprs)])
+    return one.select(F.explode(F.array(*[f"c{i}" for i in range(len(exprs))])).alias("p")).select("p.*")
 
 
 def duplicate_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -144,3 +144,77 @@ def test_regression_and_duplicates(spark):
     r = panel.regression_diff(a, b, ("ndvi_mean",)).first()
     assert (r.n_compared, r.max_diff, r.n_exceeding) == (1, 0.5, 1)
     assert sources.duplicate_keys(a.union(a.filter("cell_id = 'a'")), ("cell_id", "month")).count() == 1
+
+
+def test_components_across_tiles(spark, monkeypatch):
+    """The same events whatever the tiles' size: a spiral over many tiles, diagonals, single cells, two months."""
+    import random
+
+    rng = random.Random(5)
+    spiral = [(r, c) for r in range(12) for c in range(12) if (r % 4 == 0) or (r % 4 == 1 and c == 11) or (r % 4 == 2) or (r % 4 == 3 and c == 0)]
+    cells = [("2001-01", r, c) for r, c in spiral] + [("2001-02", r, c) for r in range(12) for c in range(12) if rng.random() < 0.55]
+    df = spark.createDataFrame([(m, f"cell_{r:02d}_{c:02d}", r, c) for m, r, c in cells], "month string, cell_id string, row int, col int")
+    found = {}
+    for side in (256, 3, 1):
+        monkeypatch.setattr(events, "TILE", side)
+        found[side] = {(r.month, r.cell_id): r.event_number for r in events.event_cells(df).collect()}
+    assert found[256] == found[3] == found[1] and len(found[256]) == len(cells)
+    assert {n for (m, _), n in found[1].items() if m == "2001-01"} == {1}
+    assert events.event_cells(df.limit(0)).count() == 0
+
+
+def test_exact_ranks_and_quantiles(spark):
+    import random
+
+    import numpy as np
+    from gridwatch.operators import ranks
+
+    rng = random.Random(3)
+    rows = [("a", rng.choice([0.0, -0.0, 1.5, rng.random()])) for _ in range(301)] + [("b", 7.0)] + [("c", None)] + [("d", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    got = {r.k: r.q for r in ranks.quantiles(df, ("k",), "v", shares).collect()}
+    assert sorted(got) == ["a", "b", "d"]
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([v for x, v in rows if x == k], shares))
+    assert {r.k: r.q for r in ranks.with_quantiles(df.select("k").distinct(), df, ("k",), "v", (0.5,)).collect()}["c"] is None
+    both = spark.createDataFrame([(3.0, 1.0), (3.0, 2.0), (1.0, 2.0), (9.0, 2.0)], "x double, y double")
+    assert sorted((r.x, r.y) for r in ranks.average_ranks(both, ("x", "y")).collect()) == [(1.0, 3.0), (2.5, 1.0), (2.5, 3.0), (4.0, 3.0)]
+    assert ranks.quantiles(df.limit(0), ("k",), "v", (0.5,)).count() == 0
+
+
+def test_config_overrides():
+    from gridwatch.schemas import EngineConfig
+
+    cfg = EngineConfig.from_environment({"GRIDWATCH_TAU": "2.5", "GRIDWATCH_INCLUSIVE": "false", "GRIDWATCH_CLEAR_CLASSES": "4, 5", "GRIDWATCH_BASELINE": "2020-01,2021-01", "TAU": "9"})
+    assert (cfg.tau, cfg.inclusive, cfg.clear_classes, cfg.baseline, cfg.min_baseline) == (2.5, False, (4, 5), ("2020-01", "2021-01"), 2)
+    assert EngineConfig.from_environment({}) == EngineConfig()
+
+
+def test_regression_gate(spark):
+    from gridwatch.operators import panel
+
+    new = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "cell_id string, x double")
+    moved = spark.createDataFrame([("k", 1.0), ("l", 2.5)], "cell_id string, x double")
+    assert panel.regression_gate(new, new, ("x",)).first().n_exceeding == 0
+    with pytest.raises(ValueError, match="x \\(1 of 2"):
+        panel.regression_gate(panel.by_position(new), panel.by_position(moved), ("x",))
+    with pytest.raises(ValueError, match="0 of 0"):
+        panel.regression_gate(new, moved, ("x",))
+
+
+def test_written_grid_reads_back(spark, tmp_path, monkeypatch):
+    import json
+    import os
+
+    from gridwatch import sources
+    from gridwatch.operators import grid
+
+    monkeypatch.setattr(sources, "COLLECTION", 5)
+    cells = grid.generate_grid(spark.createDataFrame([(0.0, 0.0, 4.0, 3.0)], "min_lon double, min_lat double, max_lon double, max_lat double"), 111_000)
+    sources.write_geojson_grid(cells, f"{tmp_path}/grid")
+    assert sorted(map(tuple, sources.read_geojson_grid(spark, f"{tmp_path}/grid").collect())) == sorted(map(tuple, cells.select("cell_id", "row", "col", "index", "centroid_lon", "centroid_lat", "min_lon", "max_lon", "min_lat", "max_lat", "approx_width_m", "approx_height_m").collect()))
+    for name in os.listdir(f"{tmp_path}/grid"):
+        if name.startswith("part") and os.path.getsize(f"{tmp_path}/grid/{name}"):
+            one = json.load(open(f"{tmp_path}/grid/{name}"))
+            assert one["type"] == "FeatureCollection" and 1 <= len(one["features"]) <= 5 and one["features"][0]["geometry"]["coordinates"][0][0] == one["features"][0]["geometry"]["coordinates"][0][4]
