@@ -5,7 +5,7 @@ sets that link must share a shingle within each one's prefix, so inverted lists
 
 * Lists skip by position: an entry has its set's size and its place in the set, and a pair is passed
   over when sizes or the rests behind the shared shingle cannot reach the threshold. Shingles that one
-  document alone has are left out of the lists.
+  document alone has in its prefix are left out of the lists as far as a table of fixed size tells.
 * A long list is joined with its most central member first (the one with the fewest rarer shingles before
   the shared one). What that settles needs no comparison any more: only pairs across components are left,
   and each has an end outside the central member's component. Those ends, the drivers, visit the list in
@@ -38,14 +38,14 @@ from .shingles import shingle_sets
 
 #: Jaccard similarity of a link, as a fraction: NUM / DEN or more.
 NUM, DEN = 75, 100
-#: Sizes of the two tables of shingle statistics: one bit a slot, and one byte a slot.
-SHARED_BITS, LEVEL_BITS = 26, 22
+#: Sizes of the two tables of shingle statistics: one bit a slot, and one byte a slot; neither grows with the corpus.
+SHARED_BITS, LEVEL_BITS = 27, 22
 #: A shingle in fewer documents than this keeps its place in hash order; of the others, so many at most (the most frequent) have a level.
 COMMON, LEVELLED = 16, 1 << 20
 #: Lists up to LONG are compared in full at once; blocks of longer ones hold about so many bytes of sets on either side.
 LONG, BLOCK_BYTES = 48, 8 << 20
 #: Occurrences counted in one task at a time, and about so many keys in one range of keys.
-_RUN, _RANGE = 1 << 20, 1 << 22
+_RUN, _RANGE = 1 << 19, 1 << 21
 
 
 def _deltas(keys: np.ndarray) -> bytes:
@@ -62,8 +62,14 @@ def _keys(deltas: bytes) -> np.ndarray:
     return np.cumsum(d)[d != 65535]
 
 
-def _counted(parts: int):
-    """Upper halves of shingles by range of keys: the distinct ones of a run of documents, and how often those with several came."""
+def _in_order(h: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The places of a set's first shingles (its prefix) in the global order: less common ones first, then by hash."""
+    return np.argsort(level[h >> np.uint64(64 - LEVEL_BITS)], kind="stable")[: prefix_size(len(h)) if len(h) else 0]
+
+
+def _counted(parts: int, level=None):
+    """Upper halves of shingles (or, with levels, of prefixes' shingles) by range of keys: the distinct ones of a run of documents,
+    and how often those with several came."""
     shift = np.uint64(32 - parts.bit_length() + 1)
 
     def emit(keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -81,7 +87,9 @@ def _counted(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in slices(batches):
-            h, _ = shingle_sets(*text_bytes(batch.column("text")))
+            h, at = shingle_sets(*text_bytes(batch.column("text")))
+            if level is not None:
+                h = np.concatenate([np.zeros(0, np.uint64), *[h[a:b][_in_order(h[a:b], level.value)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]])
             held.append(h >> np.uint64(32))
             n += len(h)
             if n >= _RUN:
@@ -101,11 +109,14 @@ def _tables(parts: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         keys, times = [], []
         for k, which, often in zip(*[rows.column(c).to_pylist() for c in ("keys", "which", "often")], strict=True):
-            keys.append(_keys(k))
-            times.append(np.ones(len(keys[-1]), np.int64))
+            keys.append(_keys(k).astype(np.uint32))
+            times.append(np.ones(len(keys[-1]), np.uint32))
             times[-1][np.frombuffer(which, np.uint32)] = np.frombuffer(often, np.uint32)
-        k, at = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(at, weights=np.concatenate(times)).astype(np.int64)
+        k, n = np.concatenate(keys), np.concatenate(times)
+        order = np.argsort(k)
+        k, n = k[order], n[order]
+        first = np.flatnonzero(np.diff(k, prepend=k[0] + np.uint32(1)))
+        k, count = k[first].astype(np.int64), np.add.reduceat(n, first, dtype=np.int64)
         shared = np.zeros(1 << bits, bool)
         shared[k[count > 1] >> (low - bits)] = True
         many = count >= COMMON
@@ -117,27 +128,41 @@ def _tables(parts: int):
     return run
 
 
-def shingle_tables(d: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all shingles of all documents, by their upper 32 bits, as two tables of fixed size (8 and 4 MB).
-
-    Keys are counted in ranges whose number grows with the text. Where more than LEVELLED shingles are common, the
-    level table has the most frequent ones."""
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _key_counts(d: DataFrame, size: int, scratch: Scratch, level=None) -> DataFrame:
+    """Keys are counted in ranges whose number grows with the text (of ``size`` bytes)."""
     parts = 1 << min(SHARED_BITS - 6, max(3, (size // 6 // _RANGE).bit_length()))
-    blocks = d.select("text").mapInArrow(_counted(parts), "part int, keys binary, which binary, often binary")
-    made = scratch.write(blocks.groupBy("part").applyInArrow(_tables(parts), "part int, shared binary, slots binary, levels binary, hist array<long>"), "shingle-tables")
+    blocks = d.select("text").mapInArrow(_counted(parts, level), "part int, keys binary, which binary, often binary")
+    return scratch.write(blocks.groupBy("part").applyInArrow(_tables(parts), "part int, shared binary, slots binary, levels binary, hist array<long>"), "shingle-tables")
+
+
+def level_table(d: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
+    """How common shingles are, by their upper bits: a table of fixed size (4 MB) from counts over all documents.
+
+    Where more than LEVELLED shingles are common, it has the most frequent ones."""
+    made = _key_counts(d, size, scratch)
     hist = {r.pos: r.n for r in made.select(F.posexplode("hist").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
     least, total = 63, 0
     while least >= 0 and total + hist.get(least, 0) <= LEVELLED:
         total += hist.get(least, 0)
         least -= 1
-    shared, level = np.zeros(1 << SHARED_BITS - 3, np.uint8), np.zeros(1 << LEVEL_BITS, np.uint8)
-    for r in made.drop("hist").toLocalIterator():
-        a, lv = np.frombuffer(r.shared, np.uint8), np.frombuffer(r.levels, np.uint8)
-        shared[r.part * len(a) : (r.part + 1) * len(a)] = a
+    level = np.zeros(1 << LEVEL_BITS, np.uint8)
+    for r in made.select("slots", "levels").toLocalIterator():
+        lv = np.frombuffer(r.levels, np.uint8)
         some = lv > least
         np.maximum.at(level, np.frombuffer(r.slots, np.uint32)[some], lv[some])
-    return shared, level
+    return level
+
+
+def shared_table(d: DataFrame, size: int, level, scratch: Scratch) -> np.ndarray:
+    """A bit for each slot with a shingle that two documents have in their prefixes: a table of fixed size (16 MB).
+
+    A list needs two members, so shingles without a bit are left out. As the corpus grows the table fills up and leaves out
+    fewer; results don't depend on it, and the lists are bounded by all prefixes, a quarter of all shingles."""
+    shared = np.zeros(1 << SHARED_BITS - 3, np.uint8)
+    for r in _key_counts(d, size // 3, scratch, level).select("part", "shared").toLocalIterator():
+        a = np.frombuffer(r.shared, np.uint8)
+        shared[r.part * len(a) : (r.part + 1) * len(a)] = a
+    return shared
 
 
 def prefix_size(n):
@@ -156,7 +181,7 @@ def least_overlap(n, m):
     return -(-NUM * (n + m) // (NUM + DEN))
 
 
-SIGNATURES = "row long, doc_id long, text_hash long, n long, fp binary, toks array<long>, pos array<int>, bits binary, s binary"
+SIGNATURES = "row long, doc_id long, text_hash long, n long, fp binary, toks array<long>, pos array<int>, bits binary"
 
 
 def _signed(shared, level):
@@ -164,30 +189,42 @@ def _signed(shared, level):
         shared_, level_ = shared.value, level.value
         for batch in slices(batches):
             h, at = shingle_sets(*text_bytes(batch.column("text")))
-            lv = level_[h >> np.uint64(64 - LEVEL_BITS)]
             slot = h >> np.uint64(64 - SHARED_BITS)
             has = (shared_[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            sets, fps, bits, toks, pos = [], [], [], [], []
+            fps, bits, toks, pos = [], [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 s = h[a:b]
-                sets.append(s.tobytes())
-                fps.append(hashlib.md5(sets[-1]).digest())
+                fps.append(hashlib.md5(s.tobytes()).digest())
                 bits.append(bitmap(s))
-                first = np.argsort(lv[a:b], kind="stable")[: prefix_size(b - a) if b > a else 0]
+                first = _in_order(s, level_)
                 place = np.flatnonzero(has[a:b][first])
                 toks.append(s[first[place]].view(np.int64))
                 pos.append(place.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(at)), pa.array(fps, pa.binary()), pa.array(toks, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], [f.split()[0] for f in SIGNATURES.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(at)), pa.array(fps, pa.binary()), pa.array(toks, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(bits, pa.binary())], [f.split()[0] for f in SIGNATURES.split(", ")])
 
     return run
 
 
 def signatures(d: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each row's key, set and list entries; the sets are made once here and read from then on."""
+    """Each row's key, list entries and bitmap."""
     sc = d.sparkSession.sparkContext
-    shared, level = map(sc.broadcast, shingle_tables(d, scratch))
-    rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_signed(shared, level), SIGNATURES)
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    level = sc.broadcast(level_table(d, size, scratch))
+    shared = sc.broadcast(shared_table(d, size, level, scratch))
+    return d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_hash", "text").mapInArrow(_signed(shared, level), SIGNATURES)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        h, at = shingle_sets(*text_bytes(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["row", "s"])
+
+
+def wanted_sets(d: DataFrame, sig: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, s) for the given rows, from their texts: only these move, and each set is made once and read from then on."""
+    wanted = scratch.write(sig.select("row", "doc_id", "text_hash").join(rows, "row", "left_semi"), "wanted").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
+    hits = bit_filter(d, "doc_id", wanted, "id").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    return scratch.write(hits.dropDuplicates(["id", "hash"]).select("row", "text").mapInArrow(_sets, "row long, s binary"), "sets")
 
 
 def can_link(n, i, m, j):
@@ -260,7 +297,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets. A bit filter keeps other rows' sets from being moved."""
-    wanted = bit_filter(sets, "row", pairs.select(F.explode(F.array("a", "b")).alias("row")), "row")
+    wanted = bit_filter(sets, "row", pairs.select(F.explode(F.array("a", "b")).alias("row")), "row").hint("merge")
     joined = pairs.join(wanted.withColumnRenamed("row", "a"), "a").join(wanted.select(F.col("row").alias("b"), F.col("s").alias("t")), "b")
     return joined.select("a", "b", "s", "t").mapInArrow(_verified, "a long, b long")
 
@@ -346,8 +383,8 @@ def long_links(members: DataFrame, comp: DataFrame, sets: DataFrame, scratch: Sc
     left = sent.drop("splits").join(visited, key).select(*key, part.alias("g"), all_of("splits").alias("h"), "row", "comp", F.lit(True).alias("drives"))
     right = m.join(visited, key).select(*key, all_of("parts").alias("g"), split.alias("h"), "row", "comp", F.lit(False).alias("drives"))
     rows = scratch.write(left.unionByName(right), "block-rows")
-    wanted = bit_filter(sets, "row", rows.select("row"), "row")
-    return rows.join(wanted, "row").groupBy(*key, "g", "h").applyInArrow(_block_links, "a long, b long")
+    wanted = bit_filter(sets, "row", rows, "row")
+    return rows.join(wanted.hint("merge"), "row").groupBy(*key, "g", "h").applyInArrow(_block_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,10 +395,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat a doc_id each have their own set and component, so one doc_id may be in two components. A null
     doc_id is never a component_id unless all rows that it reaches have none. Other columns, whatever their names,
     are ignored; an empty table gives no rows. text_hash (xxhash64 of the text as it stands, null as empty) tells rows of one doc_id apart."""
-    d = id_and_text(docs, id_col, text_col)
+    d = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     with Scratch(d.sparkSession) as scratch:
         sig = scratch.write(signatures(d, scratch), "signatures", keep=True)
-        sets = sig.select("row", "s")
         classes = scratch.write(sig.filter("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
         reps = scratch.write(sig.join(classes.select("row"), "row", "left_semi").select("row", "n", "toks", "pos", "bits"), "representatives")
         entries = reps.select("row", "n", F.explode(F.arrays_zip("toks", "pos")).alias("e")).select(F.col("e.toks").alias("tok"), "row", "n", F.col("e.pos").alias("pos"))
@@ -374,6 +410,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = scratch.write(short.unionByName(central).distinct(), "candidates")
         of = lambda c, k, bits: reps.select(F.col("row").alias(c), F.col("n").alias(k), F.col("bits").alias(bits))
         pairs = scratch.write(pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").mapInArrow(_bounded, "a long, b long"), "pairs")
+        sets = wanted_sets(d, sig, pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(members.select("row")), scratch)
         tree = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         links = scratch.write(verify(sets, tree), "links")
         comp = components(links, scratch)
