@@ -1,10 +1,11 @@
 """Exact top-k inner-product search with vector-approximation files.
 
-Vectors lie in blocks. A block keeps, beside its exact integers, one byte per component: the cell of a
-grid that is fitted to the block. A cell's middle and half-width bound every inner product from both
-sides. The first scan reads cells alone and gives each query a score that its kth result surely
-reaches. The second scan finds the vectors whose upper bound reaches that score and reads their exact
-integers, highest bound first, until the kth best exact score is above all bounds that remain.
+Equal vectors are one class with its smallest ids, searched for once and found once. Classes lie in blocks
+of cells: one byte a component, on a grid that is fitted to the block. A cell's middle and half-width
+bound every inner product from both sides. The first scan of the cells gives each query a score that its
+kth result surely reaches; the second finds the vectors whose upper bound reaches that score. Only their
+exact vectors are read, those of the highest bounds first: the kth best of these is a score that settles
+which of the others are read at all.
 """
 
 from __future__ import annotations
@@ -17,21 +18,33 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 SCALE, CELLS = 256, 256
 BLOCK, QUERIES = 512, 256
-BLOCKS = "block long, dim int, ids binary, low binary, step binary, cells binary, exact binary"
-_RESULT = "query_id long, vec_id long, score long"
-_GROUP = 64
+BLOCKS = "block long, dim int, rows binary, low binary, step binary, cells binary"
+#: Components that are this large in whole numbers have no exact product in 64-bit floats or cells.
+LARGEST = 1 << 52
 
 
 def integers(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, dim, v array of long) with v = floor(SCALE * x); without null ids, and vectors that are null or hold null, NaN or infinity."""
+    """(vec_id, dim, v array of long) with v = floor(SCALE * x); without null ids, and vectors that are null or hold null, NaN or infinity.
+
+    A component of LARGEST or more is an error: it can't be told apart from its neighbours any more."""
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     d = emb.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
     fine = F.forall("x", lambda c: F.coalesce((F.abs(c) < float("inf")) & ~F.isnan(c), F.lit(False)))
-    return d.filter(fine).select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(c * SCALE)).alias("v"))
+    small = F.forall("x", lambda c: F.abs(c) * SCALE < LARGEST)
+    d = d.filter(fine).withColumn("x", F.when(small, F.col("x")).otherwise(F.raise_error(F.format_string("vector %d has a component too large for exact scores", F.col("vec_id")))))
+    return d.select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(c * SCALE)).alias("v"))
+
+
+def classes(ints: DataFrame, most: int) -> DataFrame:
+    """(row, dim, v, members) per distinct vector, with its ``most`` smallest ids and how many rows each of these has."""
+    ids = ints.groupBy("dim", "v", "vec_id").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("dim", "v").orderBy("vec_id"))
+    ids = ids.withColumn("k", first).filter(F.col("k") <= most)
+    return ids.groupBy("dim", "v").agg(F.collect_list(F.struct("vec_id", "n")).alias("members")).withColumn("row", F.monotonically_increasing_id())
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -53,11 +66,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row(dim: int, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         low, step, cells = quantised(v)
-        cols = [[at + done], [dim], *[[x.tobytes()] for x in (ids, low, step, cells, v)]]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["block", "dim", "ids", "low", "step", "cells", "exact"])
+        cols = [[at + done], [dim], *[[x.tobytes()] for x in (ids, low, step, cells)]]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["block", "dim", "rows", "low", "step", "cells"])
 
     for batch in batches:
-        dims, ids = batch.column("dim").to_numpy(), batch.column("vec_id").to_numpy()
+        dims, ids = batch.column("dim").to_numpy(), batch.column("row").to_numpy()
         for dim in np.unique(dims).tolist():
             take = np.flatnonzero(dims == dim)
             v = _matrix(batch.column("v").take(pa.array(take)), dim)
@@ -76,76 +89,48 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _query_block(key: tuple, rows: pa.Table) -> pa.Table:
     dim = key[0].as_py()
-    cols = [rows.column("vec_id").to_numpy().tobytes(), _matrix(rows.column("v"), dim).tobytes(), rows.column("least").to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]
-    return pa.table({"dim": pa.array([dim], pa.int32()), "qids": pa.array([cols[0]], pa.binary()), "q": pa.array([cols[1]], pa.binary()), "least": pa.array([cols[2]], pa.binary())})
+    cols = [rows.column("row").to_numpy().tobytes(), _matrix(rows.column("v"), dim).tobytes(), rows.column("least").to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]
+    return pa.table({"dim": pa.array([dim], pa.int32()), "qrows": pa.array([cols[0]], pa.binary()), "q": pa.array([cols[1]], pa.binary()), "least": pa.array([cols[2]], pa.binary())})
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers: by floating point where every sum is below 2**53."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 2**53:
-        return a @ b.T
-    return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+def bounds(q: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For queries and the cells of a block: products with the cells' middles, and how far exact scores lie from these at most.
 
+    The second allows for rounding, in proportion to the largest sum that could arise."""
+    half = (step - 1) / 2
+    middle = low + cells * step + half
+    q = q.astype(np.float64)
+    largest = np.abs(middle).max(0, initial=0) + half
+    return q @ middle.T, np.abs(q) @ half + 0.5 + (len(low) + 8) * 2.0**-51 * (np.abs(q) @ largest)
 
-def _pairs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            r = {c: batch.column(c)[i].as_py() for c in ("dim", "qids", "q", "least", *names)}
-            dim = r["dim"]
+        for r in batch.to_pylist():
             ints = lambda x: np.frombuffer(x, np.int64)
-            qids, q, ids = ints(r["qids"]), ints(r["q"]).reshape(-1, dim), ints(r["ids"])
-            half = (ints(r["step"]) - 1) / 2
-            middle = ints(r["low"]) + np.frombuffer(r["cells"], np.uint8).reshape(-1, dim) * ints(r["step"]) + half
-            about = q.astype(np.float64) @ middle.T
-            room = np.abs(q).astype(np.float64) @ half
-            about[qids[:, None] == ids[None, :]] = -np.inf
-            yield r, qids, q, ids, about, room
+            qrows, rows, q = ints(r["qrows"]), ints(r["rows"]), ints(r["q"]).reshape(-1, r["dim"])
+            about, room = bounds(q, ints(r["low"]), ints(r["step"]), np.frombuffer(r["cells"], np.uint8).reshape(-1, r["dim"]).astype(np.int64))
+            yield qrows, rows, about, room, np.frombuffer(r["least"], np.float64)
 
 
 def _lower(k: int):
     """For each query the kth highest lower bound in a block, where the block has as many vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, qids, _, ids, about, room in _pairs(batches, ["ids", "low", "step", "cells"]):
-            if len(ids) >= k:
-                kth = np.partition(about, len(ids) - k, axis=1)[:, len(ids) - k] - room
-                some = np.isfinite(kth)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[some]), pa.array(kth[some] - 0.5)], ["query_id", "least"])
+        for qrows, rows, about, room, _ in _pairs(batches):
+            if len(rows) >= k:
+                kth = np.partition(about, len(rows) - k, axis=1)[:, len(rows) - k] - room
+                yield pa.RecordBatch.from_arrays([pa.array(qrows), pa.array(kth)], ["qrow", "least"])
 
     return run
 
 
-def nearest_in_block(upper: np.ndarray, least: float, score, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block (ids, scores), ties to smaller ids, among vectors whose bound reaches ``least``.
-
-    Exact vectors are read by ``score`` in falling order of their bounds, _GROUP at a time, until the kth best
-    exceeds every bound left."""
-    order = np.flatnonzero((upper >= least) & np.isfinite(upper))
-    order = order[np.argsort(-upper[order], kind="stable")]
-    best_i, best_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(order), _GROUP):
-        if len(best_s) == k and upper[order[at]] < best_s[-1]:
-            break
-        some = order[at : at + _GROUP]
-        best_i, best_s = np.concatenate([best_i, ids[some]]), np.concatenate([best_s, score(some)])
-        top = np.lexsort((best_i, -best_s))[:k]
-        best_i, best_s = best_i[top], best_s[top]
-    return best_i, best_s
-
-
-def _exact(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, qids, q, ids, about, room in _pairs(batches, ["ids", "low", "step", "cells", "exact"]):
-            v = np.frombuffer(r["exact"], np.int64).reshape(-1, r["dim"])
-            least = np.frombuffer(r["least"], np.float64)
-            out = []
-            for j in range(len(qids)):
-                i, s = nearest_in_block(about[j] + room[j] + 0.5, least[j], lambda some, j=j: _product(q[j : j + 1], v[some])[0], ids, k)
-                out += zip([qids[j]] * len(i), i.tolist(), s.tolist(), strict=True)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
-
-    return run
+def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qrow, row, upper) for the vectors whose upper bound reaches the query's ``least``."""
+    for qrows, rows, about, room, least in _pairs(batches):
+        upper = about + room[:, None]
+        i, j = np.nonzero(upper >= least[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(qrows[i]), pa.array(rows[j]), pa.array(upper[i, j])], ["qrow", "row", "upper"])
 
 
 def top_k(emb: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -153,25 +138,48 @@ def top_k(emb: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
 
     The score is the integer inner product of floor(SCALE * x); ties go to the smaller vec_id; a query's own
     vec_id is no candidate, and vectors of another dimension aren't either. Rows that repeat a vec_id are each
-    candidates, and one query. Unusable vectors take no part; fewer than k candidates give as many rows; an
-    empty table gives none. Queries meet vectors in blocks of QUERIES by BLOCK rows: the query blocks are dealt
-    to every bucket of vector blocks."""
+    candidates, and one query (with the least of their vectors). Unusable vectors take no part; fewer than k
+    candidates give as many rows; an empty table gives none; other columns are ignored. Sums beyond 64 bits are
+    taken in decimals; a score in the result that doesn't fit is an error, and nothing ever wraps. Queries meet cells
+    in blocks of QUERIES by BLOCK rows: the query blocks are dealt to every bucket of cell blocks."""
     spark = emb.sparkSession
-    ints = integers(emb, id_col, vec_col)
-    blocks = written(ints.mapInArrow(_blocks, BLOCKS), "va-blocks")
-    queries = written(ints.filter(is_query).dropDuplicates(["vec_id"]), "queries")
-    groups = max(1, -(-queries.count() // QUERIES))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
-
-    def pairs(q: DataFrame, columns: list[str]) -> DataFrame:
-        g = q.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("dim", "g").applyInArrow(_query_block, "dim int, qids binary, q binary, least binary")
-        dealt = g.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        return dealt.join(blocks.select("dim", "bucket", *columns), ["dim", "bucket"]).drop("bucket")
-
-    first = pairs(queries.withColumn("least", F.lit(float("-inf"))), ["ids", "low", "step", "cells"]).mapInArrow(_lower(k), "query_id long, least double")
-    least = written(first.groupBy("query_id").agg(F.max("least").alias("least")), "bounds")
-    bounded = queries.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    found = pairs(bounded, ["ids", "low", "step", "cells", "exact"]).mapInArrow(_exact(k), _RESULT)
+    with Scratch(spark) as scratch:
+        ints = integers(emb, id_col, vec_col)
+        vectors = scratch.write(classes(ints, k + 1), "va-vectors")
+        asked = ints.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q"), F.count_distinct("dim", "v").alias("own"))
+        asked = scratch.write(asked.select(F.col("vec_id").alias("query_id"), "q.dim", "q.v", "own").join(vectors.select("dim", "v", "row"), ["dim", "v"]).select("query_id", F.col("row").alias("qrow"), "own"), "va-queries", keep=True)
+        top = k + (asked.agg(F.max("own")).first()[0] or 1)  # so many classes, as those of a query's own id may be among them
+        queries = scratch.write(vectors.select("row", "dim", "v").join(asked.select(F.col("qrow").alias("row")).distinct(), "row", "left_semi"), "va-searches")
+        size = vectors.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))).alias("big"), F.max("dim").alias("dim")).first()
+        number = "long" if (size.big or 0) ** 2 * (size.dim or 0) < 2**63 else "decimal(38,0)"
+        blocks = scratch.write(vectors.select("row", "dim", "v").mapInArrow(_blocks, BLOCKS), "va-cells")
+        groups = max(1, -(-queries.count() // QUERIES))
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
+
+        def scan(q: DataFrame) -> DataFrame:
+            g = q.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups))).groupBy("dim", "g").applyInArrow(_query_block, "dim int, qrows binary, q binary, least binary")
+            dealt = g.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+            return dealt.join(blocks.drop("block"), ["dim", "bucket"]).drop("bucket")
+
+        def exact(some: DataFrame) -> DataFrame:
+            both = some.join(vectors.select("row", F.col("v").alias("y")), "row").join(queries.select(F.col("row").alias("qrow"), F.col("v").alias("x")), "qrow")
+            product = F.aggregate(F.zip_with("x", "y", lambda x, y: (x.cast(number) * y.cast(number)).cast(number)), F.lit(0).cast(number), lambda t, z: (t + z).cast(number))
+            return both.select("qrow", "row", product.alias("score"))
+
+        first = scan(queries.withColumn("least", F.lit(float("-inf")))).mapInArrow(_lower(top), "qrow long, least double")
+        least = scratch.write(first.groupBy("qrow").agg(F.max("least").alias("least")), "va-bounds")
+        bounded = queries.join(least.withColumnRenamed("qrow", "row"), "row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        reach = scratch.write(scan(bounded).mapInArrow(_reaching, "qrow long, row long, upper double"), "va-reach")
+        order = lambda by: F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc(by), "row"))
+        ahead = exact(reach.withColumn("at", order("upper")).filter(F.col("at") <= 2 * top))
+        kth = ahead.withColumn("at", order("score")).filter(F.col("at") == top).select("qrow", F.col("score").cast("double").alias("kth"))
+        kth = scratch.write(kth, "va-kth")
+        still = reach.join(kth, "qrow", "left").filter(F.col("kth").isNull() | (F.col("upper") + 0.5 + F.abs("kth") * 2.0**-50 >= F.col("kth")))
+        scored = exact(still).join(vectors.select("row", "members"), "row").select("qrow", "score", F.explode("members").alias("m")).select("qrow", "score", "m.*")
+        best = F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id"))
+        answers = scratch.write(scored.withColumn("at", best).filter(F.col("at") <= top).drop("at"), "va-answers", keep=True)
+    found = asked.join(answers, "qrow").filter("vec_id <> query_id")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pytest
 from gridwatch.llm import topk as K
+from gridwatch.llm.common import Scratch
 from pyspark.sql import functions as F
 
 
@@ -35,14 +37,59 @@ def test_few_candidates_and_empty(spark):
     assert run(spark, []) == []
 
 
-def test_stops_early():
+def test_bounds_hold_at_any_size():
     rng = np.random.default_rng(2)
-    true = rng.integers(0, 10**6, 5000)
-    upper, read = true + rng.integers(0, 100, 5000).astype(float), []
+    for scale in (10, 10**6, 10**13, 2**50):
+        v, q = rng.integers(-scale, scale, (200, 16)), rng.integers(-scale, scale, (9, 16))
+        low, step, cells = K.quantised(v)
+        about, room = K.bounds(q, low, step, cells.astype(np.int64))
+        true = [[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in v] for x in q]
+        assert all(int(about[i, j] - room[i]) <= true[i][j] <= math.ceil(about[i, j] + room[i]) for i in range(9) for j in range(200))
 
-    def score(some):
-        read.extend(some.tolist())
-        return true[some]
 
-    i, s = K.nearest_in_block(upper, -np.inf, score, np.arange(5000), 5)
-    assert s.tolist() == sorted(true.tolist(), reverse=True)[:5] and len(read) <= 2 * K._GROUP
+def brute_rows(rows, k):
+    """Like brute, where ids repeat: each row a candidate, an id one query (with the least of its vectors)."""
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    out = []
+    for q in sorted({i for i, _ in ints if i % 50 == 0}):
+        x = min((len(v), v) for i, v in ints if i == q)[1]
+        scored = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in ints if i != q and len(v) == len(x))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_repeated_rows_and_one_very_common_vector(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 0.3, (400, 6)).round(3)
+    rows = [(i, (v[7] if i % 3 == 0 else v[i]).tolist()) for i in range(400)]
+    rows += [(50, v[9].tolist()), (50, v[10].tolist()), (50, v[10].tolist()), (8, v[8].tolist()), (8, v[8].tolist()), (8, (v[8] * 3).tolist()), (0, (v[7] * 9).tolist()), (0, (v[7] * 9).tolist())]
+    rows = [(i, np.array(x, np.float32).astype(float).tolist()) for i, x in rows]
+    assert run(spark, rows) == brute_rows(rows, 5)
+
+
+def test_scores_never_wrap(spark):
+    big = [(0, [3e8, 1e3]), (1, [2e8, -1.0]), (2, [-3e8, 5.0]), (50, [1.0, 2.0])]
+    exact = [(i, [float(np.float32(x)) for x in v]) for i, v in big]
+    df = spark.createDataFrame(exact, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)cast_overflow|overflow|out of range"):
+        K.top_k(df, F.col("vec_id") == 0, 1).collect()  # 5.9e21 fits no long
+    got = K.top_k(df, F.col("vec_id") == 50, 5).collect()  # sums in decimals, results that fit
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [x for x in brute_rows(exact, 5) if x[0] == 50]
+    with pytest.raises(Exception, match="too large"):
+        K.top_k(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), F.col("vec_id") == 1).collect()
+
+
+def test_exact_vectors_are_read_by_falling_bounds(spark, monkeypatch):
+    """Exact vectors meet few of the pairs that cells do."""
+    seen = {}
+
+    def write(self, df, tag, keep=False, real=Scratch.write):
+        out = real(self, df, tag, keep)
+        seen[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(1500)]
+    assert run(spark, rows) == brute([(i, np.array(v, np.float32).tolist()) for i, v in rows], 5)
+    assert seen["va-reach"] < 0.05 * 1500 * seen["va-searches"]
