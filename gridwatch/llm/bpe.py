@@ -8,6 +8,7 @@ three leaves: the pair's own, its left neighbour's and the one that it swallows.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from array import array
@@ -27,6 +28,8 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE_PARTS, CACHE_CHARS = 1_000_000, 48
 _NONE, _ROW, _FIRST = 1 << 62, 2000, "\0"
 _STOPS = ".,"
+#: Fixed value: the pattern whose matches never hold white space after another character. Texts are split for it alone.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose parts are numbered together.
 SLICE = 8 << 20
 _WHITE_THEN_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
@@ -87,6 +90,13 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def joins_white_space(tokens: Iterable[bytes]) -> bool:
+    """Whether a vocabulary has a token that joins a line end to what is before it, other than runs of line ends.
+
+    Only such a token could reach over a split: where white space comes before a space, texts aren't split."""
+    return any(re.search(rb"[^\n]\n", t) for t in tokens)
+
+
 def splittable(text: str) -> bool:
     """Whether a text's parts before single spaces and line ends encode independently.
 
@@ -106,13 +116,17 @@ def _whole(part: str) -> str:
 
 
 class Cache:
-    """Ids, as little-endian unsigned 32-bit integers, of the parts of texts; ``encode`` gives the ids of each of many texts."""
+    """Ids, as little-endian unsigned 32-bit integers, of the parts of texts; ``encode`` gives the ids of each of many texts.
+
+    ``splits``: whether the vocabulary and pattern let texts be encoded in parts; else each is encoded whole."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], splits: bool):
+        self.encode, self.splits, self.known = encode, splits, {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text: a part is looked up once a call, and encoded if it is new; Arrow splits and numbers the parts."""
+        if not self.splits:
+            return self.encode(texts)
         if len(self.known) > CACHE_PARTS:
             self.known.clear()
         fine = [splittable(t) for t in texts]
@@ -148,9 +162,10 @@ _caches: dict[tuple, tuple] = {}
 
 def _encoder(ranks: dict[bytes, int], pattern: str) -> tuple[Cache, list[bytes]]:
     """This worker's cache for a vocabulary, and the vocabulary's bytes by id."""
-    key = (pattern, len(ranks), hash(frozenset(list(ranks.items())[:1000])))
+    key = (pattern, hash(frozenset(ranks.items())))
     if key not in _caches:
         find, pieces = compiled(pattern).findall, {}
+        splits = pattern == SPLIT_PATTERN and not joins_white_space(ranks)
 
         def piece(p: str) -> bytes:
             out = pieces.get(p)
@@ -163,14 +178,14 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> tuple[Cache, list[bytes]]
             return out
 
         def one(text: str) -> bytes:
-            if text[:1] == " " and text[1:].isalpha():  # a space and letters are one match
+            if splits and text[:1] == " " and text[1:].isalpha():  # a space and letters are one match
                 return piece(text)
             return b"".join(map(piece, find(text)))
 
         by_id = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             by_id[i] = token
-        _caches[key] = (Cache(lambda texts: list(map(one, texts))), by_id)
+        _caches[key] = (Cache(lambda texts: list(map(one, texts)), splits), by_id)
     return _caches[key]
 
 
@@ -178,7 +193,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """One row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded (the bytes that the ids stand for).
 
     The driver reads the rank file, whose size is the vocabulary's, and broadcasts it. Null text counts as
-    empty and has no ids; repeated rows each get theirs; other columns are ignored."""
+    empty and has no ids; a null doc_id stays null; repeated rows each get theirs; other columns are ignored; an empty
+    table gives no rows."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +214,20 @@ def decode(ids: bytes, by_id: list[bytes]) -> bytes:
 
 def tokenizer_cache(definition: str) -> Cache:
     """This worker's cache for a tokenizers definition (its JSON), without special tokens."""
-    key = ("json", len(definition), hash(definition))
+    key = ("json", definition)
     if key not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(definition)
         tok.encode_special_tokens = True
+        of = json.loads(definition)
+        before = of.get("pre_tokenizer") or {}
+        bytewise = not of.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        if not bytewise or joins_white_space(t.replace("Ġ", " ").replace("Ċ", "\n").encode() for t in of["model"]["vocab"]):
+            whole = lambda texts: [_ids(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            _caches[key] = (Cache(whole, False),)
+            return _caches[key][0]
         size = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())])  # bytes: a token has a character for each
 
         def encode(texts: list[str]) -> list[bytes]:
@@ -231,5 +254,5 @@ def tokenizer_cache(definition: str) -> Cache:
                     out[i], at = raw[4 * at : 4 * end], end
             return out
 
-        _caches[key] = (Cache(encode),)
+        _caches[key] = (Cache(encode, True),)
     return _caches[key][0]

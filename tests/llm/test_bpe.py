@@ -41,3 +41,36 @@ def test_tokenizers_cache():
     texts = [t for t in TEXTS if t]
     for t, ids in zip(texts, cache.texts(texts), strict=True):
         assert B.np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_vocabularies_that_join_white_space_arent_split():
+    assert public_tokenizers.PATTERN == B.SPLIT_PATTERN and not B.joins_white_space(RANKS)
+    more = dict(RANKS)
+    for t in (b" \n", b"\t\n", b"\r\n"):
+        more[t] = len(more)
+    enc = tiktoken.Encoding("more", pat_str=public_tokenizers.PATTERN, mergeable_ranks=more, special_tokens={})
+    cache, _ = B._encoder(more, public_tokenizers.PATTERN)
+    assert not cache.splits and B._encoder(RANKS, public_tokenizers.PATTERN)[0].splits
+    for t in ("a \n", "a\t\n", "a\r\n b", "x  \n y", *filter(None, TEXTS)):
+        assert B.np.frombuffer(cache.texts([t])[0], "<u4").tolist() == enc.encode_ordinary(t)
+    digits = r"\p{N}{1,3}| ?\p{L}+|[^\p{L}\p{N}]+"
+    enc = tiktoken.Encoding("digits", pat_str=digits, mergeable_ranks=RANKS, special_tokens={})
+    cache, _ = B._encoder(RANKS, digits)
+    for t in ("a 12345 b, \n c", "x .\n\n  y"):
+        assert B.np.frombuffer(cache.texts([t])[0], "<u4").tolist() == enc.encode_ordinary(t)
+
+
+def test_caches_tell_vocabularies_apart():
+    swapped = dict(RANKS)
+    last, other = max(RANKS, key=RANKS.get), next(t for t, r in RANKS.items() if r == len(RANKS) - 2)
+    swapped[last], swapped[other] = swapped[other], swapped[last]
+    assert B._encoder(swapped, public_tokenizers.PATTERN)[1] != B._encoder(RANKS, public_tokenizers.PATTERN)[1]
+
+
+def test_repeated_rows_nulls_and_empty_table(spark):
+    rows = [(1, "same text"), (1, "same text"), (None, "x"), (2, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, decoded string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    got = B.encode_decode(docs, path, public_tokenizers.PATTERN).collect()
+    assert sorted((str(r.doc_id), bytes(r.decoded).decode(), r.n_tokens) for r in got) == sorted([("1", "same text", 2), ("1", "same text", 2), ("None", "x", 1), ("2", "", 0), ("2", "", 0)])
+    assert B.encode_decode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
