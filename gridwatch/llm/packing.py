@@ -1,8 +1,8 @@
 """Packing along a space-filling curve.
 
 A document's hashed word vector is projected to a few dimensions, and its point's Hilbert key orders
-the corpus: neighbours on the curve use similar words. Spark range-sorts by that key; each task then
-lays its documents' tokens end to end in that order and cuts them at every sequence's end, so only a
+the corpus: neighbours on the curve use similar words. Spark range-sorts by that key, in ranges of equal
+bytes; each task then lays its documents' tokens end to end in that order and cuts them at every sequence's end, so only a
 task's last sequence can fall short. That rest is cut into sequences of power-of-two lengths, which
 need no padding.
 """
@@ -23,6 +23,8 @@ from .common import id_and_text, slices, text_bytes
 from .shingles import word_hashes
 
 FEATURES, DIMS, BITS = 1024, 4, 12
+#: Ranges are cut between cells of the curve: 2**CELL_BITS of them, whose bytes are counted first.
+CELL_BITS = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _PIECE_TYPES = [pa.int64()] * 7 + [pa.binary()]
 
@@ -81,6 +83,36 @@ def curve_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return id_and_text(docs, id_col, text_col).mapInArrow(_keyed, "doc_id long, text string, key long")
 
 
+def range_of_cell(loads: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
+    """(cell, first range, number of ranges) for cells in order with their bytes, so that ``n`` ranges hold like bytes. A cell of
+    more than a range's share is spread over several."""
+    total, before, out = max(1, sum(size for _, size in loads)), 0, []
+    for cell, size in loads:
+        first, last = before * n // total, max(before, before + size - 1) * n // total
+        # a light cell goes where its middle lies
+        out.append((cell, first, last - first + 1) if last > first + 1 else (cell, min(n - 1, (2 * before + size) * n // (2 * total)), 1))
+        before += size
+    return out
+
+
+def in_ranges(keyed: DataFrame, n: int) -> DataFrame:
+    """``keyed`` (doc_id, text, key) in ``n`` partitions that follow the curve and hold like bytes, each sorted along it.
+
+    The driver sees one count a cell, 2**CELL_BITS at most."""
+    spark = keyed.sparkSession
+    cell = F.shiftright("key", DIMS * BITS - CELL_BITS)
+    loads = sorted(tuple(r) for r in keyed.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + 64).alias("size")).collect())
+    # hash partitioning puts the number target[i] in partition i
+    ids = spark.range(32 * n + 256).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    target = {r.p: r.id for r in ids}
+    ranges = spark.createDataFrame(range_of_cell(loads, n), "cell long, first int, several int")
+    numbers = F.array(*[F.lit(target.get(i, i)).cast("long") for i in range(n)])
+    salt = F.xxhash64("doc_id")
+    at = F.col("first") + F.pmod(salt, F.col("several")).cast("int")
+    placed = keyed.join(F.broadcast(ranges), cell == F.col("cell")).select("doc_id", "text", "key", F.get(numbers, at).alias("range"))
+    return placed.repartition(n, "range").sortWithinPartitions("range", "key", salt, "doc_id", "text").drop("range")
+
+
 def power_cuts(n: int) -> list[int]:
     """``n`` as a sum of falling powers of two."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -131,11 +163,11 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int, size: int = 2048, pa
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     ``tokenizer_json`` is a tokenizers definition; ``end_id`` follows each document. Null text counts as
-    empty and gives the end id alone; a repeated doc_id is packed once per row; equal keys are spread over
-    ranges by a hash of doc_id. Other columns are ignored. sequence_id is unique, not consecutive: the task
+    empty and gives the end id alone; a repeated doc_id is packed once per row, and so is a null one; equal keys that
+    fill more than a range are spread by a hash of doc_id; an empty table gives no rows. Other columns are ignored. sequence_id is unique, not consecutive: the task
     is in its upper half. Every sequence is full or has a power of two as its length."""
     spark = docs.sparkSession
-    n = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # long documents lie close together on the curve
+    n = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     with open(tokenizer_json) as f:
         definition = spark.sparkContext.broadcast(f.read())
     end = np.array([end_id], "<u4").tobytes()
@@ -156,5 +188,4 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int, size: int = 2048, pa
         if rows := packer.rest():
             yield batch_of(rows)
 
-    salt = F.xxhash64("doc_id")
-    return curve_keys(docs, id_col, text_col).repartitionByRange(n, "key", salt).sortWithinPartitions("key", salt, "doc_id", "text").mapInArrow(run, PIECES)
+    return in_ranges(curve_keys(docs, id_col, text_col), n).mapInArrow(run, PIECES)
