@@ -63,6 +63,52 @@ def op10_pii(spark, sf_dir):
     return pii_digest(pii_spans(table(spark, sf_dir, "documents")))
 
 
+def secret_base_spans(spark, sf_dir):
+    """op7's columns that SQL can express."""
+    return op7_secret_scan(spark, sf_dir).drop("spans")
+
+
+def pii_base_spans(spark, sf_dir):
+    """op10's columns that SQL can express."""
+    return op10_pii(spark, sf_dir).drop("spans", "n_spans")
+
+
+def _any_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _base_sql(patterns: dict[str, tuple[str, int, str]], order: str) -> str:
+    """Counts and digest of all matches of each kind's pattern (pattern, group that is v, condition on m, v and digits); places are sums of the lengths before."""
+    found = " UNION ALL ".join(
+        f"SELECT rid, '{kind}' AS kind, {k} AS place, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs FROM d WHERE regexp_matches(t, '{p}')"
+        for k, (kind, (p, group, _)) in enumerate(patterns.items())
+    )
+    keep = " OR ".join(f"(kind = '{kind}' AND {ok})" for kind, (_, _, ok) in patterns.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+one AS (SELECT rid, kind, place, unnest(range(1, len(ms) + 1)) AS i, gaps, ms, vs FROM found),
+put AS (SELECT rid, kind, place, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a, ms[i] AS m, vs[i] AS v, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits FROM one),
+kept AS (SELECT rid, kind, place, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b FROM put WHERE {keep}),
+by_doc AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in patterns)}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY {order}) AS spans FROM kept GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in patterns)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN by_doc USING (rid)
+"""
+
+
+_LUHN = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INTEGER) WHEN CAST(reverse(digits)[i] AS INTEGER) > 4 THEN 2 * CAST(reverse(digits)[i] AS INTEGER) - 9 ELSE 2 * CAST(reverse(digits)[i] AS INTEGER) END)) % 10 = 0"
+_OCTETS = "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0"
+SECRETS_SQL = _base_sql({
+    "assign": (rf"""({"|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, "length(v) >= 6"),
+    "access": ("AKIA[A-Z0-9]+", 0, "length(m) >= 20"),
+    "hex": ("[0-9a-f]+", 0, "length(m) >= 24"),
+}, "a, place")
+PII_SQL = _base_sql({
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0, _OCTETS),
+    "card": (r"[0-9]([\x20-]?[0-9])+", 0, f"length(digits) BETWEEN 13 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0, "length(digits) BETWEEN 9 AND 15"),
+}, "place, a")
+
 OP1_SQL = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
@@ -100,5 +146,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "secret_base_spans": secret_base_spans,
+    "pii_base_spans": pii_base_spans,
 }
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_va_topk": OP5_SQL}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_va_topk": OP5_SQL, "secret_base_spans": SECRETS_SQL, "pii_base_spans": PII_SQL}
