@@ -16,7 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes with A-Z mapped to a-z and all else unchanged.
 LOWER_BYTES = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 #: Python tasks work on slices of a batch with at most this many bytes of text (or one longer text).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of an Arrow batch where they hold whole texts or sets.
+TEXT_ROWS = 1000
+
+
 class Scratch:
     """Tables in the shared folder for one ``with`` block: lineage ends at each, and lost executors lose nothing.
 
@@ -53,14 +57,22 @@ class Scratch:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         act(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p)
 
-    def write(self, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-        """``df`` written as Parquet and read again."""
+    def write(self, df: DataFrame, tag: str, keep: bool = False, texts: bool = False) -> DataFrame:
+        """``df`` written as Parquet and read again. ``texts``: Python tasks get it in batches of TEXT_ROWS rows, as whole
+        documents in batches of Spark's default would fill an executor's memory outside its heap."""
         path = f"{shared_folder(self.spark)}/{tag}-{uuid.uuid4().hex}"
         if keep:
             self._fs(path, lambda fs, p: fs.deleteOnExit(p))
         else:
             self.paths.append(path)
-        df.write.parquet(path)
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(setting)
+        if texts:
+            self.spark.conf.set(setting, str(TEXT_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

@@ -91,7 +91,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other; rows that repeat a doc_id and its text count in group_size and share its ``kept``. An empty
     table gives no rows; other columns of ``docs``, whatever their names, are ignored."""
     with Scratch(docs.sparkSession) as scratch:
-        recipes = verified_recipes(scratch.write(chunk_recipes(docs, id_col, text_col), "recipes", keep=True), scratch)
+        recipes = verified_recipes(scratch.write(chunk_recipes(docs, id_col, text_col), "recipes", keep=True, texts=True), scratch)
         groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
         groups = scratch.write(groups, "recipe-groups", keep=True).withColumnRenamed("recipe", "group_recipe")
     joined = recipes.join(groups, F.col("recipe") == F.col("group_recipe"), "left")

@@ -43,7 +43,7 @@ SHARED_BITS, LEVEL_BITS = 27, 22
 #: A shingle in fewer documents than this keeps its place in hash order; of the others, so many at most (the most frequent) have a level.
 COMMON, LEVELLED = 16, 1 << 20
 #: Lists up to LONG are compared in full at once; blocks of longer ones hold about so many bytes of sets on either side.
-LONG, BLOCK_BYTES = 48, 8 << 20
+LONG, BLOCK_BYTES = 48, 4 << 20
 #: Occurrences counted in one task at a time, and about so many keys in one range of keys.
 _RUN, _RANGE = 1 << 19, 1 << 21
 
@@ -132,7 +132,7 @@ def _key_counts(d: DataFrame, size: int, scratch: Scratch, level=None) -> DataFr
     """Keys are counted in ranges whose number grows with the text (of ``size`` bytes)."""
     parts = 1 << min(SHARED_BITS - 6, max(3, (size // 6 // _RANGE).bit_length()))
     blocks = d.select("text").mapInArrow(_counted(parts, level), "part int, keys binary, which binary, often binary")
-    return scratch.write(blocks.groupBy("part").applyInArrow(_tables(parts), "part int, shared binary, slots binary, levels binary, hist array<long>"), "shingle-tables")
+    return scratch.write(blocks.groupBy("part").applyInArrow(_tables(parts), "part int, shared binary, slots binary, levels binary, hist array<long>"), "shingle-tables", texts=True)
 
 
 def level_table(d: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
@@ -224,7 +224,7 @@ def wanted_sets(d: DataFrame, sig: DataFrame, rows: DataFrame, scratch: Scratch)
     """(row, s) for the given rows, from their texts: only these move, and each set is made once and read from then on."""
     wanted = scratch.write(sig.select("row", "doc_id", "text_hash").join(rows, "row", "left_semi"), "wanted").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     hits = bit_filter(d, "doc_id", wanted, "id").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    return scratch.write(hits.dropDuplicates(["id", "hash"]).select("row", "text").mapInArrow(_sets, "row long, s binary"), "sets")
+    return scratch.write(hits.dropDuplicates(["id", "hash"]).select("row", "text").mapInArrow(_sets, "row long, s binary"), "sets", texts=True)
 
 
 def can_link(n, i, m, j):
@@ -246,7 +246,7 @@ def _short_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.unique(sizes[sizes > 1]).tolist():
             i, j = np.triu_indices(k, 1)
             at = starts[sizes == k]
-            step = max(1, (1 << 19) // len(i))
+            step = max(1, (1 << 16) // len(i))
             for c in range(0, len(at), step):
                 u, v = x[(at[c : c + step, None] + i).ravel()], x[(at[c : c + step, None] + j).ravel()]
                 ok = can_link(u[:, 2], u[:, 3], v[:, 2], v[:, 3])
@@ -397,7 +397,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored; an empty table gives no rows. text_hash (xxhash64 of the text as it stands, null as empty) tells rows of one doc_id apart."""
     d = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     with Scratch(d.sparkSession) as scratch:
-        sig = scratch.write(signatures(d, scratch), "signatures", keep=True)
+        sig = scratch.write(signatures(d, scratch), "signatures", keep=True, texts=True)
         classes = scratch.write(sig.filter("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
         reps = scratch.write(sig.join(classes.select("row"), "row", "left_semi").select("row", "n", "toks", "pos", "bits"), "representatives")
         entries = reps.select("row", "n", F.explode(F.arrays_zip("toks", "pos")).alias("e")).select(F.col("e.toks").alias("tok"), "row", "n", F.col("e.pos").alias("pos"))
@@ -409,15 +409,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         central = members.filter((F.col("row") != F.col("mid")) & _can_link(F.col("n"), F.col("pos"), F.col("mid_n"), F.col("mid_pos"))).select(F.least("row", "mid").alias("a"), F.greatest("row", "mid").alias("b"))
         pairs = scratch.write(short.unionByName(central).distinct(), "candidates")
         of = lambda c, k, bits: reps.select(F.col("row").alias(c), F.col("n").alias(k), F.col("bits").alias(bits))
-        pairs = scratch.write(pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").mapInArrow(_bounded, "a long, b long"), "pairs")
+        pairs = scratch.write(pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").mapInArrow(_bounded, "a long, b long"), "pairs", texts=True)
         sets = wanted_sets(d, sig, pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(members.select("row")), scratch)
         tree = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links = scratch.write(verify(sets, tree), "links")
+        links = scratch.write(verify(sets, tree), "links", texts=True)
         comp = components(links, scratch)
-        links = links.unionByName(scratch.write(verify(sets, scratch.write(_across(pairs, comp), "open-pairs")), "links"))
+        links = links.unionByName(scratch.write(verify(sets, scratch.write(_across(pairs, comp), "open-pairs")), "links", texts=True))
         comp = components(links, scratch)
         if not members.isEmpty():
-            links = links.unionByName(scratch.write(long_links(members, comp, sets, scratch), "links"))
+            links = links.unionByName(scratch.write(long_links(members, comp, sets, scratch), "links", texts=True))
             comp = components(links, scratch)
         named = classes.join(comp, F.col("row") == F.col("node"), "left").filter("size > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "row"))
         ids = named.groupBy("component").agg(F.min("least").alias("component_id"))

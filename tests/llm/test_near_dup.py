@@ -112,8 +112,8 @@ def test_pairs_grow_no_faster_than_members(spark, monkeypatch):
     for n in (300, 1200, 4800):
         seen = []
 
-        def write(self, df, tag, keep=False, real=Scratch.write, seen=seen):
-            out = real(self, df, tag, keep)
+        def write(self, df, tag, keep=False, texts=False, real=Scratch.write, seen=seen):
+            out = real(self, df, tag, keep, texts)
             if tag in ("candidates", "pairs", "open-pairs", "links", "block-rows"):
                 seen.append(out.count())
             return out

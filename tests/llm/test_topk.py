@@ -83,8 +83,8 @@ def test_exact_vectors_are_read_by_falling_bounds(spark, monkeypatch):
     """Exact vectors meet few of the pairs that cells do."""
     seen = {}
 
-    def write(self, df, tag, keep=False, real=Scratch.write):
-        out = real(self, df, tag, keep)
+    def write(self, df, tag, keep=False, texts=False, real=Scratch.write):
+        out = real(self, df, tag, keep, texts)
         seen[tag] = out.count()
         return out
 
