@@ -57,6 +57,11 @@ class Scratch:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         act(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p)
 
+    def folder(self, tag: str) -> str:
+        """The path of a folder of one's own, which goes with the block."""
+        self.paths.append(f"{shared_folder(self.spark)}/{tag}-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
     def write(self, df: DataFrame, tag: str, keep: bool = False, texts: bool = False) -> DataFrame:
         """``df`` written as Parquet and read again. ``texts``: Python tasks get it in batches of TEXT_ROWS rows, as whole
         documents in batches of Spark's default would fill an executor's memory outside its heap."""

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .codes import compress
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import extract
@@ -13,7 +14,9 @@ from .langid import fit, held_out, identify
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii import pii_digest, pii_spans
+from .resampling import resample
 from .secrets import secret_digest, secret_spans
+from .sharding import shard
 from .topk import top_k
 from .toxicity import fit as fit_toxicity
 from .toxicity import score as score_toxicity
@@ -63,6 +66,23 @@ def op10_pii(spark, sf_dir):
     return pii_digest(pii_spans(table(spark, sf_dir, "documents")))
 
 
+def op11_virtual_slots(spark, sf_dir):
+    return shard(table(spark, sf_dir, "documents"), 24).drop("part")
+
+
+def op12_exact_codes(spark, sf_dir):
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_segment_resampling(spark, sf_dir):
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def record_sizes(spark, sf_dir):
+    """op11's columns that SQL can express."""
+    return op11_virtual_slots(spark, sf_dir).select("doc_id", "size", "text_crc32", "law")
+
+
 def secret_base_spans(spark, sf_dir):
     """op7's columns that SQL can express."""
     return op7_secret_scan(spark, sf_dir).drop("spans")
@@ -135,6 +155,46 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: What a byte value does to a CRC-32, from the polynomial's rule.
+_CRC_TABLE = "crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+_CRC = lambda s: f"xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({s})), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+RECORDS_SQL = f"""
+WITH {_CRC_TABLE}
+SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 8 AS BIGINT) AS size, CAST({_CRC("coalesce(text, '')")} AS BIGINT) AS text_crc32, 'bytes' AS law FROM documents, crc_table
+"""
+
+
+def _codes_sql(rounds: int) -> str:
+    """Each round: the nearest entry of every part, then the entries' means; distances in exact integers."""
+    ctes = ["""kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", """parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, (SELECT unnest(range(4)) AS p))""", "book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256))"]
+    for r in range(rounds + 1):
+        ctes.append(f"near{r} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min((d, entry)) AS best FROM (SELECT vec_id, a.p, x, entry, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM parts a JOIN book{r} b ON a.p = b.p) GROUP BY vec_id, p)")
+        if r < rounds:
+            ctes.append(f"mean{r} AS (SELECT p, entry, list(m ORDER BY i) AS c FROM (SELECT p, best[2] AS entry, i, CAST(floor(sum(x[i])::DOUBLE / count(*)) AS BIGINT) AS m FROM near{r}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM parts))) AS i) GROUP BY ALL) GROUP BY p, entry)")
+            ctes.append(f"book{r + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON b.p = m.p AND b.entry = m.entry)")
+    return f"""WITH {", ".join(ctes)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id),
+sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), sha
+"""
+
+
+OP13_SQL = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT rid, unnest(ws) AS word FROM d), b AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+once AS (SELECT word, {_CRC("word")} % 10000 AS bucket FROM (SELECT word FROM w UNION SELECT word FROM b), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN once USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN once USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT count(*) FROM w) + 10000))::DOUBLE / ((coalesce(s, 0) + 1) * ((SELECT count(*) FROM b) + 10000))::DOUBLE)) AS BIGINT) AS gain FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weighed AS (SELECT rid, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN once USING (word) JOIN gain USING (bucket) GROUP BY rid),
+scored AS (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN weighed USING (rid)),
+placed AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM placed) THEN rank END AS rank FROM scored LEFT JOIN placed USING (rid)
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_curve_packing": op2_curve_packing,
@@ -146,7 +206,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_virtual_slots": op11_virtual_slots,
+    "op12_exact_codes": op12_exact_codes,
+    "op13_segment_resampling": op13_segment_resampling,
+    "record_sizes": record_sizes,
     "secret_base_spans": secret_base_spans,
     "pii_base_spans": pii_base_spans,
 }
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_va_topk": OP5_SQL, "secret_base_spans": SECRETS_SQL, "pii_base_spans": PII_SQL}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_va_topk": OP5_SQL, "op12_exact_codes": _codes_sql(4), "op13_segment_resampling": OP13_SQL, "record_sizes": RECORDS_SQL, "secret_base_spans": SECRETS_SQL, "pii_base_spans": PII_SQL}
