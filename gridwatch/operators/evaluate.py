@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import functions as G
 from ..schemas import EngineConfig
 from .climatology import long_features
-from .events import event_cells
-from .scoring import evidence
+from .events import nested_event_cells
+from .scoring import activation_levels
 
 
 def settings_table(spark: SparkSession, taus: tuple[float, ...], min_ns: tuple[int, ...]) -> DataFrame:
@@ -17,13 +17,16 @@ def settings_table(spark: SparkSession, taus: tuple[float, ...], min_ns: tuple[i
 
 
 def threshold_sweep(scores: DataFrame, skeleton: DataFrame, geometry: DataFrame, settings: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Per (tau, min_n): anomalous features, zero-MAD ones, candidate cells and events; one job for all settings."""
+    """Per (tau, min_n): anomalous features, zero-MAD ones, candidate cells and events; one job for all settings.
+
+    Events of all taus come from one spanning forest per month and min_n, of which each tau is a cut."""
     rows = scores.join(F.broadcast(settings), F.col("baseline_n") >= F.col("min_n"))
     odd = G.is_anomalous(F.col("abs_robust_z"), F.col("zero_mad_deviation"), F.col("tau"))
     per = rows.groupBy("tau", "min_n").agg(F.count_if(odd).alias("feature_level_anomalies"), F.count_if("zero_mad_deviation").alias("zero_mad_feature_anomalies"))
-    cand = evidence(scores, skeleton, cfg, settings).filter("activity_candidate").join(geometry.select("cell_id", "row", "col"), "cell_id")
-    cells = event_cells(cand, ("tau", "min_n", "month"))
-    sizes = cells.groupBy("tau", "min_n", "month", "event_number").count()
+    levels = activation_levels(scores.join(skeleton, ["cell_id", "month"], "left_semi"), settings, cfg).join(geometry.select("cell_id", "row", "col"), "cell_id")
+    taus = tuple(sorted({r.tau for r in settings.select("tau").distinct().collect()}))  # a handful of settings
+    cells = nested_event_cells(levels, taus, ("min_n", "month")).join(F.broadcast(settings), ["tau", "min_n"], "left_semi")
+    sizes = cells.groupBy("tau", "min_n", "month", "first").count()
     ev = sizes.groupBy("tau", "min_n").agg(F.sum("count").alias("candidate_anomalous_cells"), F.count("*").alias("total_spatial_events"), F.count_if(F.col("count") >= cfg.coherent_cells).alias("multi_cell_coherent_events"))
     out = settings.join(per, ["tau", "min_n"], "left").join(ev, ["tau", "min_n"], "left")
     counts = ["feature_level_anomalies", "zero_mad_feature_anomalies", "candidate_anomalous_cells", "total_spatial_events", "multi_cell_coherent_events"]

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..sources import ring
 
 EARTH_RADIUS_M = 6_371_000.0
-#: Nodes in one array.
-MAX_NODES = 10_000
 
 
 def generate_grid(bounds: DataFrame, cell_m: float) -> DataFrame:
@@ -55,20 +53,6 @@ def skeleton(cells: DataFrame, months: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(months))
 
 
-def nearest_node(cells: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each cell (cell_id, centroid_lon, centroid_lat) with its nearest node (node_lon, node_lat, node) by squared degrees; ties to the smaller node.
-
-    Nodes are stations; they reach each cell as arrays of about MAX_NODES, of which there is one unless there are more nodes."""
-    blocks = max(1, -(-nodes.count() // MAX_NODES))
-    arrays = nodes.groupBy(F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("node_lon", "node_lat", "node")).alias("nodes")).drop("block")
-    d2 = lambda n: F.pow(n["node_lon"] - F.col("centroid_lon"), 2) + F.pow(n["node_lat"] - F.col("centroid_lat"), 2)
-    best = F.array_min(F.transform("nodes", lambda n: F.struct(d2(n).alias("d2"), n["node"].alias("node"), n["node_lon"].alias("node_lon"), n["node_lat"].alias("node_lat"))))
-    near = cells.crossJoin(F.broadcast(arrays) if blocks == 1 else arrays).select("cell_id", best.alias("best"))
-    if blocks > 1:
-        near = near.groupBy("cell_id").agg(F.min("best").alias("best"))
-    return near.select("cell_id", F.col("best.node").alias("node"), F.col("best.node_lon").alias("node_lon"), F.col("best.node_lat").alias("node_lat"))
-
-
 def within_bounds(df: DataFrame, min_lon: float, min_lat: float, max_lon: float, max_lat: float, pad: float = 0.0, lon: str = "lon", lat: str = "lat") -> DataFrame:
     return df.filter(F.col(lon).between(min_lon - pad, max_lon + pad) & F.col(lat).between(min_lat - pad, max_lat + pad))
 

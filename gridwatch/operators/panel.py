@@ -12,12 +12,17 @@ from .ranks import cumulative
 def build_panel(optical: DataFrame, lights: DataFrame, weather: DataFrame) -> DataFrame:
     """Full outer join of the three feature tables on their four keys, with the panel's columns in order.
 
-    A key has one row in each table at most, so the join is one union and group-by, with a single exchange."""
-    parts = None
-    for df in (optical, lights, weather):
-        one = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PANEL])
+    A key has one row in each table at most, so the join is one union and group-by, with a single exchange. Rows of each table are counted
+    on the way: a key that repeats in one of them is an error, never a blend of its rows."""
+    parts, names = None, ("optical", "lights", "weather")
+    for name, df in zip(names, (optical, lights, weather), strict=True):
+        one = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PANEL], F.lit(name).alias("_part"))
         parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in PANEL.names if c not in KEYS]).select(*PANEL.names)
+    rows = [F.count_if(F.col("_part") == name).alias(f"_{name}") for name in names]
+    joined = parts.groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in PANEL.names if c not in KEYS], *rows)
+    most = F.greatest(*[f"_{name}" for name in names])
+    repeated = F.raise_error(F.concat_ws(" ", F.lit("a table repeats the key"), *KEYS))
+    return joined.filter(F.when(most <= 1, F.lit(True)).otherwise(repeated.cast("boolean"))).select(*PANEL.names)
 
 
 def regression_diff(new: DataFrame, frozen: DataFrame, features: tuple[str, ...], tolerance: float = 1e-6) -> DataFrame:
@@ -48,11 +53,12 @@ def regional_trend(panel: DataFrame) -> DataFrame:
     return panel.groupBy("month").agg(*[F.round(F.avg(f), 4).alias(f) for f in CORE])
 
 
-def ingestion_completeness(panel: DataFrame, scene_counts: DataFrame, months: DataFrame) -> DataFrame:
-    """completeness with scenes in all and used, and hours against those expected of all cells (24 a day)."""
-    c = completeness(panel).join(scene_counts.select("month", "raw_scenes", "used_scenes"), "month", "left").join(months.select("month", "days_in_month"), "month", "left")
+def ingestion_completeness(panel: DataFrame, scene_counts: DataFrame, images: DataFrame, months: DataFrame) -> DataFrame:
+    """completeness with scenes in all, clean and used, night-light images (``images``: month, image_count), and hours against those expected of all cells (24 a day)."""
+    scenes = scene_counts.select("month", "raw_scenes", "clean_scenes", "used_scenes")
+    c = completeness(panel).join(scenes, "month", "left").join(images.select("month", "image_count"), "month", "left").join(months.select("month", "days_in_month"), "month", "left")
     hours = (F.col("days_in_month") * 24 * F.col("total_cells")).cast("long")
-    return c.withColumns({"expected_hours": hours, "hours_ratio": F.round(F.try_divide("weather_hours", hours), 4), **{k: F.coalesce(k, F.lit(0)).cast("long") for k in ("raw_scenes", "used_scenes")}}).drop("days_in_month")
+    return c.withColumns({"expected_hours": hours, "hours_ratio": F.round(F.try_divide("weather_hours", hours), 4), **{k: F.coalesce(k, F.lit(0)).cast("long") for k in ("raw_scenes", "clean_scenes", "used_scenes", "image_count")}}).drop("days_in_month")
 
 
 def completeness(panel: DataFrame) -> DataFrame:

@@ -144,8 +144,10 @@ def baseline_comparison(panel: DataFrame) -> DataFrame:
 def representative_cells(panel: DataFrame) -> DataFrame:
     """Five cells, none twice, in this order: least and most NDVI deviation, nearest to its median, highest mean radiance, nearest to its median; ties to the smaller cell_id."""
     stats = panel.groupBy("cell_id").agg(r4(F.stddev_samp("ndvi_mean")).alias("s"), r4(F.avg("viirs_avg_rad_mean")).alias("r"))
-    mid = stats.agg(r4(F.median("s")).alias("ms"), r4(F.median("r")).alias("mr"))
-    s = stats.crossJoin(F.broadcast(mid))
+    stats = written(stats, "cell-stats")
+    q = quantiles(stats.unpivot(["cell_id"], ["s", "r"], "what", "value"), ("what",), "value", (0.5,))
+    of = lambda what: r4(F.max(F.when(F.col("what") == what, F.col("q")[0])))
+    s = stats.crossJoin(F.broadcast(q.agg(of("s").alias("ms"), of("r").alias("mr"))))
     rules = [("stable_ndvi", F.col("s")), ("variable_ndvi", -F.col("s")), ("typical_ndvi", r4(F.abs(F.col("s") - F.col("ms")))), ("bright", -F.col("r")), ("typical_light", r4(F.abs(F.col("r") - F.col("mr"))))]
     picked = None
     for i, (role, by) in enumerate(rules):

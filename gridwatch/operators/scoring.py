@@ -58,6 +58,20 @@ def evidence(scores: DataFrame, skeleton: DataFrame, cfg: EngineConfig = EngineC
     return _ratios(out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts}), cfg)
 
 
+def activation_levels(scores: DataFrame, min_ns: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """cell_id, month, min_n and level: the highest tau at which a cell is a candidate (infinity if at every tau); without cells that never are.
+
+    A candidate needs a share of its available optical and activity features to be anomalous, so the level is the level of its
+    feature of that rank. One pass for all taus; ``min_ns`` (min_n) is a short table of settings."""
+    rows = scores.filter(F.col("modality_category").isin("optical", "activity")).join(F.broadcast(min_ns.select("min_n").distinct()), F.col("baseline_n") >= F.col("min_n"))
+    level = F.when(F.col("zero_mad_deviation"), F.lit(float("inf"))).otherwise(F.col("abs_robust_z"))
+    usable = F.col("observed_value").isNotNull() & F.col("median").isNotNull()
+    e = rows.groupBy("cell_id", "month", "min_n").agg(F.count_if(usable).alias("available"), F.sort_array(F.collect_list(level), False).alias("levels"))  # one value a feature
+    needed = F.greatest(F.lit(1), F.ceil(F.col("available") * (cfg.candidate_score - 0.00005))).cast("int")  # shares are rounded to 4 digits
+    found = e.select("cell_id", "month", "min_n", F.when(F.col("available") > 0, F.get("levels", needed - 1)).alias("level"))
+    return found.filter("level IS NOT NULL")
+
+
 def dominant_feature(scores: DataFrame, skeleton: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """The optical or activity feature that deviates most: name, direction and rank value; "none" and "neutral" where nothing is observed.
 

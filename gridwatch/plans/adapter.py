@@ -4,11 +4,14 @@ Derived features are rounded to 9 digits, so that what follows doesn't depend on
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, panel, rasters
+from ..operators import grid, nearest, panel, rasters
 from ..schemas import EngineConfig
+from ..session import written
 from ..sources import read_parquet
 
 CONFIG = EngineConfig(expected_pixels=16, baseline=("1995-01", "2000-01"), operational=("2001-01", "2001-07"))
@@ -51,23 +54,49 @@ def _r9(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def optical(spark: SparkSession, sf_dir: str) -> DataFrame:
+@dataclass(frozen=True)
+class Inputs:
+    """What all three feature tables start from."""
+
+    spark: SparkSession
+    sf_dir: str
+    scenes: DataFrame
+    months: DataFrame
+    cells: DataFrame
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str, once: bool = False) -> Inputs:
+        """``once``: each made once and read from then on, for use by several feature tables."""
+        keep = written if once else lambda df, _: df
+        return cls(spark, sf_dir, keep(scenes(spark, sf_dir), "scenes"), keep(months(spark, sf_dir), "months"), keep(cells(spark, sf_dir), "cells"))
+
+    def spans(self) -> DataFrame:
+        return self.months.select("month", "start_date", "end_date")
+
+
+def optical(spark: SparkSession, sf_dir: str, of: Inputs | None = None) -> DataFrame:
     """Optical features of every cell and month; missing where no pixel is left."""
-    used = rasters.usable_scenes(scenes(spark, sf_dir), CONFIG)
+    of = of or Inputs.of(spark, sf_dir)
+    used = rasters.usable_scenes(of.scenes, CONFIG)
     z = rasters.zonal_optical(rasters.median_composite(rasters.optical_indices(pixels(spark, sf_dir, used), CONFIG)), CONFIG)
-    full = grid.skeleton(cells(spark, sf_dir).select("cell_id"), months(spark, sf_dir).select("month", "start_date", "end_date"))
-    j = full.join(z, ["cell_id", "month"], "left")
+    j = grid.skeleton(of.cells.select("cell_id"), of.spans()).join(z, ["cell_id", "month"], "left")
     return _r9(j.withColumns({"valid_pixel_count": F.coalesce("valid_pixel_count", F.lit(0)).cast("long"), "valid_pixel_fraction": F.coalesce("valid_pixel_fraction", F.lit(0.0))}))
 
 
-def lights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = scenes(spark, sf_dir).select("cell_id", "month", (F.col("o_totalprice") * 0.00123456789).alias("avg_rad"), (F.col("o_custkey") % 10 + 1).alias("cf_cvg"), F.when(F.col("o_orderstatus") == "P", 0.5).otherwise(1.0).alias("mask"))
-    return _r9(rasters.zonal_lights(p)).join(months(spark, sf_dir).select("month", "start_date", "end_date"), "month")
+def lights(spark: SparkSession, sf_dir: str, of: Inputs | None = None) -> DataFrame:
+    of = of or Inputs.of(spark, sf_dir)
+    p = of.scenes.select("cell_id", "month", (F.col("o_totalprice") * 0.00123456789).alias("avg_rad"), (F.col("o_custkey") % 10 + 1).alias("cf_cvg"), F.when(F.col("o_orderstatus") == "P", 0.5).otherwise(1.0).alias("mask"))
+    return _r9(rasters.zonal_lights(p)).join(of.spans(), "month")
+
 
+def light_images(scenes_: DataFrame) -> DataFrame:
+    """Night-light images of a month: one a day that has any."""
+    return scenes_.groupBy("month").agg(F.count_distinct(F.to_date("o_orderdate")).alias("image_count"))
 
-def weather_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def weather_hours(scenes_: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    return scenes(spark, sf_dir).select(F.col("region").alias("node"), "month", (F.col("o_totalprice") * 0.0000517283917 + 273.15).alias("t2m_k"), (k % 100 / 10000).alias("tp_m"), (F.col("o_custkey") % 21 - 10).cast("double").alias("u10"), (k % 15 - 7).cast("double").alias("v10"))
+    return scenes_.select(F.col("region").alias("node"), "month", (F.col("o_totalprice") * 0.0000517283917 + 273.15).alias("t2m_k"), (k % 100 / 10000).alias("tp_m"), (F.col("o_custkey") % 21 - 10).cast("double").alias("u10"), (k % 15 - 7).cast("double").alias("v10"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,17 +104,49 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(r.alias("node"), (r + 0.25).cast("double").alias("node_lon"), (r * 2 % 5 + 0.25).cast("double").alias("node_lat"))
 
 
-def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = grid.nearest_node(cells(spark, sf_dir), nodes(spark, sf_dir))
-    w = _r9(rasters.hourly_to_monthly(weather_hours(spark, sf_dir))).join(near, "node")
-    return w.drop("node").withColumnsRenamed({"node_lat": "era5_source_lat", "node_lon": "era5_source_lon"}).join(months(spark, sf_dir).select("month", "start_date", "end_date"), "month")
+def weather(spark: SparkSession, sf_dir: str, of: Inputs | None = None) -> DataFrame:
+    of = of or Inputs.of(spark, sf_dir)
+    near = nearest.nearest_node(of.cells, nodes(spark, sf_dir))
+    w = _r9(rasters.hourly_to_monthly(weather_hours(of.scenes))).join(near, "node")
+    return w.drop("node").withColumnsRenamed({"node_lat": "era5_source_lat", "node_lon": "era5_source_lon"}).join(of.spans(), "month")
 
 
 def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.build_panel(optical(spark, sf_dir), lights(spark, sf_dir), weather(spark, sf_dir))
+    of = Inputs.of(spark, sf_dir, once=True)
+    return panel.build_panel(optical(spark, sf_dir, of), lights(spark, sf_dir, of), weather(spark, sf_dir, of))
 
 
 def horizon(p: DataFrame, span: tuple[str, str]) -> DataFrame:
     """The rows of a half-open span of months."""
     return p.filter((F.col("month") >= span[0]) & (F.col("month") < span[1]))
 
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pixels of a map of 27 by 25 degrees."""
+    return table(spark, sf_dir, "events").select("event_id", "value", (F.col("event_id") % 1000 / 37.0).alias("lon"), ((F.col("event_id") * 7919 + F.col("user_id")) % 1000 / 41.0).alias("lat"))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as polygons: squares with a hole, or shapes like an L with a slanted side."""
+    k = F.col("n_nationkey")
+    x, y = k % 5 * 5.0 + 0.3, F.floor(k / 5) * 4.5 + 0.2
+    ring = lambda ps: F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ps])
+    shape = F.when(k % 2 == 0, F.array(ring(SQUARE), ring(HOLE))).otherwise(F.array(ring(ELL)))
+    return table(spark, sf_dir, "nation").select(k.alias("region_id"), F.array(shape).alias("rings"))
+
+
+SQUARE = ((0.0, 0.0), (6.0, 0.0), (6.0, 5.0), (0.0, 5.0))
+HOLE = ((2.0, 1.5), (4.0, 1.5), (4.0, 3.5), (2.0, 3.5))
+ELL = ((0.0, 0.0), (5.0, 0.0), (4.1, 2.3), (2.0, 2.0), (2.0, 5.0), (0.0, 5.0))
+
+
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as nodes on the map, several at one place."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("node"), (k * 7919 % 997 / 37.0).alias("node_lon"), (k * 104729 % 991 / 41.0).alias("node_lat"))
+
+
+def catalogue(scenes_: DataFrame, cells_: DataFrame) -> DataFrame:
+    """Scenes as a catalogue's rows: tiles are regions, bounds their cell's."""
+    c = cells_.select("cell_id", F.col("min_lon").alias("min_x"), F.col("min_lat").alias("min_y"), F.col("max_lon").alias("max_x"), F.col("max_lat").alias("max_y"))
+    return scenes_.join(c, "cell_id").select(F.col("o_orderkey").alias("scene_id"), "month", F.col("region").alias("tile"), F.to_date("o_orderdate").alias("date"), "cloud_pct", "min_x", "min_y", "max_x", "max_y", "cell_id")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from .. import functions as G
 from .. import streaming
 from ..operators import climatology as C
-from ..operators import evaluate, events, grid, panel, profile, rasters, scoring
+from ..operators import evaluate, events, grid, nearest, panel, polygons, profile, projection, rasters, scoring
 from ..schemas import CORE, OPTICAL, PANEL, PRIMARY
 from ..session import shared_folder, written
-from ..sources import probe, read_csv, read_geojson_grid, read_parquet, reuse_or_build, shape_check, write_csv, write_geojson_grid, write_parquet
+from ..sources import catalogue, duplicate_keys, probe, read_csv, read_geojson_grid, read_parquet, reuse_or_build, shape_check, write_csv, write_geojson_grid, write_parquet
 from . import adapter as A
 from .sql import ORACLE_SQL
 
@@ -23,8 +23,8 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 CONFIG = replace(A.CONFIG, tau=2.0, min_baseline=3)
 
 
-def _r4(df):
-    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _r4(df, digits=4):
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _base(s, d):
@@ -112,7 +112,7 @@ def _hourly(s, d):
 
 def _nearest(s, d):
     n = A.scenes(s, d).groupBy("cell_id").agg(F.count("*").alias("n_scenes"))
-    return grid.nearest_node(A.cells(s, d), A.nodes(s, d)).join(n, "cell_id")
+    return nearest.nearest_node(A.cells(s, d), A.nodes(s, d)).join(n, "cell_id")
 
 
 def _grid(s, d):
@@ -226,7 +226,8 @@ def _gate(s, d):
 
 def _completeness(s, d):
     months = A.months(s, d).select("month", "days_in_month")
-    return panel.ingestion_completeness(A.full_panel(s, d), rasters.scene_counts(A.scenes(s, d), A.CONFIG), months)
+    scenes = A.scenes(s, d)
+    return panel.ingestion_completeness(A.full_panel(s, d), rasters.scene_counts(scenes, A.CONFIG), A.light_images(scenes), months)
 
 
 def _choropleth(s, d):
@@ -237,7 +238,7 @@ def _choropleth(s, d):
 
 def _hours_complete(s, d):
     """Weather nodes' months against the hours of the month."""
-    return _r4(rasters.hourly_completeness(rasters.hourly_to_monthly(A.weather_hours(s, d)), A.months(s, d)).select("node", "month", "era5_observation_count", "expected_hours", "completeness_ratio"))
+    return _r4(rasters.hourly_completeness(rasters.hourly_to_monthly(A.weather_hours(A.scenes(s, d))), A.months(s, d)).select("node", "month", "era5_observation_count", "expected_hours", "completeness_ratio"))
 
 
 def _complete_months(s, d):
@@ -249,6 +250,66 @@ def _written_base(s, d):
     return _horizons(s, d)[0]
 
 
+def _polygon_zonal(s, d):
+    p = polygons.in_regions(A.places(s, d), A.regions(s, d), 1.0)
+    return p.groupBy("region_id").agg(F.count("*").alias("n_pixels"), F.round(F.avg("value"), 8).alias("mean_value"), F.round(F.min("lon"), 4).alias("min_lon"), F.round(F.max("lat"), 4).alias("max_lat"))
+
+
+def _polygon_weighted(s, d):
+    """Pixels 0.7 degrees wide, weighed by the part of each that lies inside."""
+    return _r4(polygons.zonal_weighted(polygons.coverage(A.places(s, d), A.regions(s, d), 1.0, 0.35), ("region_id",), "value"), 6)
+
+
+#: A zone with the map's middle on its central meridian.
+UTM = projection.utm(43)
+
+
+def _projected(s, d):
+    p = A.places(s, d).withColumns({"lon": F.col("lon") + 61.5, "lat": F.col("lat") + 20.0})
+    east, north = projection.forward(F.col("lon"), F.col("lat"), UTM)
+    return p.withColumns({"x": east, "y": north})
+
+
+def _mercator(s, d):
+    """Projected places, and how far the way back misses, in millionths of a degree."""
+    p = _projected(s, d)
+    lon, lat = projection.inverse(F.col("x"), F.col("y"), UTM)
+    miss = F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))) * 1e6
+    return p.select("event_id", F.round("x", 2).alias("easting"), F.round("y", 2).alias("northing"), F.round(miss, 2).alias("missed_by"))
+
+
+def _resampled(s, d):
+    """Means of pixels of 20 km on a lattice of 35 km."""
+    fine = projection.pixel_keys(_projected(s, d), 20_000.0).groupBy("px", "py").agg(F.avg("value").alias("value"))
+    return _r4(projection.resampled(fine, 20_000.0, 35_000.0, ("value",)), 8)
+
+
+def _stations(s, d):
+    """Each place's nearest of many stations."""
+    cells = A.places(s, d).select(F.col("event_id").alias("cell_id"), F.col("lon").alias("centroid_lon"), F.col("lat").alias("centroid_lat"))
+    return _r4(nearest.nearest_node(cells, A.stations(s, d)))
+
+
+def _collection(s, d):
+    """A laid-out collection scanned by dates, cloud and bounds."""
+    path = _place(s, "collection")
+    of = A.Inputs.of(s, d, once=True)
+    pixels = A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("scene_id"), "l_quantity")
+    catalogue.write_collection(A.catalogue(of.scenes, of.cells), pixels, path)
+    wanted = catalogue.SceneFilter("1996-02-10", "1997-05-01", (0.5, 0.5, 2.5, 3.5), 40.0)
+    found = catalogue.collection_scan(s, path, wanted, strict=True)
+    return found.groupBy("month", "tile").agg(F.count("*").alias("n_pixels"), F.count_distinct("scene_id").alias("n_scenes"), F.round(F.avg("l_quantity"), 4).alias("mean_quantity"))
+
+
+def _input_shapes(s, d):
+    """Shapes of the panel's three inputs, each checked on its own before they are joined."""
+    of, out = A.Inputs.of(s, d, once=True), None
+    for name, make in (("optical", A.optical), ("lights", A.lights), ("weather", A.weather)):
+        one = shape_check(make(s, d, of), ("cell_id", "month"), {"n_cells": "cell_id", "n_months": "month"}).withColumn("input", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _over(of, source=_base):
     return lambda s, d: of(source(s, d))
 
@@ -268,6 +329,14 @@ QUERIES = {
     "nearest_station": _nearest,
     "panel_full_outer": _over(_r4, A.full_panel),
     "panel_shape": lambda s, d: shape_check(A.full_panel(s, d), ("cell_id", "month"), {"n_cells": "cell_id", "n_months": "month"}),
+    "input_shapes": _input_shapes,
+    "repeated_keys": lambda s, d: duplicate_keys(A.scenes(s, d), ("cell_id", "month")).withColumnRenamed("count", "n_rows"),
+    "polygon_zonal": _polygon_zonal,
+    "polygon_weighted": _polygon_weighted,
+    "transverse_mercator": _mercator,
+    "resampled_pixels": _resampled,
+    "nearest_of_many": _stations,
+    "collection_scan": _collection,
     "regional_trend": _over(panel.regional_trend, A.full_panel),
     "completeness": _over(panel.completeness, A.full_panel),
     "regression_diff": _regression,

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+from ..operators.projection import FORWARD
 from ..schemas import CORE, OPTICAL, PANEL, PRIMARY, QUALITY
+from .adapter import ELL, HOLE, SQUARE
 
 CORE_LIST = ", ".join(CORE)
 INDICES = ("ndvi", "ndbi", "ndwi")
@@ -121,7 +125,64 @@ def rec(sql: str) -> str:
 EVENT_CTE = rec(f"{EVIDENCE_CTE}, {_DOM}, {labelled('month')}")
 _MODE = lambda c: f"(SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM evj x WHERE x.month = e.month AND x.event_number = e.event_number GROUP BY 1) ORDER BY n DESC, v LIMIT 1)"
 
+_PLACE = "place AS (SELECT event_id, value, event_id % 1000 / 37.0 AS lon, (event_id * 7919 + user_id) % 1000 / 41.0 AS lat FROM events)"
+
+
+def _ring(points: tuple) -> str:
+    """Edges (place in the ring, ends) as rows; a ring's direction is that of its points."""
+    return ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(points, (*points[1:], points[0]), strict=True))
+
+
+#: Every edge of every region; the hole runs the other way round.
+_EDGES = f"""corner AS (SELECT n_nationkey AS region_id, n_nationkey % 5 * 5.0::DOUBLE + 0.3::DOUBLE AS x, n_nationkey // 5 * 4.5::DOUBLE + 0.2::DOUBLE AS y FROM nation),
+edge AS (SELECT region_id, x + a AS x1, y + b AS y1, x + c AS x2, y + d AS y2 FROM corner, (VALUES {_ring(SQUARE)}, {_ring(HOLE[::-1])}) t(a, b, c, d) WHERE region_id % 2 = 0
+  UNION ALL SELECT region_id, x + a, y + b, x + c, y + d FROM corner, (VALUES {_ring(ELL)}) t(a, b, c, d) WHERE region_id % 2 = 1)"""
+_CROSSED = "count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1"
+_PART = "CASE WHEN u <= x0 THEN 0.0 WHEN u >= x3 THEN (x3 - x0) * (x3 - x0) / 2 + (x3 - x0) * (u - x3) ELSE (u - x0) * (u - x0) / 2 END"
+_AXIS, _FLATTENING = 6378137.0, 1 / 298.257223563
+
+
+def _mercator_ctes() -> str:
+    """Krueger's series with the coefficients as numbers."""
+    n = _FLATTENING / (2 - _FLATTENING)
+    term = [sum(p / q * n ** (j + k) for k, (p, q) in enumerate(row)) for j, row in enumerate(FORWARD, 1)]
+    e, r = 2 * math.sqrt(n) / (1 + n), _AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
+    east = " + ".join(f"{c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(term, 1))
+    north = " + ".join(f"{c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(term, 1))
+    return f"""{_PLACE}, far AS (SELECT event_id, value, radians(lon + 61.5 - 75) AS d, sin(radians(lat + 20)) AS s FROM place),
+tau AS (SELECT *, sinh(atanh(s) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * s)) AS t FROM far), ball AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM tau),
+flat AS (SELECT event_id, value, 500000 + 0.9996::DOUBLE * {r!r}::DOUBLE * (eta + {east}) AS x, 0.9996::DOUBLE * {r!r}::DOUBLE * (xi + {north}) AS y FROM ball)"""
+
+
+def _cut(new: str, old: str) -> str:
+    """The lattice of 35 km's columns (or rows) that an old one of 20 km overlaps."""
+    return f"unnest(range(CAST(floor({old} * 20.0 / 35) AS BIGINT), CAST(ceil(({old} + 1) * 20.0 / 35) AS BIGINT))) AS {new}"
+
+
+_OVERLAP = lambda new, old: f"(least(({old} + 1) * 20000.0::DOUBLE, ({new} + 1) * 35000.0::DOUBLE) - greatest({old} * 20000.0::DOUBLE, {new} * 35000.0::DOUBLE))"
+_SHAPE = "count(*) AS n_rows, count(DISTINCT (cell_id, month)) AS n_keys, count(DISTINCT cell_id) AS n_cells, count(DISTINCT month) AS n_months, count(*) - count(DISTINCT (cell_id, month)) AS n_repeated"
+
 ORACLE_SQL = {
+    "input_shapes": f"{PANEL_CTE} " + " UNION ALL ".join(f"SELECT {_SHAPE}, '{t}' AS input FROM {t}" for t in ("optical", "lights", "weather")),
+    "repeated_keys": f"WITH {SCENE} SELECT cell_id, month, count(*) AS n_rows FROM scene GROUP BY ALL HAVING count(*) > 1",
+    "polygon_zonal": f"""WITH {_PLACE}, {_EDGES}, hit AS (SELECT region_id, event_id, any_value(lon) AS lon, any_value(lat) AS lat, any_value(value) AS value FROM place, edge GROUP BY region_id, event_id HAVING {_CROSSED})
+SELECT region_id, count(*) AS n_pixels, round(avg(value), 8) AS mean_value, round(min(lon), 4) AS min_lon, round(max(lat), 4) AS max_lat FROM hit GROUP BY region_id""",
+    "polygon_weighted": f"""WITH {_PLACE}, {_EDGES},
+cut AS (SELECT *, lon - 0.35 AS x0, lon + 0.35 AS x3, greatest(least(y1, y2), lat - 0.35) AS lo, least(greatest(y1, y2), lat + 0.35) AS hi FROM place, edge),
+ends AS (SELECT *, x1 + (lo - y1) * (x2 - x1) / nullif(y2 - y1, 0) AS xa, x1 + (hi - y1) * (x2 - x1) / nullif(y2 - y1, 0) AS xb FROM cut),
+piece AS (SELECT *, CASE WHEN y1 = y2 OR hi <= lo THEN 0.0 ELSE sign(y2 - y1) * (hi - lo) * CASE WHEN abs(xb - xa) <= 7e-10 THEN least(greatest((xa + xb) / 2, x0), x3) - x0 ELSE ({_PART.replace("u", "xb")} - ({_PART.replace("u", "xa")})) / (xb - xa) END END AS area FROM ends),
+part AS (SELECT region_id, event_id, any_value(value) AS v, sum(area) / 0.49 AS w, {_CROSSED} AS centre FROM piece GROUP BY region_id, event_id),
+s AS (SELECT region_id, sum(w) FILTER (v IS NOT NULL) AS weight, sum(w * v) AS wv, sum(w * v * v) AS wvv, count(*) FILTER (centre AND v IS NOT NULL) AS pixel_count FROM part WHERE w > 1e-12 OR centre GROUP BY region_id)
+SELECT region_id, round(wv / weight, 6) AS value_mean, round(sqrt(greatest(wvv / weight - (wv / weight) * (wv / weight), 0)), 6) AS value_std, round(weight, 6) AS weight, pixel_count FROM s""",
+    "transverse_mercator": f"WITH {_mercator_ctes()} SELECT event_id, round(x, 2) AS easting, round(y, 2) AS northing, 0.0::DOUBLE AS missed_by FROM flat",
+    "resampled_pixels": f"""WITH {_mercator_ctes()}, fine AS (SELECT CAST(floor(x / 20000) AS BIGINT) AS px, CAST(floor(y / 20000) AS BIGINT) AS py, avg(value) AS value FROM flat GROUP BY ALL),
+wide AS (SELECT *, {_cut("qx", "px")} FROM fine), tall AS (SELECT *, {_cut("qy", "py")} FROM wide), weighed AS (SELECT qx, qy, value, {_OVERLAP("qx", "px")} * {_OVERLAP("qy", "py")} AS w FROM tall)
+SELECT qx AS px, qy AS py, round(sum(w * value) / sum(w) FILTER (value IS NOT NULL), 8) AS value, round(sum(w) / (35000.0::DOUBLE * 35000.0), 8) AS area FROM weighed GROUP BY ALL""",
+    "nearest_of_many": f"""WITH {_PLACE}, node AS (SELECT c_custkey AS node, c_custkey * 7919 % 997 / 37.0 AS node_lon, c_custkey * 104729 % 991 / 41.0 AS node_lat FROM customer),
+best AS (SELECT event_id, min(((node_lon - lon) ** 2 + (node_lat - lat) ** 2, node)) AS b FROM place, node GROUP BY event_id)
+SELECT event_id AS cell_id, node, round(node_lon, 4) AS node_lon, round(node_lat, 4) AS node_lat FROM best JOIN node ON node = b[2]""",
+    "collection_scan": f"""WITH {SCENE}, wanted AS (SELECT o_orderkey, month, scene.region FROM scene JOIN cell USING (cell_id) WHERE o_orderdate >= DATE '1996-02-10' AND o_orderdate < DATE '1997-05-01' AND cloud_pct <= 40 AND col <= 2.5 AND col + 1 >= 0.5 AND cell."row" <= 3.5 AND cell."row" + 1 >= 0.5)
+SELECT month, region AS tile, count(*) AS n_pixels, count(DISTINCT l_orderkey) AS n_scenes, round(avg(l_quantity), 4) AS mean_quantity FROM wanted JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""",
     "scene_fallback": f"WITH {SCENE} SELECT * FROM scene_limit",
     "month_ranges": f"WITH {SCENE} SELECT * FROM mon",
     "normalized_difference": f"""WITH {SCENE}, {INDEX} SELECT month, count(*) AS n_pixels, {", ".join(f"count({i}) AS {i}_valid, round(avg({i}), 4) AS {i}_mean" for i in INDICES)} FROM idx GROUP BY month""",
@@ -261,8 +322,8 @@ ORACLE_SQL |= {
     "month_ordinal": f"{PANEL_CTE} SELECT month, CAST(row_number() OVER (ORDER BY month) - 1 AS INTEGER) AS month_ordinal FROM (SELECT DISTINCT month FROM panel)",
     "regression_gate": " UNION ALL ".join(f"SELECT '{f}' AS feature, n AS n_compared, 0.0::DOUBLE AS max_diff, 0.0::DOUBLE AS mean_diff, CAST(0 AS BIGINT) AS n_exceeding, '{m}' AS matched_by FROM ({PANEL_CTE} SELECT count({f}) AS n FROM {_SAME_MONTH})" for m in ("cell_id", "position") for f in ("ndvi_mean", "viirs_avg_rad_mean", "era5_temperature_mean")),
     "ingestion_completeness": f"""{PANEL_CTE}, c AS ({_COMPLETENESS})
-SELECT c.* EXCLUDE (h), coalesce(raw_scenes, 0) AS raw_scenes, coalesce(used_scenes, 0) AS used_scenes, CAST(h AS BIGINT) AS expected_hours, round(weather_hours / h, 4) AS hours_ratio
-FROM (SELECT *, day(last_day(CAST(month || '-01' AS DATE))) * 24 * total_cells AS h FROM c) c LEFT JOIN scene_limit USING (month)""",
+SELECT c.* EXCLUDE (h), coalesce(raw_scenes, 0) AS raw_scenes, coalesce(clean_scenes, 0) AS clean_scenes, coalesce(used_scenes, 0) AS used_scenes, coalesce(image_count, 0) AS image_count, CAST(h AS BIGINT) AS expected_hours, round(weather_hours / h, 4) AS hours_ratio
+FROM (SELECT *, day(last_day(CAST(month || '-01' AS DATE))) * 24 * total_cells AS h FROM c) c LEFT JOIN scene_limit USING (month) LEFT JOIN (SELECT month, count(DISTINCT CAST(o_orderdate AS DATE)) AS image_count FROM scene GROUP BY month) USING (month)""",
     "choropleth_rows": f"""{PANEL_CTE} SELECT cell.cell_id, CAST(5 AS INTEGER) AS n_points, col::DOUBLE AS lon0, "row"::DOUBLE AS lat0, (col + 1)::DOUBLE AS lon2, ("row" + 1)::DOUBLE AS lat2, round(ndvi_mean, 4) AS value, ndvi_mean IS NOT NULL AS has_value
 FROM cell LEFT JOIN {_SAME_MONTH} p ON cell.cell_id = p.cell_id""",
     "hourly_completeness": f"""WITH {SCENE} SELECT node, month, n AS era5_observation_count, CAST(h AS BIGINT) AS expected_hours, round(n / h, 4) AS completeness_ratio
