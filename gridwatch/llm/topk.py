@@ -22,21 +22,22 @@ from .common import Scratch
 
 SCALE, CELLS = 256, 256
 BLOCK, QUERIES = 512, 256
-BLOCKS = "block long, dim int, rows binary, low binary, step binary, cells binary"
-#: Components that are this large in whole numbers have no exact product in 64-bit floats or cells.
-LARGEST = 1 << 52
+BLOCKS = "block long, dim int, rows binary, low binary, step binary, half binary, cells binary"
+#: From this size on neighbouring whole numbers aren't told apart by 64-bit floats; larger components are whole already.
+EXACT = 1 << 53
 
 
 def integers(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, dim, v array of long) with v = floor(SCALE * x); without null ids, and vectors that are null or hold null, NaN or infinity.
+    """(vec_id, dim, v) with v = floor(SCALE * x) as 64-bit floats, which hold these whole numbers exactly at any size.
 
-    A component of LARGEST or more is an error: it can't be told apart from its neighbours any more."""
+    Without null ids, and vectors that are null or hold null, NaN or infinity. A component of 2**1015 or more is an error."""
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     d = emb.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
-    fine = F.forall("x", lambda c: F.coalesce((F.abs(c) < float("inf")) & ~F.isnan(c), F.lit(False)))
-    small = F.forall("x", lambda c: F.abs(c) * SCALE < LARGEST)
-    d = d.filter(fine).withColumn("x", F.when(small, F.col("x")).otherwise(F.raise_error(F.format_string("vector %d has a component too large for exact scores", F.col("vec_id")))))
-    return d.select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(c * SCALE)).alias("v"))
+    d = d.filter(F.forall("x", lambda c: F.coalesce((F.abs(c) < float("inf")) & ~F.isnan(c), F.lit(False))))
+    small = F.forall("x", lambda c: F.abs(c) < 2.0**1015)
+    d = d.withColumn("x", F.when(small, F.col("x")).otherwise(F.raise_error(F.format_string("vector %d has a component too large to be scaled", F.col("vec_id")))))
+    whole = lambda c: F.when(F.abs(c) < EXACT / SCALE, F.floor(c * SCALE).cast("double")).otherwise(c * SCALE)
+    return d.select("vec_id", F.size("x").alias("dim"), F.transform("x", whole).alias("v"))
 
 
 def classes(ints: DataFrame, most: int) -> DataFrame:
@@ -49,14 +50,16 @@ def classes(ints: DataFrame, most: int) -> DataFrame:
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return a.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), dim)
 
 
-def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lowest value and cell width of each component, and each value's cell."""
-    low = v.min(0) if len(v) else np.zeros(v.shape[1], np.int64)
-    step = (v.max(0) - low) // CELLS + 1 if len(v) else np.ones(v.shape[1], np.int64)
-    return low, step, ((v - low) // step).astype(np.uint8)
+def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lowest value, cell width and half-width (how far any value lies from its cell's middle) of each component, and each value's cell."""
+    low = v.min(0)
+    step = np.maximum((v.max(0) / CELLS - low / CELLS) * (1 + 2.0**-40), 1.0)
+    cells = np.clip(np.floor((v - low) / step), 0, CELLS - 1)
+    half = np.abs(v - (low + (cells + 0.5) * step)).max(0) * (1 + 2.0**-40)
+    return low, step, half, cells.astype(np.uint8)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,16 +68,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done = 0
 
     def row(dim: int, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        low, step, cells = quantised(v)
-        cols = [[at + done], [dim], *[[x.tobytes()] for x in (ids, low, step, cells)]]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["block", "dim", "rows", "low", "step", "cells"])
+        cols = [[at + done], [dim], *[[x.tobytes()] for x in (ids, *quantised(v))]]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], ["block", "dim", "rows", "low", "step", "half", "cells"])
 
     for batch in batches:
         dims, ids = batch.column("dim").to_numpy(), batch.column("row").to_numpy()
         for dim in np.unique(dims).tolist():
             take = np.flatnonzero(dims == dim)
             v = _matrix(batch.column("v").take(pa.array(take)), dim)
-            old = held.pop(dim, (np.zeros(0, np.int64), np.zeros((0, dim), np.int64)))
+            old = held.pop(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
             i, v = np.concatenate([old[0], ids[take]]), np.concatenate([old[1], v])
             while len(i) >= BLOCK:
                 yield row(dim, i[:BLOCK], v[:BLOCK])
@@ -93,24 +95,26 @@ def _query_block(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"dim": pa.array([dim], pa.int32()), "qrows": pa.array([cols[0]], pa.binary()), "q": pa.array([cols[1]], pa.binary()), "least": pa.array([cols[2]], pa.binary())})
 
 
-def bounds(q: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounds(q: np.ndarray, low: np.ndarray, step: np.ndarray, half: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For queries and the cells of a block: products with the cells' middles, and how far exact scores lie from these at most.
 
     The second allows for rounding, in proportion to the largest sum that could arise."""
-    half = (step - 1) / 2
-    middle = low + cells * step + half
-    q = q.astype(np.float64)
+    middle = low + (cells + 0.5) * step
     largest = np.abs(middle).max(0, initial=0) + half
-    return q @ middle.T, np.abs(q) @ half + 0.5 + (len(low) + 8) * 2.0**-51 * (np.abs(q) @ largest)
+    with np.errstate(over="ignore", invalid="ignore"):
+        about, room = q @ middle.T, np.abs(q) @ half + 0.5 + (len(low) + 8) * 2.0**-50 * (np.abs(q) @ largest)
+    fine = np.isfinite(about) & np.isfinite(room)[:, None]  # else nothing is known of the score
+    return np.where(fine, about, 0.0), np.where(fine.all(1), room, np.inf)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for r in batch.to_pylist():
-            ints = lambda x: np.frombuffer(x, np.int64)
-            qrows, rows, q = ints(r["qrows"]), ints(r["rows"]), ints(r["q"]).reshape(-1, r["dim"])
-            about, room = bounds(q, ints(r["low"]), ints(r["step"]), np.frombuffer(r["cells"], np.uint8).reshape(-1, r["dim"]).astype(np.int64))
-            yield qrows, rows, about, room, np.frombuffer(r["least"], np.float64)
+            qrows, rows = (np.frombuffer(r[c], np.int64) for c in ("qrows", "rows"))
+            q, low, step, half, least = (np.frombuffer(r[c], np.float64) for c in ("q", "low", "step", "half", "least"))
+            cells = np.frombuffer(r["cells"], np.uint8).reshape(len(rows), r["dim"]).astype(np.float64)
+            about, room = bounds(q.reshape(len(qrows), r["dim"]), low, step, half, cells)
+            yield qrows, rows, about, room, least
 
 
 def _lower(k: int):
@@ -119,7 +123,7 @@ def _lower(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for qrows, rows, about, room, _ in _pairs(batches):
             if len(rows) >= k:
-                kth = np.partition(about, len(rows) - k, axis=1)[:, len(rows) - k] - room
+                kth = np.partition(about, len(rows) - k, axis=1)[:, len(rows) - k] - room  # -inf where nothing is known
                 yield pa.RecordBatch.from_arrays([pa.array(qrows), pa.array(kth)], ["qrow", "least"])
 
     return run
@@ -133,15 +137,29 @@ def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(qrows[i]), pa.array(rows[j]), pa.array(upper[i, j])], ["qrow", "row", "upper"])
 
 
+def _in_python(digits: int):
+    """Exact scores of any size (up to 10**digits), as text of one length whose order is that of the numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            texts = [f"{s + 10**digits:0{digits + 1}d}" for s in scores]
+            values = [s if -(2**63) <= s < 2**63 else None for s in scores]
+            yield pa.RecordBatch.from_arrays([batch.column("qrow"), batch.column("row"), pa.array(texts, pa.string()), pa.array(values, pa.int64()), pa.array(map(float, scores), pa.float64())], ["qrow", "row", "score", "value", "about"])
+
+    return run
+
+
 def top_k(emb: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``is_query`` (a condition on the column vec_id) its k highest scores.
 
     The score is the integer inner product of floor(SCALE * x); ties go to the smaller vec_id; a query's own
     vec_id is no candidate, and vectors of another dimension aren't either. Rows that repeat a vec_id are each
     candidates, and one query (with the least of their vectors). Unusable vectors take no part; fewer than k
-    candidates give as many rows; an empty table gives none; other columns are ignored. Sums beyond 64 bits are
-    taken in decimals; a score in the result that doesn't fit is an error, and nothing ever wraps. Queries meet cells
-    in blocks of QUERIES by BLOCK rows: the query blocks are dealt to every bucket of cell blocks."""
+    candidates give as many rows; an empty table gives none; other columns are ignored. Vectors without any component
+    score 0 with their like. Sums beyond 64 bits are taken in decimals or in Python's integers; only a score in the result that doesn't fit is
+    an error, and nothing ever wraps. Queries meet cells in blocks of QUERIES by BLOCK rows: the query blocks are dealt to every
+    bucket of cell blocks."""
     spark = emb.sparkSession
     with Scratch(spark) as scratch:
         ints = integers(emb, id_col, vec_col)
@@ -151,7 +169,8 @@ def top_k(emb: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         top = k + (asked.agg(F.max("own")).first()[0] or 1)  # so many classes, as those of a query's own id may be among them
         queries = scratch.write(vectors.select("row", "dim", "v").join(asked.select(F.col("qrow").alias("row")).distinct(), "row", "left_semi"), "va-searches")
         size = vectors.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))).alias("big"), F.max("dim").alias("dim")).first()
-        number = "long" if (size.big or 0) ** 2 * (size.dim or 0) < 2**63 else "decimal(38,0)"
+        largest = int(size.big or 0) ** 2 * max(size.dim or 0, 1)
+        number = "long" if largest < 2**63 else "decimal(38,0)" if largest < 10**37 and size.big < EXACT else None
         blocks = scratch.write(vectors.select("row", "dim", "v").mapInArrow(_blocks, BLOCKS), "va-cells")
         groups = max(1, -(-queries.count() // QUERIES))
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -164,8 +183,10 @@ def top_k(emb: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
 
         def exact(some: DataFrame) -> DataFrame:
             both = some.join(vectors.select("row", F.col("v").alias("y")), "row").join(queries.select(F.col("row").alias("qrow"), F.col("v").alias("x")), "qrow")
+            if number is None:
+                return both.select("qrow", "row", "x", "y").mapInArrow(_in_python(len(str(largest))), "qrow long, row long, score string, value long, about double")
             product = F.aggregate(F.zip_with("x", "y", lambda x, y: (x.cast(number) * y.cast(number)).cast(number)), F.lit(0).cast(number), lambda t, z: (t + z).cast(number))
-            return both.select("qrow", "row", product.alias("score"))
+            return both.select("qrow", "row", product.alias("score")).select("*", F.expr("try_cast(score AS bigint)").alias("value"), F.col("score").cast("double").alias("about"))
 
         first = scan(queries.withColumn("least", F.lit(float("-inf")))).mapInArrow(_lower(top), "qrow long, least double")
         least = scratch.write(first.groupBy("qrow").agg(F.max("least").alias("least")), "va-bounds")
@@ -173,13 +194,14 @@ def top_k(emb: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         reach = scratch.write(scan(bounded).mapInArrow(_reaching, "qrow long, row long, upper double"), "va-reach")
         order = lambda by: F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc(by), "row"))
         ahead = exact(reach.withColumn("at", order("upper")).filter(F.col("at") <= 2 * top))
-        kth = ahead.withColumn("at", order("score")).filter(F.col("at") == top).select("qrow", F.col("score").cast("double").alias("kth"))
+        kth = ahead.withColumn("at", order("score")).filter(F.col("at") == top).select("qrow", F.col("about").alias("kth"))
         kth = scratch.write(kth, "va-kth")
-        still = reach.join(kth, "qrow", "left").filter(F.col("kth").isNull() | (F.col("upper") + 0.5 + F.abs("kth") * 2.0**-50 >= F.col("kth")))
-        scored = exact(still).join(vectors.select("row", "members"), "row").select("qrow", "score", F.explode("members").alias("m")).select("qrow", "score", "m.*")
+        still = reach.join(kth, "qrow", "left").filter(F.col("kth").isNull() | (F.col("upper") + 0.5 + F.abs("kth") * 2.0**-48 >= F.col("kth")))
+        scored = exact(still).join(vectors.select("row", "members"), "row").select("qrow", "score", "value", F.explode("members").alias("m")).select("qrow", "score", "value", "m.*")
         best = F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id"))
         answers = scratch.write(scored.withColumn("at", best).filter(F.col("at") <= top).drop("at"), "va-answers", keep=True)
     found = asked.join(answers, "qrow").filter("vec_id <> query_id")
     found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    value = F.coalesce("value", F.raise_error(F.lit("a score in the result doesn't fit into 64 bits")).cast("long"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", value.alias("score"))

@@ -41,8 +41,8 @@ def test_bounds_hold_at_any_size():
     rng = np.random.default_rng(2)
     for scale in (10, 10**6, 10**13, 2**50):
         v, q = rng.integers(-scale, scale, (200, 16)), rng.integers(-scale, scale, (9, 16))
-        low, step, cells = K.quantised(v)
-        about, room = K.bounds(q, low, step, cells.astype(np.int64))
+        low, step, half, cells = K.quantised(v.astype(np.float64))
+        about, room = K.bounds(q.astype(np.float64), low, step, half, cells.astype(np.float64))
         true = [[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in v] for x in q]
         assert all(int(about[i, j] - room[i]) <= true[i][j] <= math.ceil(about[i, j] + room[i]) for i in range(9) for j in range(200))
 
@@ -71,12 +71,28 @@ def test_scores_never_wrap(spark):
     big = [(0, [3e8, 1e3]), (1, [2e8, -1.0]), (2, [-3e8, 5.0]), (50, [1.0, 2.0])]
     exact = [(i, [float(np.float32(x)) for x in v]) for i, v in big]
     df = spark.createDataFrame(exact, "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="(?i)cast_overflow|overflow|out of range"):
+    with pytest.raises(Exception, match="64 bits"):
         K.top_k(df, F.col("vec_id") == 0, 1).collect()  # 5.9e21 fits no long
     got = K.top_k(df, F.col("vec_id") == 50, 5).collect()  # sums in decimals, results that fit
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [x for x in brute_rows(exact, 5) if x[0] == 50]
+
+
+def test_huge_components_are_no_error_unless_a_score_is(spark):
+    """Components beyond 64-bit integers and beyond exact floats, where only returned scores must fit."""
+    rows = [(0, [0.0, 3.0, -1.0]), (1, [1e30, 1.0, 2.0]), (2, [-1e20, -4.5, 0.25]), (3, [3e37, 0.0, 0.0]), (4, [0.0, 2.0, 2.0]), (50, [0.0, -7.0, 5.5]), (100, [0.0, 2.0**40, 1.0])]
+    rows += [(200 + i, [0.0, i / 7, -i / 3]) for i in range(1, 60) if i % 50]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert run(spark, rows) == brute(rows, 5)
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, [(0, [1e30]), (1, [1e30])])
     with pytest.raises(Exception, match="too large"):
-        K.top_k(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), F.col("vec_id") == 1).collect()
+        K.top_k(spark.createDataFrame([(1, [1e308])], "vec_id long, embedding array<double>"), F.col("vec_id") == 1).collect()
+
+
+def test_vectors_without_components(spark):
+    rows = [(0, []), (50, []), (7, []), (1, [0.5, 0.5]), (100, [1.0, 2.0])]
+    assert run(spark, rows) == brute(rows, 5)
+    assert run(spark, [(0, [])]) == []
 
 
 def test_exact_vectors_are_read_by_falling_bounds(spark, monkeypatch):
