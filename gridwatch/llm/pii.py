@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, written
-from .spans import SPAN, joined, matches, outside
+from .spans import SPAN, bound, chunks, joined, matches, outside, part
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -136,9 +136,9 @@ def voted(text: Column, spans: Column, names: tuple[str, ...] = NAMES) -> Column
     """Each span with the four labelers' votes (1, -1, or 0 to abstain), a length class and a class of the word before."""
     named = rf"(?:^|\x20)(?:{'|'.join(names)})\b"
 
-    def one(s: Column) -> Column:
+    def one(s: Column, pieces: Column) -> Column:
         m, digits = s["m"], _digits(s["m"])
-        before = F.substring(text, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
+        before = part(pieces, F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
         check = {"card_like": _vote(luhn(digits), F.lit(True)), "phone_like": _vote(F.length(digits).between(9, 15), F.lit(True)), "ip_like": F.lit(-1), "name": _vote(m.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\b"), F.lit(False))}
         check |= {k: _vote(m.rlike(yes), m.rlike(no)) for k, (yes, no) in RULES.items()}
         fmt = F.when(s["place"] < len(BASE), 1).otherwise(_by_kind(s, check.__getitem__, tuple(check)))
@@ -148,7 +148,7 @@ def voted(text: Column, spans: Column, names: tuple[str, ...] = NAMES) -> Column
         word = F.when(last == "", 0).otherwise(F.pmod(F.xxhash64(last), F.lit(WORDS - 1)) + 1).cast("int")
         return F.struct(s.alias("s"), fmt.alias("format"), gaz.alias("gazetteer"), _vote(before.rlike(CONTEXT_FOR), before.rlike(CONTEXT_AGAINST)).alias("context"), shape.alias("shape"), F.least(F.floor(F.length(m) / 5), F.lit(LENGTHS - 1)).cast("int").alias("len"), word.alias("word"))
 
-    return F.transform(spans, one).cast(CANDIDATES)
+    return bound(chunks(text), lambda pieces: F.transform(spans, lambda s: one(s, pieces))).cast(CANDIDATES)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = NAMES) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .spans import NONE, joined, matches, outside, redact
+from .spans import NONE, bound, chunks, joined, matches, outside, part, redact
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -116,7 +116,8 @@ def entropy_spans(text: Column, base: Column) -> Column:
     found = outside(matches(text, CANDIDATE, "entropy", 3), base)
     for pattern in ALLOWED:
         found = _without(found, pattern)
-    found = F.filter(found, lambda x: ~F.substring(text, F.greatest(x["start"] - 15, F.lit(1)), F.least(x["start"], F.lit(16))).rlike(ALLOWED_BEFORE))
+    before = lambda pieces, x: part(pieces, F.greatest(x["start"] - 16, F.lit(0)), x["start"])
+    found = bound(F.struct(chunks(text).alias("pieces"), found.alias("found")), lambda s: F.filter(s["found"], lambda x: ~before(s["pieces"], x).rlike(ALLOWED_BEFORE)))
     found = F.filter(found, lambda x: ~_is_path(x["m"]) | F.exists(F.split(x["m"], "[/_-]"), _random_part))
     found = F.filter(found, lambda x: window_bits(x["m"]) >= _least_bits(x["m"]))
 
