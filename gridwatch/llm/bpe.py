@@ -118,10 +118,11 @@ def _whole(part: str) -> str:
 class Cache:
     """Ids, as little-endian unsigned 32-bit integers, of the parts of texts; ``encode`` gives the ids of each of many texts.
 
-    ``splits``: whether the vocabulary and pattern let texts be encoded in parts; else each is encoded whole."""
+    ``splits``: whether the vocabulary and pattern let texts be encoded in parts; else each is encoded whole. So are texts with one
+    of ``apart``, strings that the encoder takes out of a text before all else."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], splits: bool):
-        self.encode, self.splits, self.known = encode, splits, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], splits: bool, apart: tuple[str, ...] = ()):
+        self.encode, self.splits, self.apart, self.known = encode, splits, apart, {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text: a part is looked up once a call, and encoded if it is new; Arrow splits and numbers the parts."""
@@ -129,7 +130,7 @@ class Cache:
             return self.encode(texts)
         if len(self.known) > CACHE_PARTS:
             self.known.clear()
-        fine = [splittable(t) for t in texts]
+        fine = [splittable(t) and not any(a in t for a in self.apart) for t in texts]
         odd = iter(self.encode([t for t, ok in zip(texts, fine, strict=True) if not ok]))
         split = pc.split_pattern(pa.array([marked(t) for t, ok in zip(texts, fine, strict=True) if ok], pa.string()), " ")
         numbered = split.flatten().dictionary_encode()
@@ -213,14 +214,14 @@ def decode(ids: bytes, by_id: list[bytes]) -> bytes:
 
 
 def tokenizer_cache(definition: str) -> Cache:
-    """This worker's cache for a tokenizers definition (its JSON), without special tokens."""
+    """This worker's cache for a tokenizers definition (its JSON): ids as encode(text, add_special_tokens=False) gives them, so that a
+    special token's string in a text is that token."""
     key = ("json", definition)
     if key not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(definition)
-        tok.encode_special_tokens = True
         of = json.loads(definition)
         before = of.get("pre_tokenizer") or {}
         bytewise = not of.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
@@ -254,5 +255,5 @@ def tokenizer_cache(definition: str) -> Cache:
                     out[i], at = raw[4 * at : 4 * end], end
             return out
 
-        _caches[key] = (Cache(encode, True),)
+        _caches[key] = (Cache(encode, True, tuple(t["content"] for t in of.get("added_tokens") or [])),)
     return _caches[key][0]

@@ -12,11 +12,11 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_every_id_lies_in_one_piece_and_nothing_is_padded(spark):
     rng = random.Random(1)
-    texts = [None, "", "a", "dup", "dup", "long " * 9000, *[" ".join(rng.choices(["the", "of", "une", "les", "x\ny", "%%%"], k=rng.randint(1, 900))) for _ in range(120)]]
+    texts = [None, "", "a", "dup", "dup", "<|endoftext|> a", "a b<|endoftext|>c\n<|endoftext|><|endof text|>", "long " * 9000, *[" ".join(rng.choices(["the", "of", "une", "les", "x\ny", "%%%"], k=rng.randint(1, 900))) for _ in range(120)]]
     docs = spark.createDataFrame([(i, t, "k", 0) for i, t in enumerate(texts)], "doc_id long, text string, key string, length int")
     pieces = P.pack(docs, JSON, 1).collect()
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
+    assert tok.encode("<|endoftext|> a", add_special_tokens=False).ids == [50256, 257]
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)
