@@ -18,9 +18,8 @@ from pyspark.sql import types as T
 
 from .common import Scratch, slices
 
-#: The fit's bound: so many labelled rows per language, with their whole texts. Rows of at most ROW_CHARS characters are
-#: sampled; longer ones only where a language has no other. That keeps a dictionary within SAMPLE_ROWS * ROW_CHARS characters.
-SAMPLE_ROWS, ROW_CHARS = 48, 4000
+#: The fit's bound: so many labelled rows per language, with their whole texts, of any length.
+SAMPLE_ROWS = 48
 #: A task holds compressors for so many languages at once; more take turns.
 LANGUAGES_AT_ONCE = 64
 LEVEL, PIECE = 5, 1024
@@ -46,12 +45,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages are left out; equal cleaned texts count once in a dictionary; no labelled rows, no dictionaries."""
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     d = d.filter(~held_out(F.col("i")) & F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull())
-    short = F.length("t") <= ROW_CHARS
     with Scratch(docs.sparkSession) as scratch:
-        counts = scratch.write(d.groupBy("l").agg(F.count("*").alias("n"), F.count_if(short).alias("m")), "languages")
+        counts = scratch.write(d.groupBy("l").agg(F.count("*").alias("n")), "languages")
         place = F.pmod(F.xxhash64("i"), F.lit(10**9))
-        most = F.floor(F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_ROWS) / F.when(F.col("m") > 0, F.col("m")).otherwise(F.col("n"))) * 10**9) + 1
-        rows = d.join(counts, "l").filter((place < most) & (short | (F.col("m") == 0))).select("l", F.struct(place.alias("p"), "i", "t").alias("row"))
+        most = F.floor(F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_ROWS) / F.col("n")) * 10**9) + 1
+        rows = d.join(counts, "l").filter(place < most).select("l", F.struct(place.alias("p"), "i", "t").alias("row"))
         found = rows.groupBy("l").agg(F.collect_list("row").alias("rows")).mapInArrow(_dictionaries, "l string, raw binary")
         return {r.l: bytes(r.raw) for r in sorted(found.collect(), key=lambda r: r.l)}
 

@@ -20,7 +20,7 @@ def test_held_out_accuracy_and_edges(spark):
     rows = corpus(400)
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
     model = L.fit(docs)
-    assert sorted(model) == sorted(SYLLABLES) and all(0 < len(x.decode()) < L.SAMPLE_ROWS * (L.ROW_CHARS + 1) for x in model.values())
+    assert sorted(model) == sorted(SYLLABLES) and all(0 < len(x.decode()) < L.SAMPLE_ROWS * 8000 for x in model.values())
     got = {r.doc_id: r for r in L.identify(docs.select("doc_id", "text"), model).collect()}
     out = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(got[i].lang_pred == rows[i][3] for i in out) >= 0.95 * len(out)
@@ -36,10 +36,34 @@ def test_fit_takes_whole_texts_of_so_many_rows(spark):
     docs = spark.createDataFrame([(i, t, "aa") for i, t in texts.items()] * 2 + [(1000 + i, "longonly " * 900, "bb") for i in range(9)] + [(2000, None, "cc"), (None, "x", "cc")], "doc_id long, text string, lang string")
     model = L.fit(docs)
     lines = model["aa"].decode().split("\n")
-    assert len(lines) <= L.SAMPLE_ROWS and all(x.endswith("theend") and len(x) <= L.ROW_CHARS for x in lines)
+    assert len(lines) <= L.SAMPLE_ROWS and all(x.endswith("theend") for x in lines) and len({len(x) for x in lines}) == 2
     assert sorted(model) == ["aa", "bb"] and len(model["bb"]) == len("longonly " * 900)
 
 
+def test_sizes_by_a_plain_loop_over_dictionaries(spark):
+    """Predictions, scores and rejections again: a fresh compressor for each text, language and piece."""
+    import zstandard
+
+    rows = corpus(160)
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(500, "ka mo " * 3000, "aa"), (501, "x", None), (502, None, "aa")], "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    for r in L.identify(docs.select("doc_id", "text"), model).collect():
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        data = bytes(b for b in r.text.lower().encode() if not (33 <= b < 127 and not chr(b).isalpha()))
+        sizes = {}
+        for lang, raw in model.items():
+            total = 0
+            for i in range(0, len(data), 1024):
+                c = zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+                total += len(c.compress(data[i : i + 1024]))
+            sizes[lang] = total
+        best, second = sorted((n, lang) for lang, n in sizes.items())[:2]
+        margin = (second[0] - best[0]) / second[0]
+        assert (r.lang_pred, r.rejected) == (best[1], margin < 0.004) and abs(r.score - margin / (margin + 0.02)) < 1e-12
+
+
 def test_ties_go_to_the_first_name_and_are_rejected(spark):
     model = {"bb": b"same text in both", "aa": b"same text in both"}
     docs = spark.createDataFrame([(1, "same text", "z"), (1, "same text", "z"), (None, "same text", "y")], "doc_id long, text string, rejected string")
