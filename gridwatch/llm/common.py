@@ -34,8 +34,25 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-#: Rows of an Arrow batch where they hold whole texts or sets.
-TEXT_ROWS = 1000
+#: Bytes of an Arrow batch at most (or one row): what a task holds outside the JVM's heap for each of its batches.
+BATCH_BYTES = 4 << 20
+_CAP = "spark.sql.execution.arrow.maxBytesPerBatch"
+# buffers come from malloc, so that release() can give all that is free back to the system
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Caps the session's Arrow batches at BATCH_BYTES, unless its own cap is lower: batches of whole texts stay small, whatever their number of rows."""
+    units = {"k": 10, "m": 20, "g": 30}
+    now = str(spark.conf.get(_CAP)).lower().removesuffix("b")
+    size = int(now[:-1]) << units[now[-1]] if now[-1:] in units else int(now)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_CAP, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back: a worker lives on between tasks, and keeps what it once had."""
+    pa.default_memory_pool().release_unused()
 
 
 class Scratch:
@@ -45,6 +62,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
+        bounded_batches(spark)
 
     def __enter__(self) -> Scratch:
         return self
@@ -62,22 +80,14 @@ class Scratch:
         self.paths.append(f"{shared_folder(self.spark)}/{tag}-{uuid.uuid4().hex}")
         return self.paths[-1]
 
-    def write(self, df: DataFrame, tag: str, keep: bool = False, texts: bool = False) -> DataFrame:
-        """``df`` written as Parquet and read again. ``texts``: Python tasks get it in batches of TEXT_ROWS rows, as whole
-        documents in batches of Spark's default would fill an executor's memory outside its heap."""
+    def write(self, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+        """``df`` written as Parquet and read again."""
         path = f"{shared_folder(self.spark)}/{tag}-{uuid.uuid4().hex}"
         if keep:
             self._fs(path, lambda fs, p: fs.deleteOnExit(p))
         else:
             self.paths.append(path)
-        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(setting)
-        if texts:
-            self.spark.conf.set(setting, str(TEXT_ROWS))
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(setting, before)
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,13 +96,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return Scratch(df.sparkSession).write(df, tag, keep=True)
 
 
-#: Bits of the tables that tell rows which surely aren't wanted: at most 2**(FILTER_BITS - 6) rows are broadcast.
-FILTER_BITS = 23
+#: Bits of a filter for each wanted key, and of a filter at most: 2**(FILTER_BITS - 6) rows are broadcast. Beyond MOST_WANTED keys it would
+#: pass too much to be of use.
+BITS_A_KEY, FILTER_BITS, MOST_WANTED = 16, 26, 1 << 24
 
 
 def _marked(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, Column]:
-    name = uuid.uuid4().hex
-    slot = lambda c: F.xxhash64(c).bitwiseAND(2**FILTER_BITS - 1)
+    name, n = uuid.uuid4().hex, wanted.agg(F.approx_count_distinct(wanted_key)).first()[0]
+    if n > MOST_WANTED:
+        return df, F.lit(True)
+    bits = min(FILTER_BITS, max(10, (BITS_A_KEY * n).bit_length()))
+    slot = lambda c: F.xxhash64(c).bitwiseAND(2**bits - 1)
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(c).bitwiseAND(63).cast("int"))
     word = lambda c: F.shiftright(slot(c), 6)
     words = wanted.groupBy(word(F.col(wanted_key)).alias(f"w{name}")).agg(F.bit_or(bit(F.col(wanted_key))).alias(f"b{name}"))
@@ -101,13 +115,16 @@ def _marked(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> t
 
 
 def bit_filter(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """The rows of ``df`` whose key may be among those of ``wanted`` (all that are, and a few more)."""
+    """The rows of ``df`` whose key may be among those of ``wanted``, a written table: all that are, and a few more.
+
+    The filter grows with the keys, 16 bits each, up to 2**22 keys (8 MB); up to 2**24 fewer rows are kept out, beyond that none, and the join
+    that follows moves all."""
     joined, hit = _marked(df, F.col(key), wanted, wanted_key)
     return joined.filter(hit).select(*[f"`{c}`" for c in df.columns])
 
 
 def bit_split(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, DataFrame]:
-    """``df`` in two: the rows whose key may be among those of ``wanted``, and those whose key surely isn't."""
+    """``df`` in two by a filter as in bit_filter: the rows whose key may be among those of ``wanted``, and those whose key surely isn't."""
     joined, hit = _marked(df, key, wanted, wanted_key)
     columns = [f"`{c}`" for c in df.columns]
     return joined.filter(hit).select(*columns), joined.filter(~hit).select(*columns)
@@ -115,6 +132,7 @@ def bit_split(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) ->
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns, as doc_id long and text string with null as empty; other columns are left out."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -133,6 +151,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_filter, id_and_text, slices, text_bytes
+from .common import Scratch, bit_filter, id_and_text, release, slices, text_bytes
 from .components import components
 from .shingles import shingle_sets
 
@@ -46,6 +46,10 @@ COMMON, LEVELLED = 16, 1 << 20
 LONG, BLOCK_BYTES = 48, 4 << 20
 #: Occurrences counted in one task at a time, and about so many keys in one range of keys.
 _RUN, _RANGE = 1 << 19, 1 << 21
+#: Ranges of keys at most, as a power of two: a range then has 2**20 possible keys, and a block some hundred of them.
+PARTS_BITS = 12
+#: Keys of a range that are held before they are summed, and possible keys (as a power of two) of ranges that get a counter for each.
+_HELD, _DENSE_BITS = 1 << 21, 22
 
 
 def _deltas(keys: np.ndarray) -> bytes:
@@ -101,38 +105,94 @@ def _counted(parts: int, level=None):
     return run
 
 
+class _Counts:
+    """Counts of one range of keys, from blocks of distinct ones: sorted keys at first, a counter for each possible key once there are many."""
+
+    def __init__(self, low: int):
+        self.low, self.keys, self.times, self.held, self.dense = low, [], [], 0, None
+
+    def add(self, deltas: bytes, which: bytes, often: bytes) -> None:
+        k = _keys(deltas).astype(np.uint32)
+        n = np.ones(len(k), np.uint32)
+        n[np.frombuffer(which, np.uint32)] = np.frombuffer(often, np.uint32)
+        if self.dense is not None:
+            self.dense[k] += n
+            return
+        self.keys.append(k)
+        self.times.append(n)
+        self.held += len(k)
+        if self.held > _HELD:
+            k, n = self.summed()
+            if self.low <= _DENSE_BITS:
+                self.dense = np.zeros(1 << self.low, np.int64)
+                self.dense[k] = n
+            self.keys, self.times, self.held = [k.astype(np.uint32)], [n], 0
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and how often each came."""
+        if self.dense is not None:
+            k = np.flatnonzero(self.dense)
+            return k, self.dense[k]
+        k, n = np.concatenate(self.keys), np.concatenate(self.times)
+        order = np.argsort(k, kind="stable")
+        k, n = k[order], n[order]
+        first = np.flatnonzero(np.diff(k, prepend=k[:1] + np.uint32(1)))
+        return k[first].astype(np.int64), np.add.reduceat(n, first, dtype=np.int64)
+
+
 def _tables(parts: int):
-    """Of one range of keys: a bit for each slot with a key in two documents or more, and the common keys with their levels."""
+    """From blocks sorted by range, for each range of keys: a bit for each slot with a key in two documents or more, and the common keys with their levels."""
     low = 32 - parts.bit_length() + 1
     bits = SHARED_BITS - parts.bit_length() + 1
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        keys, times = [], []
-        for k, which, often in zip(*[rows.column(c).to_pylist() for c in ("keys", "which", "often")], strict=True):
-            keys.append(_keys(k).astype(np.uint32))
-            times.append(np.ones(len(keys[-1]), np.uint32))
-            times[-1][np.frombuffer(which, np.uint32)] = np.frombuffer(often, np.uint32)
-        k, n = np.concatenate(keys), np.concatenate(times)
-        order = np.argsort(k)
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.diff(k, prepend=k[0] + np.uint32(1)))
-        k, count = k[first].astype(np.int64), np.add.reduceat(n, first, dtype=np.int64)
+    def table_of(part: int, counts: _Counts) -> pa.RecordBatch:
+        k, count = counts.summed()
         shared = np.zeros(1 << bits, bool)
         shared[k[count > 1] >> (low - bits)] = True
         many = count >= COMMON
-        slot = (k[many] + (key[0].as_py() << low)) >> (32 - LEVEL_BITS)
+        slot = (k[many] + (part << low)) >> (32 - LEVEL_BITS)
         level = np.log2(count[many]).astype(np.uint8)
         hist = np.bincount(level, minlength=64)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "shared": pa.array([np.packbits(shared).tobytes()], pa.binary()), "slots": pa.array([slot.astype(np.uint32).tobytes()], pa.binary()), "levels": pa.array([level.tobytes()], pa.binary()), "hist": pa.array([hist.tolist()], pa.list_(pa.int64()))})
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (np.packbits(shared), slot.astype(np.uint32), level)], pa.array([hist.tolist()], pa.list_(pa.int64()))], ["part", "shared", "slots", "levels", "hist"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts = -1, None
+        for batch in batches:
+            for part, *block in zip(*[batch.column(c).to_pylist() for c in ("part", "keys", "which", "often")], strict=True):
+                if part != now:
+                    if counts:
+                        yield table_of(now, counts)
+                    now, counts = part, _Counts(low)
+                counts.add(*block)
+        if counts:
+            yield table_of(now, counts)
+        release()
 
     return run
 
 
 def _key_counts(d: DataFrame, size: int, scratch: Scratch, level=None) -> DataFrame:
-    """Keys are counted in ranges whose number grows with the text (of ``size`` bytes)."""
-    parts = 1 << min(SHARED_BITS - 6, max(3, (size // 6 // _RANGE).bit_length()))
+    """Keys are counted in ranges whose number grows with the text (of ``size`` bytes), up to 2**PARTS_BITS. A range's blocks stream through a task in any number."""
+    parts = 1 << min(PARTS_BITS, max(3, (size // 6 // _RANGE).bit_length()))
     blocks = d.select("text").mapInArrow(_counted(parts, level), "part int, keys binary, which binary, often binary")
-    return scratch.write(blocks.groupBy("part").applyInArrow(_tables(parts), "part int, shared binary, slots binary, levels binary, hist array<long>"), "shingle-tables", texts=True)
+    n = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 16)
+    ordered = blocks.repartition(min(n, parts), "part").sortWithinPartitions("part")
+    return scratch.write(ordered.mapInArrow(_tables(parts), "part int, shared binary, slots binary, levels binary, hist array<long>"), "shingle-tables")
+
+
+def _over(least: int):
+    """The slots and levels over ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, levels = [], []
+            for s, lv in zip(batch.column("slots").to_pylist(), batch.column("levels").to_pylist(), strict=True):
+                some = np.frombuffer(lv, np.uint8) > least
+                slots.append(np.frombuffer(s, np.uint32)[some].tobytes())
+                levels.append(np.frombuffer(lv, np.uint8)[some].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), pa.array(levels, pa.binary())], ["slots", "levels"])
+
+    return run
 
 
 def level_table(d: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
@@ -146,10 +206,9 @@ def level_table(d: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
         total += hist.get(least, 0)
         least -= 1
     level = np.zeros(1 << LEVEL_BITS, np.uint8)
-    for r in made.select("slots", "levels").toLocalIterator():
-        lv = np.frombuffer(r.levels, np.uint8)
-        some = lv > least
-        np.maximum.at(level, np.frombuffer(r.slots, np.uint32)[some], lv[some])
+    # LEVELLED slots at most, however many keys are common
+    for r in made.select("slots", "levels").mapInArrow(_over(least), "slots binary, levels binary").collect():
+        np.maximum.at(level, np.frombuffer(r.slots, np.uint32), np.frombuffer(r.levels, np.uint8))
     return level
 
 
@@ -211,7 +270,10 @@ def signatures(d: DataFrame, scratch: Scratch) -> DataFrame:
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     level = sc.broadcast(level_table(d, size, scratch))
     shared = sc.broadcast(shared_table(d, size, level, scratch))
-    return d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_hash", "text").mapInArrow(_signed(shared, level), SIGNATURES)
+    out = scratch.write(d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_hash", "text").mapInArrow(_signed(shared, level), SIGNATURES), "signatures", keep=True)
+    for table in (level, shared):  # 20 MB in each worker
+        table.unpersist()
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +286,7 @@ def wanted_sets(d: DataFrame, sig: DataFrame, rows: DataFrame, scratch: Scratch)
     """(row, s) for the given rows, from their texts: only these move, and each set is made once and read from then on."""
     wanted = scratch.write(sig.select("row", "doc_id", "text_hash").join(rows, "row", "left_semi"), "wanted").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     hits = bit_filter(d, "doc_id", wanted, "id").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    return scratch.write(hits.dropDuplicates(["id", "hash"]).select("row", "text").mapInArrow(_sets, "row long, s binary"), "sets", texts=True)
+    return scratch.write(hits.dropDuplicates(["id", "hash"]).select("row", "text").mapInArrow(_sets, "row long, s binary"), "sets")
 
 
 def can_link(n, i, m, j):
@@ -397,7 +459,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored; an empty table gives no rows. text_hash (xxhash64 of the text as it stands, null as empty) tells rows of one doc_id apart."""
     d = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     with Scratch(d.sparkSession) as scratch:
-        sig = scratch.write(signatures(d, scratch), "signatures", keep=True, texts=True)
+        sig = signatures(d, scratch)
         classes = scratch.write(sig.filter("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
         reps = scratch.write(sig.join(classes.select("row"), "row", "left_semi").select("row", "n", "toks", "pos", "bits"), "representatives")
         entries = reps.select("row", "n", F.explode(F.arrays_zip("toks", "pos")).alias("e")).select(F.col("e.toks").alias("tok"), "row", "n", F.col("e.pos").alias("pos"))
@@ -409,15 +471,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         central = members.filter((F.col("row") != F.col("mid")) & _can_link(F.col("n"), F.col("pos"), F.col("mid_n"), F.col("mid_pos"))).select(F.least("row", "mid").alias("a"), F.greatest("row", "mid").alias("b"))
         pairs = scratch.write(short.unionByName(central).distinct(), "candidates")
         of = lambda c, k, bits: reps.select(F.col("row").alias(c), F.col("n").alias(k), F.col("bits").alias(bits))
-        pairs = scratch.write(pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").mapInArrow(_bounded, "a long, b long"), "pairs", texts=True)
+        pairs = scratch.write(pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").mapInArrow(_bounded, "a long, b long"), "pairs")
         sets = wanted_sets(d, sig, pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(members.select("row")), scratch)
         tree = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links = scratch.write(verify(sets, tree), "links", texts=True)
+        links = scratch.write(verify(sets, tree), "links")
         comp = components(links, scratch)
-        links = links.unionByName(scratch.write(verify(sets, scratch.write(_across(pairs, comp), "open-pairs")), "links", texts=True))
+        links = links.unionByName(scratch.write(verify(sets, scratch.write(_across(pairs, comp), "open-pairs")), "links"))
         comp = components(links, scratch)
         if not members.isEmpty():
-            links = links.unionByName(scratch.write(long_links(members, comp, sets, scratch), "links", texts=True))
+            links = links.unionByName(scratch.write(long_links(members, comp, sets, scratch), "links"))
             comp = components(links, scratch)
         named = classes.join(comp, F.col("row") == F.col("node"), "left").filter("size > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "row"))
         ids = named.groupBy("component").agg(F.min("least").alias("component_id"))

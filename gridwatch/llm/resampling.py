@@ -163,10 +163,10 @@ class Segments:
         cut = F.filter(F.split(lower_ascii(F.col("text")), "\n"), lambda x: x.rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"))
         lines = d.select(F.explode(cut).alias("line")).groupBy("line").agg(F.count("*").alias("times"))
         lines = lines.select(_hashes(F.col("line")).alias("h"), "line", "times").select("h.*", "line", "times")
-        self.lines = scratch.write(lines.mapInArrow(_line_features(n, buckets), "h1 long, h2 long, times long, words long, buckets array<int>"), "lines", texts=True)
+        self.lines = scratch.write(lines.mapInArrow(_line_features(n, buckets), "h1 long, h2 long, times long, words long, buckets array<int>"), "lines")
         marked = d.select("doc_id", "text", F.transform(cut, _hashes).alias("lines"))
         found = marked.mapInArrow(_across(n, buckets), "doc_id long, lines array<struct<h1: long, h2: long, times: long>>, words long, across array<int>")
-        self.documents = scratch.write(found.withColumn("row", F.monotonically_increasing_id()), "segments", texts=True)
+        self.documents = scratch.write(found.withColumn("row", F.monotonically_increasing_id()), "segments")
 
     def counts(self) -> np.ndarray:
         """How often each bucket occurs in all texts; the driver gets one number a bucket."""

@@ -112,8 +112,8 @@ def test_pairs_grow_no_faster_than_members(spark, monkeypatch):
     for n in (300, 1200, 4800):
         seen = []
 
-        def write(self, df, tag, keep=False, texts=False, real=Scratch.write, seen=seen):
-            out = real(self, df, tag, keep, texts)
+        def write(self, df, tag, keep=False, real=Scratch.write, seen=seen):
+            out = real(self, df, tag, keep)
             if tag in ("candidates", "pairs", "open-pairs", "links", "block-rows"):
                 seen.append(out.count())
             return out
@@ -178,3 +178,32 @@ def test_components(spark):
     with Scratch(spark) as scratch:
         got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == label
+
+
+def test_counts_of_keys_are_the_same_however_they_are_held(monkeypatch):
+    """Counters of a range: held in lists, summed on the way, and as a counter for each key."""
+    rng = np.random.default_rng(2)
+    low = 10
+    blocks = [np.unique(rng.integers(0, 1 << low, 300)) for _ in range(40)]
+    want = np.bincount(np.concatenate(blocks), minlength=1 << low)
+    for held, dense in ((10**9, 22), (500, 5), (500, 22)):
+        monkeypatch.setattr(N, "_HELD", held)
+        monkeypatch.setattr(N, "_DENSE_BITS", dense)
+        c = N._Counts(low)
+        for b in blocks:
+            c.add(N._deltas(b), b"", b"")
+        c.add(N._deltas(np.array([3, 9])), np.array([1], np.uint32).tobytes(), np.array([5], np.uint32).tobytes())
+        k, n = c.summed()
+        again = want.copy()
+        again[3] += 1
+        again[9] += 5
+        assert k.tolist() == np.flatnonzero(again).tolist() and n.tolist() == again[again > 0].tolist()
+
+
+def test_levels_are_bounded_by_the_most_common(spark, monkeypatch):
+    """With room for few levelled shingles, only the most frequent have a level, and results stay the same."""
+    rows = [(i, "one very common line of many words here " + " ".join(f"w{i}x{j}" for j in range(12))) for i in range(1000, 1060)] + near_copies(30, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(N, "LEVELLED", 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df).collect()}
+    assert got == brute(rows)
