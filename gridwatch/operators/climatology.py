@@ -34,6 +34,46 @@ def seasonal_climatology(panel: DataFrame, features: tuple[str, ...] = tuple(COR
     )
 
 
+def profile_state(panel: DataFrame, features: tuple[str, ...] = tuple(CORE)) -> DataFrame:
+    """What a climatology is kept up to date from: per profile, its values in order, each with its month. Missing values have an entry as well."""
+    x = long_features(panel.withColumn("calendar_month", calendar_month(F.col("month"))), ("cell_id", "calendar_month", "month"), features)
+    return x.groupBy("cell_id", "calendar_month", "feature").agg(F.array_sort(F.collect_list(F.struct("value", "month"))).alias("entries"))  # one a year
+
+
+def merged_state(state: DataFrame, new: DataFrame) -> DataFrame:
+    """``state`` with the entries of ``new``, another state: months that both have are those of ``new``, so a month may come again, corrected or not.
+
+    One join of the two states; the panel behind the old one isn't needed any more."""
+    keys = ["cell_id", "calendar_month", "feature"]
+    j = state.join(new.withColumnRenamed("entries", "later"), keys, "full_outer")
+    months = F.transform("later", lambda e: e["month"])
+    kept = F.filter("entries", lambda e: ~F.coalesce(F.array_contains(months, e["month"]), F.lit(False)))
+    none = F.array().cast(state.schema["entries"].dataType)
+    return j.select(*keys, F.array_sort(F.concat(F.coalesce(kept, none), F.coalesce("later", none))).alias("entries"))
+
+
+def climatology_of(state: DataFrame, mad_round: int = 4, zero: float = 1e-9) -> DataFrame:
+    """The climatology of a state: exact medians, MAD and quartiles from the ordered values, as seasonal_climatology's. No exchange."""
+    values = F.transform(F.filter("entries", lambda e: e["value"].isNotNull()), lambda e: e["value"])
+    p = state.withColumn("v", values).withColumns({"n": F.size("v"), "total": F.aggregate("v", F.lit(0.0), lambda t, x: t + x)})
+
+    def quantile(v, share: float):
+        at = (F.size(v) - 1) * F.lit(share)
+        low, high = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int"))
+        between = F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+        return F.when(F.size(v) > 0, between)
+
+    p = p.withColumns({"mean": F.try_divide("total", "n"), "median": quantile(F.col("v"), 0.5)})
+    p = p.withColumns({"far": F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("median")))), "dev": F.aggregate("v", F.lit(0.0), lambda t, x: t + (x - F.col("mean")) * (x - F.col("mean")))})
+    p = p.withColumns({"mad": quantile(F.col("far"), 0.5), "q1": quantile(F.col("v"), 0.25), "q3": quantile(F.col("v"), 0.75)})
+    r = lambda c, n=4: F.round(c, n)
+    std = F.when(F.col("n") == 1, F.lit(0.0)).when(F.col("n") > 1, F.sqrt(F.try_divide(F.col("dev"), F.col("n") - 1)))
+    return p.select(
+        "cell_id", "calendar_month", "feature", F.col("n").cast("long").alias("n_observations"), r("mean").alias("mean"), r("median").alias("median"), r(std).alias("std"), r("mad", mad_round).alias("mad"),
+        r("q1").alias("q1"), r("q3").alias("q3"), r(F.col("q3") - F.col("q1")).alias("iqr"), r(F.get("v", F.lit(0))).alias("min"), r(F.get("v", F.col("n") - 1)).alias("max"), F.coalesce(F.col("mad") < zero, F.lit(False)).alias("zero_mad_flag"),
+    )
+
+
 def month_diagnostic(panel: DataFrame, climatology: DataFrame, month: str, tau: float = 3.0) -> DataFrame:
     """One month's values against the same calendar month's profiles; a missing profile counts as n = 0."""
     x = long_features(panel.filter(F.col("month") == month), ("cell_id",)).withColumn("calendar_month", F.lit(int(month[5:7])))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..schemas import CORE, OPTICAL, PRIMARY, QUALITY
 from ..session import written
 from .climatology import long_features
+from .moments import correlations
 from .ranks import average_ranks, quantiles, with_quantiles
 
 _MODALITIES = {"s2": "ndvi_mean", "viirs": "viirs_avg_rad_mean", "era5": "era5_temperature_mean"}
@@ -85,26 +86,14 @@ def cell_temporal_stats(panel: DataFrame) -> DataFrame:
     return wide.drop(*[f"{f}_cv" for f in CORE if f != "viirs_avg_rad_mean"])
 
 
-def _corr(x: str, y: str) -> Column:
-    """Pearson's r; null where a side is constant."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return F.round(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), 4)
-
-
-def _pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    one = df.agg(*[_corr(x, y).alias(f"c{i}") for i, (x, y) in enumerate(pairs)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("feature_x"), F.lit(y).alias("feature_y"), F.col(f"c{i}").alias("r")) for i, (x, y) in enumerate(pairs)])).alias("p")).select("p.*")
-
-
 def pearson(panel: DataFrame, features: tuple[str, ...] = PRIMARY) -> DataFrame:
     """All ordered pairs over the rows that have every feature."""
-    return _pairs(panel.select(*features).dropna(), [(x, y) for x in features for y in features])
+    return correlations(panel.select(*features).dropna(), features)
 
 
 def pearson_pairwise(panel: DataFrame, features: tuple[str, ...] = PRIMARY, against: tuple[str, ...] = ("valid_pixel_fraction", "viirs_cf_cvg_mean", "era5_observation_count")) -> DataFrame:
     """Each feature against each quality column, over the rows that have both."""
-    return _pairs(panel.select(*[F.col(c).cast("double").alias(c) for c in {*features, *against}]), [(x, y) for x in features for y in against])
+    return correlations(panel, tuple(dict.fromkeys((*features, *against))), features, against)
 
 
 def matrix(pairs: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -113,7 +102,7 @@ def matrix(pairs: DataFrame, features: tuple[str, ...]) -> DataFrame:
 
 
 def spearman(panel: DataFrame, features: tuple[str, ...] = tuple(CORE)) -> DataFrame:
-    return _pairs(average_ranks(panel.select(*features).dropna(), features), [(x, y) for x in features for y in features])
+    return correlations(average_ranks(panel.select(*features).dropna(), features), features)
 
 
 def variance_decomposition(panel: DataFrame) -> DataFrame:

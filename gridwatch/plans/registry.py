@@ -14,7 +14,8 @@ from ..operators import climatology as C
 from ..operators import evaluate, events, grid, nearest, panel, polygons, profile, projection, rasters, scoring
 from ..schemas import CORE, OPTICAL, PANEL, PRIMARY
 from ..session import shared_folder, written
-from ..sources import catalogue, duplicate_keys, probe, read_csv, read_geojson_grid, read_parquet, reuse_or_build, shape_check, write_csv, write_geojson_grid, write_parquet
+from ..sources import catalogue, duplicate_keys, months, probe, read_csv, read_geojson_grid, read_parquet, reuse_or_build, shape_check, write_csv, write_geojson_grid, write_parquet
+from ..streaming import closing
 from . import adapter as A
 from .sql import ORACLE_SQL
 
@@ -155,6 +156,23 @@ def _streamed_scores(s, d):
     return _r4(s.read.parquet(f"{root}/out").drop("batch"))
 
 
+def _streamed_events(s, d):
+    """The operational months' rows as files in any order; each month's events are made when its last cell has come."""
+    base, oper = _horizons(s, d)
+    clim, cells = written(C.seasonal_climatology(base), "climatology"), A.cells(s, d).select("cell_id", "row", "col")
+    root = f"{shared_folder(s)}/closing-{uuid.uuid4().hex}"
+    oper.repartition(8, F.xxhash64("cell_id")).write.parquet(f"{root}/in")
+
+    def of_months(closed):
+        rows = s.read.schema(PANEL).parquet(f"{root}/in").filter(F.col("month").isin(closed))
+        evidence = scoring.evidence(scoring.score(rows, clim, CONFIG), rows.select("cell_id", "month"), CONFIG)
+        return events.event_cells(evidence.filter("activity_candidate").join(cells, "cell_id"))
+
+    rows = streaming.panel_stream(s, f"{root}/in", 3)
+    closing.close_months(rows, cells, f"{root}/tiles", of_months, f"{root}/out", f"{root}/checkpoint", 2).awaitTermination()
+    return s.read.parquet(f"{root}/out").drop("batch")
+
+
 def _place(s, tag):
     return f"{shared_folder(s)}/{tag}-{uuid.uuid4().hex}"
 
@@ -310,6 +328,25 @@ def _input_shapes(s, d):
     return out
 
 
+def _updated_climatology(s, d):
+    """The baseline's climatology from a state of its first years, to which the last one is added."""
+    base = written(_base(s, d), "base")
+    year = "1999-01"
+    state = written(C.profile_state(base.filter(F.col("month") < year)), "state")
+    return C.climatology_of(C.merged_state(state, C.profile_state(base.filter(F.col("month") >= year))))
+
+
+def _refreshed(s, d):
+    """Monthly totals as a table by month, refreshed after one month's orders changed; and which months were built again."""
+    path = _place(s, "months")
+    scenes = written(A.scenes(s, d), "scenes")
+    build = lambda given: given["scenes"].groupBy("month", "region").agg(F.count("*").alias("n_scenes"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    months.refresh(s, path, {"scenes": scenes}, build)
+    changed = scenes.filter("NOT (month = '1996-03' AND region = 2)")
+    again = months.refresh(s, path, {"scenes": changed}, build)
+    return months.read_months(s, path).withColumn("rebuilt", F.col("month").isin(again))
+
+
 def _over(of, source=_base):
     return lambda s, d: of(source(s, d))
 
@@ -355,10 +392,13 @@ QUERIES = {
     "hourly_completeness": _hours_complete,
     "complete_months": _complete_months,
     "seasonal_climatology": _clim,
+    "updated_climatology": _updated_climatology,
+    "refreshed_months": _refreshed,
     "climatology_band": lambda s, d: C.climatology_band(_clim(s, d), ("cell_00_01", "cell_02_02"), "viirs_avg_rad_mean"),
     "march_diagnostic": _diagnostic,
     "score_robust_z": lambda s, d: _r4(_scored(s, d)[0]),
     "streamed_scores": _streamed_scores,
+    "streamed_events": _streamed_events,
     "evidence_fusion": _quality_evidence,
     "dominant_feature": _dominant,
     "event_cells": _event_cells,

@@ -220,6 +220,8 @@ SELECT printf('cell_%02d_%02d', r, c) AS cell_id, count(*) AS n_pixels FROM s WH
     "regression_diff": f"""{PANEL_CTE} SELECT feature, count(d) AS n_compared, round(max(d), 4) AS max_diff, round(avg(d), 4) AS mean_diff, count(*) FILTER (d > 1e-6) AS n_exceeding FROM (
 {" UNION ALL ".join(f"SELECT '{f}' AS feature, abs(a.{f} - b.{f}) AS d FROM panel a JOIN panel b ON a.cell_id = b.cell_id AND a.month = '1999-03' AND b.month = '1998-03'" for f in ("ndvi_mean", "viirs_avg_rad_mean", "era5_temperature_mean"))}) GROUP BY feature""",
     "seasonal_climatology": f"{CLIM_CTE} SELECT * FROM clim",
+    "updated_climatology": f"{CLIM_CTE} SELECT * FROM clim",
+    "refreshed_months": f"WITH {SCENE} SELECT month, region, count(*) AS n_scenes, round(sum(o_totalprice), 2) AS total, month = '1996-03' AS rebuilt FROM scene WHERE NOT (month = '1996-03' AND region = 2) GROUP BY month, region",
     "climatology_band": f"{CLIM_CTE} SELECT cell_id, calendar_month, median, round(median - mad * 1.4826, 4) AS low, round(median + mad * 1.4826, 4) AS high FROM clim WHERE cell_id IN ('cell_00_01', 'cell_02_02') AND feature = 'viirs_avg_rad_mean'",
     "march_diagnostic": f"""{CLIM_CTE}, x AS (SELECT o.cell_id, o.feature, o.value AS v, c.median, coalesce(c.n_observations, 0) AS n_observations, CASE WHEN c.mad > 1e-9 THEN (o.value - c.median) / (c.mad * 1.4826) END AS z
 FROM {long("(SELECT * FROM oper WHERE month = '2001-03')", "cell_id, calendar_month")} o LEFT JOIN clim c USING (cell_id, calendar_month, feature))
@@ -231,6 +233,7 @@ SELECT cell_id, feature, round(v, 4) AS value, median, n_observations, round(z,
     "evidence_fusion": f"{EVIDENCE_CTE}, q AS (SELECT cell_id, month, coalesce(valid_pixel_fraction, 0.0) AS valid_pixel_fraction, round(coalesce(viirs_cf_cvg_mean, 0.0), 4) AS viirs_cf_cvg_mean FROM panel) SELECT * FROM ev JOIN q USING (cell_id, month)",
     "dominant_feature": f"{EVIDENCE_CTE}, {_DOM} SELECT * FROM dom",
     "event_cells": f"{EVENT_CTE} SELECT month, cell_id, \"row\", col, event_number FROM evcell",
+    "streamed_events": f"{EVENT_CTE} SELECT month, cell_id, \"row\", col, event_number FROM evcell",
     "spatial_events": f"""{EVENT_CTE}, evj AS (SELECT evcell.month, event_number, evcell.cell_id, evcell."row" AS r, evcell.col AS c, activity_score, optical_count, viirs_anomalous, weather_count, dominant_feature, dominant_direction FROM evcell JOIN ev ON ev.cell_id = evcell.cell_id AND ev.month = evcell.month JOIN dom ON dom.cell_id = evcell.cell_id AND dom.month = evcell.month),
 e AS (SELECT month, event_number, count(*) AS cell_count, round(avg(c + 0.5), 4) AS centroid_lon, round(avg(r + 0.5), 4) AS centroid_lat, min(c)::DOUBLE AS min_lon, max(c + 1)::DOUBLE AS max_lon, min(r)::DOUBLE AS min_lat, max(r + 1)::DOUBLE AS max_lat, round(avg(activity_score), 4) AS mean_score, max(activity_score) AS max_score,
   count(*) FILTER (optical_count >= 1) AS optical_cells, count(*) FILTER (viirs_anomalous) AS viirs_cells, count(*) FILTER (weather_count >= 1) AS weather_cells, string_agg(cell_id, ';' ORDER BY cell_id) AS cells FROM evj GROUP BY ALL)

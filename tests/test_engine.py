@@ -229,3 +229,109 @@ def test_nearest_node_in_blocks(spark, monkeypatch):
     one = sorted(map(tuple, grid.nearest_node(cells, nodes).collect()))
     monkeypatch.setattr(grid, "MAX_NODES", 7)
     assert sorted(map(tuple, grid.nearest_node(cells, nodes).collect())) == one and len(one) == 60
+
+
+def test_months_close_once_whatever_comes(spark, tmp_path):
+    """Shuffled, repeated and late files, and a restart between any two batches."""
+    import random
+
+    from gridwatch.streaming.closing import close_months
+
+    grid = spark.createDataFrame([(f"c{r}-{c}", r, c) for r in range(5) for c in range(4)], "cell_id string, row int, col int")
+    cells = [f"c{r}-{c}" for r in range(5) for c in range(4)]
+    rows = [(m, c) for m in ("2024-01", "2024-02") for c in cells] + [("2024-03", c) for c in cells[:-1]]
+    random.Random(3).shuffle(rows)
+    src, made = f"{tmp_path}/in", []
+
+    def events_of(months):
+        made.extend(months)
+        return spark.createDataFrame([(m, len(m)) for m in months], "month string, n int")
+
+    def arrive(some):
+        spark.createDataFrame(some, "month string, cell_id string").coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema("month string, cell_id string").option("maxFilesPerTrigger", 1).parquet(src)
+        close_months(stream, grid, f"{tmp_path}/tiles", events_of, f"{tmp_path}/out", f"{tmp_path}/cp", tile=2).awaitTermination()
+
+    arrive(rows[:30])
+    arrive(rows[10:35])  # some of them again
+    run()
+    early = list(made)
+    arrive(rows[35:])
+    run()  # a new query on the same checkpoint
+    assert sorted(made) == ["2024-01", "2024-02"]
+    arrive(rows)  # late, all once more
+    arrive([("2024-03", cells[-1]), (None, cells[0]), ("2024-03", "elsewhere")])
+    run()
+    run()
+    assert sorted(made) == ["2024-01", "2024-02", "2024-03"] and made[: len(early)] == early
+    got = sorted((r.month, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("2024-01", 7), ("2024-02", 7), ("2024-03", 7)]
+
+
+def test_refresh_builds_changed_months_alone(spark, tmp_path):
+    from gridwatch.sources import months as M
+
+    path, built = f"{tmp_path}/t", []
+
+    def build(given):
+        seen = sorted(r.month for r in given["a"].select("month").distinct().collect())
+        built.append(seen)
+        return given["a"].groupBy("month").agg(F.sum("v").alias("v"))
+
+    def table(**more):
+        values = {"2024-01": [1.0, 2.0], "2024-02": [3.0], "2024-03": [None, 4.0]} | more
+        return spark.createDataFrame([(m.replace("_", "-"), v) for m, vs in values.items() for v in vs], "month string, v double")
+
+    rows = lambda version=None: {r.month: r.v for r in M.read_months(spark, path, version).collect()}
+    assert M.refresh(spark, path, {"a": table()}, build) == ["2024-01", "2024-02", "2024-03"]
+    assert M.refresh(spark, path, {"a": table().repartition(3)}, build) == [] and len(built) == 1  # the same rows in another order
+    assert M.refresh(spark, path, {"a": table(**{"2024-02": [3.0, 3.0]})}, build) == ["2024-02"] and built[-1] == ["2024-02"]
+    assert rows() == {"2024-01": 3.0, "2024-02": 6.0, "2024-03": 4.0} and rows(1)["2024-02"] == 3.0
+    assert M.refresh(spark, path, {"a": table()}, build, {"cloud": 20}) == ["2024-01", "2024-02", "2024-03"]  # other settings
+    left = table().filter("month <> '2024-01'")
+    assert M.refresh(spark, path, {"a": left}, build, {"cloud": 20}) == [] and set(rows()) == {"2024-02", "2024-03"}
+
+    def broken(given):
+        return build(given).withColumn("v", F.raise_error(F.lit("no")).cast("double"))
+
+    before = rows()
+    with pytest.raises(Exception, match="no"):
+        M.refresh(spark, path, {"a": table(**{"2024-03": [9.0]})}, broken, {"cloud": 20})
+    assert rows() == before
+
+
+def test_state_of_a_climatology_merges_without_the_old_panel(spark):
+    import random
+
+    from gridwatch.operators import climatology as C
+
+    rng = random.Random(1)
+    rows = [(f"c{c}", f"20{y}-{m:02d}", None if rng.random() < 0.2 else rng.choice([0.5, rng.uniform(-1, 1)])) for c in range(4) for y in range(10, 16) for m in (1, 2)]
+    panel = spark.createDataFrame(rows, "cell_id string, month string, v double")
+    state = C.profile_state(panel.filter("month < '2014'"), ("v",))
+    wrong = panel.filter("month LIKE '2014%'").withColumn("v", F.lit(99.0))
+    for new in (wrong, panel.filter("month LIKE '2014%'"), panel.filter("month LIKE '2015%'"), panel.filter("month LIKE '2015%'")):
+        state = C.merged_state(state, C.profile_state(new, ("v",)))
+    want = {tuple(r) for r in C.seasonal_climatology(panel, ("v",)).collect()}
+    assert {tuple(r) for r in C.climatology_of(state).collect()} == want
+
+
+def test_two_hundred_columns_in_one_pass(spark):
+    """Correlations by merged co-moments against numpy, with missing values, a constant column and large offsets."""
+    import numpy as np
+    from gridwatch.operators.moments import correlations
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (600, 200)) @ rng.normal(0, 0.3, (200, 200)) + rng.normal(0, 1e6, 200)
+    x[:, 7] = 0.1
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = tuple(f"f{i}" for i in range(200))
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"{n} double" for n in names)).repartition(7)
+    got = {(r.feature_x, r.feature_y): r.r for r in correlations(df, names, digits=8).collect()}
+    assert len(got) == 200 * 200 and got["f7", "f3"] is None and got["f7", "f7"] is None
+    for i, j in [(0, 1), (5, 199), (13, 13), (150, 42), (8, 9)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert got[names[i], names[j]] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-7)
+    assert correlations(df.limit(0), names[:3]).collect() == []
