@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 from gridwatch.llm import toxicity as T
@@ -78,3 +80,56 @@ def test_words_speak_for_both_sides_and_near_copies_count_once(spark):
     assert sorted(zip(model.against.tolist(), (model.weights > 0).tolist(), strict=True)) == [(False, True), (True, False)]
     got = {r.text: r.toxic for r in docs.dropDuplicates(["doc_id"]).join(T.score(docs.dropDuplicates(["doc_id"]), model), "doc_id").collect()}
     assert all(bad == ("vile" in t) for t, bad in got.items() if "zzcopy" not in t)
+
+
+def plain_loss(x, grade, w, t):
+    """The mean cumulative log-loss with both sides of a threshold weighing alike, term by term."""
+    total = 0.0
+    for j in range(len(t)):
+        share = min(max(sum(g > j for g in grade) / len(grade), 1e-3), 1 - 1e-3)
+        for row, g in zip(x, grade, strict=True):
+            p = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(row, w, strict=True)) - t[j])))
+            total -= 0.5 / share * math.log(p) if g > j else 0.5 / (1 - share) * math.log(1 - p)
+    return total / len(grade)
+
+
+def test_fit_reaches_the_least_cumulative_loss():
+    """Against the loss written plainly: no step from the fitted weights and thresholds lowers it, and a plain descent ends no lower."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (60, 4)).astype(float)
+    grade = np.clip(np.round(x @ [1.5, 1.0, -1.0, 0.0] + rng.normal(0, 0.7, 60)), 0, 2).astype(int)
+    row, column = np.nonzero(x)
+    w, t = T.fit_ordinal(T.Sparse(row, column, x[row, column], x.shape), grade, 3, 4000, decay=0.0)
+    least = plain_loss(x, grade, w, t)
+    for i in range(6):
+        for step in (-0.05, 0.05):
+            v, u = w.copy(), t.copy()
+            (v if i < 4 else u)[i % 4] += step
+            assert plain_loss(x, grade, v, np.maximum.accumulate(u)) >= least - 1e-6
+    v, u = np.zeros(4), np.array([0.5, 1.5])
+    for _ in range(300):  # finite differences alone
+        p = np.concatenate([v, u])
+        g = [(plain_loss(x, grade, *np.split(p + 1e-4 * e, [4])) - plain_loss(x, grade, *np.split(p - 1e-4 * e, [4]))) / 2e-4 for e in np.eye(6)]
+        v, u = np.split(p - 0.5 * np.array(g), [4])
+    assert plain_loss(x, grade, v, u) >= least - 1e-3
+
+
+def test_scores_from_whole_words_again(spark):
+    """Severity, grade and verdict of every document by a plain loop over its words, and a null doc_id."""
+    rows = corpus(200, 7)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(None, "vile vile rotten"), (None, None)], "doc_id long, text string")
+    model = T.fit(docs.filter("doc_id IS NOT NULL"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    weight = dict(zip(model.words.tolist(), zip(model.weights.tolist(), model.against.tolist(), strict=True), strict=True))
+    hashes = {}
+    got = T.score(docs, model).collect()
+    texts = [r[1] for r in rows] + ["vile vile rotten", ""]
+    assert [r.doc_id for r in got] == [r[0] for r in rows] + [None, None]
+    for text, r in zip(texts, got, strict=True):
+        ws = re.findall(r"[a-z\x80-\U0010ffff]+", text.lower())
+        for word in set(ws) - set(hashes):
+            raw = word.encode()
+            hashes[word] = int(T.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), T._BETWEEN)[0][0])
+        s = sum(weight[h][0] * (T.SHARE / len(ws) if weight[h][1] else 1.0) for h in {hashes[x] for x in ws} if h in weight)
+        above = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        assert abs(r.expected_severity - sum(above)) < 1e-9 and r.toxic == (above[0] >= 0.5) and each[r.grade] >= max(each) - 1e-12
