@@ -194,8 +194,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """One row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded (the bytes that the ids stand for).
 
     The driver reads the rank file, whose size is the vocabulary's, and broadcasts it. Null text counts as
-    empty and has no ids; a null doc_id stays null; repeated rows each get theirs; other columns are ignored; an empty
-    table gives no rows."""
+    empty and has no ids; a null doc_id stays null; repeated rows each get theirs; very long texts are encoded whole, one
+    in a batch; other columns are ignored; an empty table gives no rows."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete, own, shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes with A-Z mapped to a-z and all else unchanged.
 LOWER_BYTES = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
@@ -23,17 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only a local session without that setting gets a temporary folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="gridwatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: Bytes of an Arrow batch at most (or one row): what a task holds outside the JVM's heap for each of its batches.
 BATCH_BYTES = 4 << 20
 _CAP = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -58,7 +48,8 @@ def release() -> None:
 class Scratch:
     """Tables in the shared folder for one ``with`` block: lineage ends at each, and lost executors lose nothing.
 
-    The block's end deletes them, but for those that a lazy result still reads (``keep``): they go when the driver's JVM ends."""
+    The block's end deletes them, but for those that a lazy result still reads (``keep``): they go with the caller's scope (session.scope), or
+    when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
@@ -69,11 +60,7 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         for path in self.paths:
-            self._fs(path, lambda fs, p: fs.delete(p, True))
-
-    def _fs(self, path: str, act) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        act(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p)
+            delete(self.spark, path)
 
     def folder(self, tag: str) -> str:
         """The path of a folder of one's own, which goes with the block."""
@@ -84,7 +71,7 @@ class Scratch:
         """``df`` written as Parquet and read again."""
         path = f"{shared_folder(self.spark)}/{tag}-{uuid.uuid4().hex}"
         if keep:
-            self._fs(path, lambda fs, p: fs.deleteOnExit(p))
+            own(self.spark, path)
         else:
             self.paths.append(path)
         df.write.parquet(path)
@@ -92,7 +79,7 @@ class Scratch:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; the files go when the driver's JVM ends."""
+    """``df`` written as Parquet to the shared folder and read again; the files go with the caller's scope."""
     return Scratch(df.sparkSession).write(df, tag, keep=True)
 
 

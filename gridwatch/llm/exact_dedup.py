@@ -89,7 +89,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of documents with equal text (A-Z and a-z alike, null as empty) the one with the largest doc_id stays.
     Empty texts share the empty recipe and so form one group. A null doc_id counts as smaller than any
     other; rows that repeat a doc_id and its text count in group_size and share its ``kept``. An empty
-    table gives no rows; other columns of ``docs``, whatever their names, are ignored."""
+    table gives no rows; very long texts are cut into chunks like all others; other columns of ``docs``, whatever their names, are ignored."""
     with Scratch(docs.sparkSession) as scratch:
         recipes = verified_recipes(scratch.write(chunk_recipes(docs, id_col, text_col), "recipes", keep=True), scratch)
         groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")

@@ -426,6 +426,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars (code points).
 
-    Null html counts as empty; null ids and urls stay; repeated rows each get their text; other columns are ignored."""
+    Null html counts as empty; null ids and urls stay; repeated rows each get their text; of windows that are equally dense the first
+    decides; very long pages take time linear in their length; an empty table gives no rows; other columns are ignored."""
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     return d.mapInArrow(_extracted, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -164,7 +164,7 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int, size: int = 2048, pa
 
     ``tokenizer_json`` is a tokenizers definition; ``end_id`` follows each document. Null text counts as
     empty and gives the end id alone; a repeated doc_id is packed once per row, and so is a null one; equal keys that
-    fill more than a range are spread by a hash of doc_id; an empty table gives no rows. Other columns are ignored. sequence_id is unique, not consecutive: the task
+    fill more than a range are spread by a hash of doc_id; a very long text is cut over as many sequences as it needs; an empty table gives no rows. Other columns are ignored. sequence_id is unique, not consecutive: the task
     is in its upper half. Every sequence is full or has a power of two as its length."""
     spark = docs.sparkSession
     n = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -228,7 +228,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """One row per document: doc_id, base (strict spans), added (other candidates that the classifier accepts).
 
     Reliabilities and classifier come from the candidates of all documents. ``names``: the gazetteer of given
-    names. Null text counts as empty and has no spans; a null doc_id stays null; repeated rows each get theirs;
+    names. A very long text is scanned whole, in time linear in its length and matches. Null text counts as empty and has no spans; a null doc_id stays null; repeated rows each get theirs;
     other columns are ignored; an empty table gives no rows."""
     found = written(candidates(docs, id_col, text_col, names), "pii-candidates")
     patterns = pattern_counts(found)

@@ -132,7 +132,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, base (spans of fixed formats), added (by entropy); spans have start, end, kind and text.
 
     Null text counts as empty and has no spans; a null doc_id stays null; repeated rows each get theirs; spans that would
-    touch a base span are left out; other columns are ignored; an empty table gives no rows."""
+    touch a base span are left out; a very long text is scanned whole, in time linear in its length and matches; spans that start at one place are in
+    the order of their kinds; other columns are ignored; an empty table gives no rows."""
     d = id_and_text(docs, id_col, text_col)
     text = F.col("text")
     d = d.withColumn("base", base_spans(text))
