@@ -77,6 +77,21 @@ def _name(names: tuple[str, ...]) -> str:
     return rf"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20{_CAP}(?:\x20{_CAP})?|(?:{'|'.join(names)})\x20{_CAP})(?![A-Za-z])"
 
 
+#: A given name is learned from this many documents on that have it between a title and another name; so many of the most frequent at most.
+SEEN, MOST_NAMES = 3, 300
+TITLED = rf"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20({_CAP})\x20{_CAP}(?![A-Za-z])"
+
+
+def learned_names(docs: DataFrame, text_col: str = "text", seen: int = SEEN, most: int = MOST_NAMES) -> tuple[str, ...]:
+    """Given names that the corpus itself shows: words between a title and another name in ``seen`` documents or more, the ``most`` frequent, ties by name.
+
+    Counted over all documents, once each; a gazetteer for ``pii_spans``, beside or instead of NAMES. Null texts have none."""
+    text = F.col(text_col)
+    found = docs.filter(text.rlike(TITLED)).select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TITLED), F.lit(1)))).alias("name"))
+    rows = found.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= seen).orderBy(F.desc("n"), "name").limit(most)
+    return tuple(r.name for r in rows.collect())
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 

@@ -82,6 +82,26 @@ def test_planted_spans_are_found(spark):
     assert right >= 0.9 * real and right >= 0.9 * found, (right, found, real)
 
 
+def test_names_learned_from_titles(spark):
+    """Given names that no list has: what the corpus shows beside titles is found without them as well, and nothing else is."""
+    given = [a + b for a in ("Tor", "Bel", "Quin", "Ysa", "Ved") for b in ("rick", "anda", "olf", "mina")]
+    rows = [(f"signed by Dr. {g} Harper on the day", None) for g in given for _ in range(4)]
+    rows += [(f"regards {g} Stone lorem ipsum", f"{g} Stone") for g in given for _ in range(6)]
+    rows += [(f"the {w} House stood by the river in section {i}", None) for i, w in enumerate(["White", "Old", "Great", "Upper"] * 20)]
+    rows += [("Mr. Once Seen only", None), ("Mr. Once Seen only", None), (None, None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    names = P.learned_names(docs)
+    assert sorted(names) == sorted(given) and P.learned_names(docs, most=3) == tuple(sorted(given)[:3]) and P.learned_names(docs.limit(0)) == ()
+
+    def found(names):
+        got = P.pii_spans(docs, names=names).collect()
+        return sum([rows[r.doc_id][0][x.start : x.end] for x in r.added] == [rows[r.doc_id][1]] for r in got if rows[r.doc_id][1]), sum(len(r.added) for r in got if rows[r.doc_id][0] and "House" in rows[r.doc_id][0])
+
+    assert found(P.NAMES) == (0, 0)
+    right, wrong = found(P.NAMES + names)
+    assert right >= 0.9 * 120 and wrong == 0
+
+
 def test_learning_decides(spark):
     """Where the gazetteer votes yes on all and context doesn't, a plain vote accepts what EM and the classifier reject, and the word before moves what votes leave open."""
     yes = [(7, 1, 1, 1, 1, 2, 3, 200), (0, 1, 1, 1, 1, 2, 3, 200)]
