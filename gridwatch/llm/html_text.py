@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 WINDOW = 3
 #: A window is dense from this share of the densest window's sum on.
@@ -428,5 +428,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null html counts as empty; null ids and urls stay; repeated rows each get their text; of windows that are equally dense the first
     decides; very long pages take time linear in their length; an empty table gives no rows; other columns are ignored."""
+    bounded_batches(pages.sparkSession)
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     return d.mapInArrow(_extracted, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, slices
+from .common import Scratch, bounded_batches, slices
 
 #: The fit's bound: so many labelled rows per language, with their whole texts, of any length.
 SAMPLE_ROWS = 48
@@ -95,6 +95,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text") -
     ``und`` (score 0, rejected) where text is null or has no letter, or the model has no language."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs = docs.select(*kept)
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_ROWS texts a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
