@@ -25,7 +25,7 @@ from .common import id_and_text, slices
 #: What \s stands for in rank files' patterns: Unicode white space, which the regex module's \s exceeds by \x1c-\x1f.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A cache of encoded parts is emptied at this many; longer parts aren't kept.
-CACHE_PARTS, CACHE_CHARS = 1_000_000, 48
+CACHE_PARTS, CACHE_CHARS = 400_000, 48
 _NONE, _ROW, _FIRST = 1 << 62, 2000, "\0"
 _STOPS = ".,"
 #: Fixed value: the pattern whose matches never hold white space after another character. Texts are split for it alone.
