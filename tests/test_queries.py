@@ -8,7 +8,7 @@ from gridwatch.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SAMPLE = ["scene_fallback", "grid_generate", "median_composite_zonal", "panel_full_outer", "seasonal_climatology", "score_robust_z", "streamed_scores", "spatial_events", "threshold_sweep", "feature_statistics", "spearman_pairs", "representative_cells", "csv_round_trip", "geojson_round_trip", "regression_gate", "ingestion_completeness"]
+SAMPLE = ["scene_fallback", "grid_generate", "median_composite_zonal", "panel_full_outer", "seasonal_climatology", "score_robust_z", "streamed_scores", "spatial_events", "threshold_sweep", "feature_statistics", "spearman_pairs", "representative_cells", "csv_round_trip", "geojson_round_trip", "regression_gate", "ingestion_completeness", "input_shapes", "repeated_keys", "polygon_zonal", "polygon_weighted", "transverse_mercator", "resampled_pixels", "nearest_of_many", "collection_scan", "updated_climatology", "refreshed_months", "streamed_events", "pearson_pairwise"]
 
 
 def shown(v):
