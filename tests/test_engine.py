@@ -220,15 +220,16 @@ def test_written_grid_reads_back(spark, tmp_path, monkeypatch):
             assert one["type"] == "FeatureCollection" and 1 <= len(one["features"]) <= 5 and one["features"][0]["geometry"]["coordinates"][0][0] == one["features"][0]["geometry"]["coordinates"][0][4]
 
 
-def test_nearest_node_in_blocks(spark, monkeypatch):
+def test_nearest_node_with_any_depth_of_tiles(spark):
     import random
 
+    from gridwatch.operators.nearest import nearest_node
+
     rng = random.Random(4)
     cells = spark.createDataFrame([(f"c{i}", rng.random() * 9, rng.random() * 9) for i in range(60)], "cell_id string, centroid_lon double, centroid_lat double")
     nodes = spark.createDataFrame([(i, float(round(rng.random() * 9)), float(round(rng.random() * 9))) for i in range(40)], "node long, node_lon double, node_lat double")
-    one = sorted(map(tuple, grid.nearest_node(cells, nodes).collect()))
-    monkeypatch.setattr(grid, "MAX_NODES", 7)
-    assert sorted(map(tuple, grid.nearest_node(cells, nodes).collect())) == one and len(one) == 60
+    one = sorted(map(tuple, nearest_node(cells, nodes, leaf=100).collect()))
+    assert sorted(map(tuple, nearest_node(cells, nodes, leaf=1).collect())) == one and len(one) == 60
 
 
 def test_months_close_once_whatever_comes(spark, tmp_path):
