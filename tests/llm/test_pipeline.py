@@ -75,7 +75,7 @@ def test_stages_keep_the_columns(spark):
 
 def test_entry_has_all_eleven():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
