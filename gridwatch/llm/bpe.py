@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices
+from .common import id_and_text, release, slices
 
 #: What \s stands for in rank files' patterns: Unicode white space, which the regex module's \s exceeds by \x1c-\x1f.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A cache of encoded parts is emptied at this many; longer parts aren't kept.
-CACHE_PARTS, CACHE_CHARS = 400_000, 48
+#: A cache of encoded parts is cut back at so many to those that came first, which are mostly the frequent ones, and so it is between
+#: tasks; longer parts aren't kept.
+CACHE_PARTS, KEPT_PARTS, CACHE_CHARS = 250_000, 50_000, 48
 _NONE, _ROW, _FIRST = 1 << 62, 2000, "\0"
 _STOPS = ".,"
 #: Fixed value: the pattern whose matches never hold white space after another character. Texts are split for it alone.
@@ -124,12 +126,16 @@ class Cache:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], splits: bool, apart: tuple[str, ...] = ()):
         self.encode, self.splits, self.apart, self.known = encode, splits, apart, {}
 
+    def cut_back(self) -> None:
+        if len(self.known) > KEPT_PARTS:
+            self.known = dict(islice(self.known.items(), KEPT_PARTS))
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text: a part is looked up once a call, and encoded if it is new; Arrow splits and numbers the parts."""
         if not self.splits:
             return self.encode(texts)
         if len(self.known) > CACHE_PARTS:
-            self.known.clear()
+            self.cut_back()
         fine = [splittable(t) and not any(a in t for a in self.apart) for t in texts]
         odd = iter(self.encode([t for t, ok in zip(texts, fine, strict=True) if not ok]))
         split = pc.split_pattern(pa.array([marked(t) for t, ok in zip(texts, fine, strict=True) if ok], pa.string()), " ")
@@ -204,6 +210,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
             ids = cache.texts(batch.column("text").to_pylist())
             decoded = [decode(x, by_id) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+        cache.cut_back()
+        release()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, ENCODED)
 

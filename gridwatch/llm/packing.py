@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SLICE, tokenizer_cache
-from .common import id_and_text, slices, text_bytes
+from .common import id_and_text, release, slices, text_bytes
 from .shingles import word_hashes
 
 FEATURES, DIMS, BITS = 1024, 4, 12
@@ -187,5 +187,7 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int, size: int = 2048, pa
                 yield batch_of(rows)
         if rows := packer.rest():
             yield batch_of(rows)
+        cache.cut_back()
+        release()
 
     return in_ranges(curve_keys(docs, id_col, text_col), n).mapInArrow(run, PIECES)
