@@ -36,7 +36,6 @@ def test_operator(spark):
 def test_tokenizers_cache():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     cache = B.tokenizer_cache(open(path).read())
     texts = [t for t in TEXTS if t]
     for t, ids in zip(texts, cache.texts(texts), strict=True):
