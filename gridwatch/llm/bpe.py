@@ -27,7 +27,7 @@ from .common import id_and_text, release, slices
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A cache of encoded parts is cut back at so many to those that came first, which are mostly the frequent ones, and so it is between
 #: tasks; longer parts aren't kept.
-CACHE_PARTS, KEPT_PARTS, CACHE_CHARS = 250_000, 50_000, 48
+CACHE_PARTS, KEPT_PARTS, CACHE_CHARS = 1_000_000, 500_000, 48
 _NONE, _ROW, _FIRST = 1 << 62, 2000, "\0"
 _STOPS = ".,"
 #: Fixed value: the pattern whose matches never hold white space after another character. Texts are split for it alone.
