@@ -13,7 +13,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ _STOPS = ".,"
 #: Fixed value: the pattern whose matches never hold white space after another character. Texts are split for it alone.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose parts are numbered together.
-SLICE = 8 << 20
+SLICE = 2 << 20
 _WHITE_THEN_SPACE = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 
@@ -124,37 +123,47 @@ class Cache:
     of ``apart``, strings that the encoder takes out of a text before all else."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], splits: bool, apart: tuple[str, ...] = ()):
-        self.encode, self.splits, self.apart, self.known = encode, splits, apart, {}
+        self.encode, self.splits, self.apart = encode, splits, apart
+        # Arrow arrays of like length: Python strings in a dict took ten times the memory
+        self.parts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def cut_back(self) -> None:
-        if len(self.known) > KEPT_PARTS:
-            self.known = dict(islice(self.known.items(), KEPT_PARTS))
+        if len(self.parts) > KEPT_PARTS:
+            self.parts, self.ids = (pa.concat_arrays([a[:KEPT_PARTS]]) for a in (self.parts, self.ids))
+
+    def place(self, parts: pa.Array) -> np.ndarray:
+        """Where the cache has each of some distinct parts, or -1. The hash table is made of these, not of all that the cache has."""
+        out = np.full(len(parts), -1)
+        found = pc.index_in(self.parts, value_set=parts)
+        at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        out[found.drop_null().to_numpy()] = at
+        return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text: a part is looked up once a call, and encoded if it is new; Arrow splits and numbers the parts."""
+        """The ids of each text: a part is looked up once a call, and encoded if it is new; Arrow splits, numbers and joins the parts."""
         if not self.splits:
             return self.encode(texts)
-        if len(self.known) > CACHE_PARTS:
+        if len(self.parts) > CACHE_PARTS:
             self.cut_back()
         fine = [splittable(t) and not any(a in t for a in self.apart) for t in texts]
         odd = iter(self.encode([t for t, ok in zip(texts, fine, strict=True) if not ok]))
-        split = pc.split_pattern(pa.array([marked(t) for t, ok in zip(texts, fine, strict=True) if ok], pa.string()), " ")
+        split = pc.split_pattern(pa.array([marked(t) for t, ok in zip(texts, fine, strict=True) if ok], pa.large_string()), " ")
         numbered = split.flatten().dictionary_encode()
-        parts, known = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
-        new = [w for w in parts if w not in known]
-        fresh = dict(zip(new, self.encode([_whole(w) for w in new]), strict=True))
-        known.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_CHARS and w[:1] != _FIRST)
-        blobs = [fresh[w] if w in fresh else known[w] for w in parts]
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        ids, which = np.frombuffer(b"".join(blobs), "<u4"), numbered.indices.to_numpy(zero_copy_only=False)
-        count = size[which]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        raw = ids[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
-        cuts = iter((4 * ends[split.offsets.to_numpy()]).tolist())
+        place = self.place(numbered.dictionary)
+        unknown = np.flatnonzero(place < 0)
+        new = numbered.dictionary.take(pa.array(unknown))
+        words = new.to_pylist()
+        fresh = pa.array(self.encode([_whole(w) for w in words]), pa.large_binary())
+        place[unknown] = np.arange(len(unknown)) + len(self.ids)
+        joined = pa.concat_arrays([self.ids, fresh]).take(pa.array(place[numbered.indices.to_numpy()]))
+        kept = pa.array([len(w) <= CACHE_CHARS and w[:1] != _FIRST for w in words], pa.bool_())
+        self.parts, self.ids = (pa.concat_arrays([a, b.filter(kept)]) for a, b in ((self.parts, new), (self.ids, fresh)))
+        raw = memoryview(joined.buffers()[2] or b"")
+        cuts = iter(np.frombuffer(joined.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist() if len(joined) else [])
         at, out = next(cuts, 0), []
         for ok in fine:
             if ok:
-                out.append(raw[at : (at := next(cuts))])
+                out.append(bytes(raw[at : (at := next(cuts))]))
             else:
                 out.append(next(odd))
         return out

@@ -73,3 +73,23 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     got = B.encode_decode(docs, path, public_tokenizers.PATTERN).collect()
     assert sorted((str(r.doc_id), bytes(r.decoded).decode(), r.n_tokens) for r in got) == sorted([("1", "same text", 2), ("1", "same text", 2), ("None", "x", 1), ("2", "", 0), ("2", "", 0)])
     assert B.encode_decode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_cache_is_small_and_exact(monkeypatch):
+    """Parts are held in arrays: ids and characters, and 16 bytes a part besides."""
+    cache = B.tokenizer_cache(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    cache = B.Cache(cache.encode, cache.splits, cache.apart)
+    text = " ".join(f"part{i}" for i in range(200_000))
+    want = cache.texts([text, "part7 part8", ""])
+    assert len(cache.parts) == len(cache.ids) > 199_000 and cache.parts.nbytes + cache.ids.nbytes < 10_000_000
+    assert cache.texts([text, "part7 part8", ""]) == want and len(cache.parts) < 200_100
+    monkeypatch.setattr(B, "KEPT_PARTS", 1000)
+    cache.cut_back()
+    assert len(cache.parts) == len(cache.ids) == 1000 and cache.parts.nbytes + cache.ids.nbytes < 50_000
+    assert cache.texts(["", text, "part7 part8"]) == [want[2], want[0], want[1]]
+
+
+def test_empty_calls_of_the_cache():
+    cache = B.Cache(lambda texts: [t.encode() * 4 for t in texts], True)
+    assert cache.texts([]) == [] and cache.texts([""]) == [b""]
+    assert cache.texts(["  "]) == [b"  " * 4] and len(cache.texts(["a b", "c  d", "a"])) == 3
