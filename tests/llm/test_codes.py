@@ -106,3 +106,15 @@ def test_limbs_never_round():
 def test_first_of_the_nearest():
     k, d = K.nearest(np.array([[0, 0], [5, 5]]), np.array([[3, 4], [4, 3], [5, 0], [5, 5]]))
     assert k.tolist() == [0, 3] and d.tolist() == [25, 0]
+
+
+def test_null_ids_stay_as_rows(spark):
+    df = spark.createDataFrame([(4, [0.5] * 4, 1)] * 3 + [(None, [0.25] * 4, None)], "vec_id long, embedding array<float>, label int")
+    assert sorted(str(r.vec_id) for r in K.compress(df).collect()) == ["4", "4", "4", "None"]
+
+
+def test_limbs_add_up_as_integers():
+    m = np.random.default_rng(3).integers(-(2**61), 2**61, (5, 16))
+    bits = K.limb_bits(16)
+    back = sum(p.astype(np.int64).astype(object) * 2 ** (bits * i) for i, p in enumerate(K.limbs(m, bits)))
+    assert back.astype(int).tolist() == m.tolist()
