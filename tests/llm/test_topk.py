@@ -109,3 +109,36 @@ def test_exact_vectors_are_read_by_falling_bounds(spark, monkeypatch):
     rows = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(1500)]
     assert run(spark, rows) == brute([(i, np.array(v, np.float32).tolist()) for i, v in rows], 5)
     assert seen["va-reach"] < 0.05 * 1500 * seen["va-searches"]
+
+
+def test_one_scan_leaves_few_pairs(spark, monkeypatch):
+    """Pairs after the scan are about as many as results, at any number of vectors; vectors without an equal aren't grouped."""
+    seen = {}
+
+    def write(self, df, tag, keep=False, real=Scratch.write):
+        out = real(self, df, tag, keep)
+        seen[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(0, 0.12, (6000, 16)), rng.normal(0, 0.12, 16) + rng.normal(0, 0.01, (500, 16))]).astype(np.float32)
+    v[6500 - 7 :] = v[3]
+    got = run(spark, [(i, x.tolist()) for i, x in enumerate(v)])
+    ints = np.floor(v.astype(np.float64) * 256).astype(np.int64)
+    scores = ints[::50] @ ints.T
+    want = []
+    for q, s in zip(range(0, 6500, 50), scores, strict=True):
+        s[q] = -(2**40)
+        want += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate(np.lexsort((np.arange(6500), -s))[:5])]
+    assert got == want
+    assert seen["va-reach"] < 12 * seen["va-searches"]
+    assert seen["va-classes"] < 50
+
+
+@pytest.mark.parametrize("n", [1, 5, 16, 17, 33, 512])
+@pytest.mark.parametrize("wide", [1, 3, 16])
+def test_highest_of_sets(n, wide):
+    x = np.random.default_rng(n).normal(size=(n, 4))
+    wide = min(wide, n)
+    assert np.array_equal(K._highest(x, wide), [x[w::wide].max(0) for w in range(wide)])
