@@ -187,6 +187,31 @@ def test_nearest_by_broadcast_and_by_shuffle(spark, monkeypatch, limit):
     assert {r.cell_id: r.node for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("most", [None, 40])
+def test_nearest_moves_cells_once(spark, monkeypatch, most):
+    """No pair of a cell and a tile or node is shuffled; with few cells and nodes allowed in a task, several tasks share a box."""
+    import numpy as np
+
+    if most:
+        monkeypatch.setattr(nearest, "CELLS", most)
+        monkeypatch.setattr(nearest, "NODES", most)
+    rng = np.random.default_rng(4)
+    turn = np.arange(300) / 300 * 2 * np.pi
+    at = np.concatenate([np.stack([np.cos(turn), np.sin(turn)], 1) * 40, rng.normal(20, 0.05, (1500, 2)), rng.integers(-9, 9, (600, 2))])
+    cells = np.concatenate([np.zeros((90, 2)), rng.normal(20, 0.05, (200, 2)), rng.integers(-9, 9, (200, 2)) + 0.5, rng.uniform(-400, 400, (150, 2)), [[1e6, -3.0], [float("inf"), 1.0], [0.0, float("nan")]]])
+    nodes = spark.createDataFrame([(f"n{i * 7 % 2400:05d}", float(x), float(y)) for i, (x, y) in enumerate(at)], "node string, node_lon double, node_lat double")
+    out = nearest.nearest_node(spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(cells)], "cell_id int, centroid_lon double, centroid_lat double"), nodes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("Cartesian", "NestedLoop", "Window")) and ("SortAggregate" in plan) == bool(most)
+    names = np.array([i * 7 % 2400 for i in range(len(at))])
+    want = {}
+    for i, (x, y) in enumerate(cells):
+        d = np.nan_to_num((at[:, 0] - x) ** 2 + (at[:, 1] - y) ** 2, nan=np.inf)
+        want[i] = f"n{names[d == d.min()].min():05d}"
+    got = out.collect()
+    assert len(got) == len(cells) and {r.cell_id: r.node for r in got} == want
+
+
 def test_nearest_without_nodes_gives_nulls(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0)], "cell_id int, centroid_lon double, centroid_lat double")
     assert [tuple(r) for r in nearest.nearest_node(df, spark.createDataFrame([], "node int, node_lon double, node_lat double")).collect()] == [(1, None, None, None)]
